@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import sys
 import uuid
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# functions sent to executors travel by value, so that workers need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules["chronofold"])
+
 LOCAL_SHARED = "/tmp/checkpoints/chronofold"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("queries_dedup",)
+MODULES = ("queries_dedup", "queries_toxicity")
 
 
 def collect() -> tuple[dict, dict]:
