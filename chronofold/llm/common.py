@@ -70,44 +70,49 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS = np.ones(1, dtype=np.uint64)
+_LONG = 1 << 21
+_TABLES: dict[bool, np.ndarray] = {}
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        p = np.full(max(n, 1 << 12), _BASE, dtype=np.uint64)
+def _powers(n: int, inverse: bool = False) -> np.ndarray:
+    """At least ``n`` powers of the base, or of its inverse, modulo 2 ** 64."""
+    if len(_TABLES.get(inverse, ())) < n:
+        p = np.full(max(2 * n, 1 << 16), pow(_BASE, -1, 1 << 64) if inverse else _BASE, dtype=np.uint64)
         p[0] = 1
-        _POWERS = np.cumprod(p, dtype=np.uint64)
-    return _POWERS
+        _TABLES[inverse] = np.cumprod(p, dtype=np.uint64)
+    return _TABLES[inverse]
 
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the maximal runs of bytes other than space and 0x09-0x0D, in order."""
-    b = np.frombuffer(data, dtype=np.uint8)
-    if not len(b):
-        return np.empty(0, dtype=np.uint64)
-    inside = ~_SPACE[b]
-    edge = np.flatnonzero(np.diff(inside))
-    starts = edge[~inside[edge]] + 1
-    ends = edge[inside[edge]] + 1
-    if inside[0]:
-        starts = np.concatenate(([0], starts))
-    if inside[-1]:
-        ends = np.concatenate((ends, [len(b)]))
+def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True."""
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    return edge[::2], edge[1::2]
+
+
+def token_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte runs: sums of byte code times power of its place, mixed with the length."""
     if not len(starts):
         return np.empty(0, dtype=np.uint64)
     lengths = ends - starts
-    # positions inside each word: a word's hash is the sum of byte code times power of its place
-    place = np.arange(len(b), dtype=np.int64)
-    place[starts[0]:] -= np.repeat(starts, np.diff(np.append(starts, len(b))))
-    value = np.where(inside, _BYTE[b] * _powers(int(lengths.max()) + 1)[np.where(inside, place, 0)], np.uint64(0))
-    sums = np.add.reduceat(value, starts)
-    return mix64(sums ^ (lengths.astype(np.uint64) * _M2))
+    if len(b) <= _LONG:  # differences of running sums, moved back to place 0 by the inverse power
+        total = np.empty(len(b) + 1, dtype=np.uint64)
+        total[0] = 0
+        np.cumsum(_BYTE[b] * _powers(len(b))[:len(b)], out=total[1:])
+        return mix64((total[ends] - total[starts]) * _powers(len(b), True)[starts] ^ (lengths.astype(np.uint64) * _M2))
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    value = _BYTE[b[place + np.repeat(starts, lengths)]] * _powers(int(lengths.max()) + 1)[place]
+    return mix64(np.add.reduceat(value, first) ^ (lengths.astype(np.uint64) * _M2))
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """Hashes of the maximal runs of bytes other than space and 0x09-0x0D, in order."""
+    b = np.frombuffer(data, dtype=np.uint8)
+    return token_hashes(b, *runs(~_SPACE[b])) if len(b) else np.empty(0, dtype=np.uint64)
 
 
 def windows_hash(words: np.ndarray, k: int) -> np.ndarray:
