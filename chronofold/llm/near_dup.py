@@ -14,8 +14,8 @@ Steps (all tables; no cap on a group's size, its candidates or its partners):
 4. Each key's group is resolved by pivots: all members are verified against the group's least id; verified links
    are closed to components; groups that still hold several components go on with 16, 256, ... pivots until every
    pair of the group lies in one component or was verified. No round emits all pairs of a large group.
-5. Between rounds a class leaves when so many of its shingles occur in no other remaining class that no link is
-   possible any more (an exact bound).
+5. Before each further round the shingles are counted that only one of the remaining classes has. They bound a
+   pair's similarity from above: a class or pair that cannot reach the limit any more is not verified (exact).
 """
 
 from __future__ import annotations
@@ -123,18 +123,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean")
 
 
-def _hopeless(ids: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """Ids of those classes of which over (100 - percent) % of the shingles occur in no other class of ``ids``."""
+def _own_shingles(ids: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(rep, u): how many shingles of each class occur in no other class of ``ids``; classes without any are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingle_set(t.as_py(), k).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i)), pa.array(np.full(len(s), len(s))), pa.array(s)], names=["rep", "n", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i)), pa.array(s)], names=["rep", "s"])
 
-    rows = texts.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "rep long, n long, s long")
-    alone = rows.groupBy("s").agg(F.max("rep").alias("last"), F.min("rep").alias("rep"), F.min("n").alias("n")).where("rep = last")
-    return alone.groupBy("rep").agg(F.count("*").alias("u"), F.min("n").alias("n")).where(f"100 * (n - u) < {percent} * n").select("rep")
+    rows = texts.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "rep long, s long")
+    alone = rows.groupBy("s").agg(F.max("rep").alias("last"), F.min("rep").alias("rep")).where("rep = last")
+    return alone.groupBy("rep").agg(F.count("*").alias("u"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, collections: int = COLLECTIONS, rows: int = ROWS, shingle: int = SHINGLE, max_rounds: int = 40) -> DataFrame:
@@ -189,11 +189,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         active = materialize(state.join(mixed, "key"), "active")
         if active.isEmpty():
             break
-        gone = _hopeless(active.select("rep").distinct(), texts, percent, shingle).join(own.select(F.col("doc_id").alias("rep")), "rep", "left_anti")
-        active = materialize(active.join(gone, "rep", "left_anti"), "active")
+        unique = _own_shingles(active.select("rep").distinct(), texts, shingle).join(own.select(F.col("doc_id").alias("rep")), "rep", "left_anti")
+        active = active.join(unique, "rep", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+        active = materialize(active.where(f"100 * (n - u) >= {percent} * n"), "active")
         share = F.pmod(F.xxhash64("rep", "key"), F.lit(1 << 20)) * F.col("size") < F.lit(pivots << 20)
-        chosen = active.where(share).select("key", F.col("rep").alias("p"), F.col("n").alias("other_n"), F.col("comp").alias("other"))
-        pairs = active.join(chosen, "key").where("rep <> p and comp <> other").where(fits).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+        chosen = active.where(share).select("key", F.col("rep").alias("p"), F.col("n").alias("other_n"), F.col("u").alias("other_u"), F.col("comp").alias("other"))
+        # no shingle that only one of the two has is in the intersection, and all of them are in the union
+        fits_u = f"100 * least(n - u, other_n - other_u) >= {percent} * greatest(n + other_u, other_n + u)"
+        pairs = active.join(chosen, (active.key == chosen.key) & F.expr(f"rep <> p and comp <> other and {fits_u}")).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
         pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         more = materialize(_verified(pairs, texts, percent, shingle), "checked")
         checked = materialize(checked.unionByName(more), "checked")
