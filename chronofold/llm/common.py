@@ -4,16 +4,32 @@ from __future__ import annotations
 
 import atexit
 import shutil
-import sys
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# functions sent to executors travel by value, so that workers need no copy of this package
-cloudpickle.register_pickle_by_value(sys.modules["chronofold"])
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that their Python can import it anywhere."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        import chronofold
+
+        root = Path(chronofold.__file__).parent
+        target = Path(tempfile.mkdtemp(prefix="chronofold-")) / "chronofold.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(target))
+        atexit.register(shutil.rmtree, target.parent, True)
+        _SHIPPED.add(app)
 
 LOCAL_SHARED = "/tmp/checkpoints/chronofold"
 
@@ -42,7 +58,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches are bounded by rows only, so a batch of long texts must have few of them."""
+    """Before Python runs on executors. Arrow batches are bounded by rows only, so a batch of long texts must have few of them."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

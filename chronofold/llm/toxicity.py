@@ -57,11 +57,24 @@ def char_codes(text: str) -> np.ndarray:
 
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(_K ** 3, dtype=np.int64)
+    held: list[np.ndarray] = []
+    size = 0
+
+    def flush() -> None:  # texts end with two edges, so that no trigram joins two of them
+        if held:
+            c = np.concatenate([np.zeros(2, dtype=np.int32), *held])
+            total[:] += np.bincount(c[:-2] * (_K * _K) + c[1:-1] * _K + c[2:], minlength=_K ** 3)
+            held.clear()
+
     for batch in batches:
         for t in batch.column(0):
             if t.is_valid:
-                c = np.concatenate(([0, 0], char_codes(t.as_py()), [0]))
-                total += np.bincount(c[:-2] * (_K * _K) + c[1:-1] * _K + c[2:], minlength=_K ** 3)
+                held.append(np.append(char_codes(t.as_py()), (0, 0)).astype(np.int32))
+                size += len(held[-1])
+                if size > 1 << 20:
+                    flush()
+                    size = 0
+    flush()
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
 
