@@ -174,7 +174,7 @@ def benchmark_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", t
     if small and not len(table):
         table = np.zeros(1, dtype=np.int64)
     found = _document_windows(rows, sizes, table)
-    joined = found.join(F.broadcast(items) if small else items, ["hash", "channel", "size"])
+    joined = materialize(found.join(F.broadcast(items) if small else items, ["hash", "channel", "size"]), "hits")
 
     # windows of one occurrence have one offset between the document's and the item's places
     joined = joined.withColumn("offset", F.col("at") - F.col("pos"))
