@@ -109,7 +109,10 @@ SWAP, KEEP_ODD, DROP_REPEAT, KEEP_REPEAT = 0.7, 4.0, 0.3, 2.5
 
 _SPREAD = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]|[0-9@$!|+€])(?:[ .\-_*]{1,2}(?:[^\W\d_]|[0-9@$!|+€])){2,}(?![^\W\d_])")
 _MIXED = re.compile(r"[^\W_]*[0-9@$!|+€£¡][\w@$!|+€£¡]*")
-_RUN = re.compile(r"\w*([^\W\d_])\1\1[\w]*")
+_RUN = re.compile(r"([^\W\d_])\1\1")
+# what a text must hold for the patterns above to find anything
+_MAY_SPREAD = re.compile(r"\b\w[ .\-_*]{1,2}[\w@$!|+€][ .\-_*]|[@$!|+€][ .\-_*]{1,2}[\w@$!|+€][ .\-_*]")
+_MAY_MIX = re.compile(r"[0-9@$!|+€£¡]")
 _WORD = re.compile(r"[^\W\d_]+")
 _EDGE = "!$|+*#%&.,;:?\"'()[]{}<>=~^`/\\"
 
@@ -159,10 +162,19 @@ def viterbi(places: list[list[tuple[str, float]]], model: CharModel) -> str:
 
 def restored(text: str, model: CharModel, cache: dict) -> set[str]:
     """Words that the suspicious tokens of a lower-cased text may stand for."""
-    found = set()
-    tokens = {"".join(c for c in m if c not in " .-_*") for m in _SPREAD.findall(text)}
-    tokens.update(m.rstrip(_EDGE) for m in _MIXED.findall(text))
-    tokens.update(m.group(0) for m in _RUN.finditer(text))
+    found: set[str] = set()
+    tokens: set[str] = set()
+    if _MAY_SPREAD.search(text):
+        tokens.update("".join(c for c in m if c not in " .-_*") for m in _SPREAD.findall(text))
+    if _MAY_MIX.search(text):
+        tokens.update(m.rstrip(_EDGE) for m in _MIXED.findall(text))
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        while a and text[a - 1].isalpha():
+            a -= 1
+        while b < len(text) and text[b].isalpha():
+            b += 1
+        tokens.add(text[a:b])
     for t in tokens:
         if len(t) < 3 or not any(c.isalpha() for c in t):
             continue
@@ -176,16 +188,24 @@ def restored(text: str, model: CharModel, cache: dict) -> set[str]:
     return found
 
 
-def features(text: str | None, model: CharModel, cache: dict) -> set[str]:
-    """Words (marked) and word beginnings of the text and of its restored tokens."""
+def all_words(text: str | None, model: CharModel, cache: dict) -> set[str]:
+    """The distinct words of the text and of its restored tokens."""
     if not text:
         return set()
     low = text.lower()
     words = set(_WORD.findall(low))
-    words |= restored(low, model, cache)
-    out = {w + "$" for w in words}
-    for k in PREFIXES:
-        out.update([w[:k] for w in words if len(w) >= k])
+    return words | restored(low, model, cache)
+
+
+def word_features(word: str) -> list[str]:
+    """The word (marked) and its beginnings."""
+    return [word + "$", *[word[:k] for k in PREFIXES if len(word) >= k]]
+
+
+def features(text: str | None, model: CharModel, cache: dict) -> set[str]:
+    out: set[str] = set()
+    for w in all_words(text, model, cache):
+        out.update(word_features(w))
     return out
 
 
@@ -229,6 +249,19 @@ class Scorer:
                 break
         self.weights = w
 
+    def known(self, words: set[str], memo: dict) -> set[str]:
+        """The learned features of these words. memo: remembers them word by word."""
+        out: set[str] = set()
+        if len(memo) > 400_000:
+            memo.clear()
+        for w in words:
+            got = memo.get(w)
+            if got is None:
+                got = memo[w] = tuple([f for f in word_features(w) if f in self.odds])
+            if got:
+                out.update(got)
+        return out
+
     def score(self, found: set[str]) -> float:
         z = float(self.stats(found) @ self.weights)
         return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
@@ -270,9 +303,10 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharModel, allowed: Column, m
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
+        memo: dict = {}
         for batch in batches:
             ys = batch.column(1).to_pylist()
-            x = [scorer.stats(features(t, model, cache), 1 if y else 2) for t, y in zip(batch.column(0).to_pylist(), ys)]
+            x = [scorer.stats(scorer.known(all_words(t, model, cache), memo), 1 if y else 2) for t, y in zip(batch.column(0).to_pylist(), ys)]
             x = np.array(x).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, i]) for i in range(1, 4)] + [pa.array(ys, pa.int32())], names=["x1", "x2", "x3", "y"])
 
@@ -294,7 +328,8 @@ def score_toxicity(docs: DataFrame, model: CharModel, scorer: Scorer, text_col:
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cache: dict = {}
+        memo: dict = {}
         for texts in batches:
-            yield pd.Series([scorer.score(features(t, model, cache)) for t in texts], dtype="float64")
+            yield pd.Series([scorer.score(scorer.known(all_words(t, model, cache), memo)) for t in texts], dtype="float64")
 
     return docs.withColumn(out_col, score(F.col(text_col)))
