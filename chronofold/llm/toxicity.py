@@ -109,7 +109,7 @@ SWAP, KEEP_ODD, DROP_REPEAT, KEEP_REPEAT = 0.7, 4.0, 0.3, 2.5
 
 _SPREAD = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]|[0-9@$!|+€])(?:[ .\-_*]{1,2}(?:[^\W\d_]|[0-9@$!|+€])){2,}(?![^\W\d_])")
 _MIXED = re.compile(r"[^\W_]*[0-9@$!|+€£¡][\w@$!|+€£¡]*")
-_RUN = re.compile(r"([^\W\d_])\1\1")
+_RUN = re.compile(r"([^\W\d_])\1{2,}")
 # what a text must hold for the patterns above to find anything
 _MAY_SPREAD = re.compile(r"\b\w[ .\-_*]{1,2}[\w@$!|+€][ .\-_*]|[@$!|+€][ .\-_*]{1,2}[\w@$!|+€][ .\-_*]")
 _MAY_MIX = re.compile(r"[0-9@$!|+€£¡]")
@@ -143,21 +143,30 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 def viterbi(places: list[list[tuple[str, float]]], model: CharModel) -> str:
     """The cheapest path through the lattice, with word edges before and after it. Ties go to the earlier choice."""
     logp = model.logp
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    states: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    trail: list[dict] = []
     for choices in places:
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in states.items():
+        costs: dict[tuple[int, int], float] = {}
+        back: dict[tuple[int, int], tuple] = {}
+        for (a, b), cost in states.items():
             for letter, price in choices:
-                if not letter:
-                    key, new, say = (a, b), cost + price, text
-                else:
+                if letter:
                     code = _CODE.get(letter, 1)
-                    key, new, say = (b, code), cost + price - float(logp[a, b, code]), text + letter
-                old = nxt.get(key)
-                if old is None or new < old[0]:
-                    nxt[key] = (new, say)
-        states = nxt
-    return min((cost - float(logp[a, b, 0]), text) for (a, b), (cost, text) in states.items())[1] if states else ""
+                    key, new = (b, code), cost + price - float(logp[a, b, code])
+                else:
+                    key, new = (a, b), cost + price
+                if new < costs.get(key, 1e300):
+                    costs[key], back[key] = new, ((a, b), letter)
+        states = costs
+        trail.append(back)
+    if not states:
+        return ""
+    key = min((cost - float(logp[a, b, 0]), (a, b)) for (a, b), cost in states.items())[1]
+    out = []
+    for back in reversed(trail):
+        key, letter = back[key]
+        out.append(letter)
+    return "".join(reversed(out))
 
 
 def restored(text: str, model: CharModel, cache: dict) -> set[str]:
@@ -168,7 +177,10 @@ def restored(text: str, model: CharModel, cache: dict) -> set[str]:
         tokens.update("".join(c for c in m if c not in " .-_*") for m in _SPREAD.findall(text))
     if _MAY_MIX.search(text):
         tokens.update(m.rstrip(_EDGE) for m in _MIXED.findall(text))
+    b = 0
     for m in _RUN.finditer(text):
+        if m.start() < b:  # in the word before
+            continue
         a, b = m.span()
         while a and text[a - 1].isalpha():
             a -= 1
