@@ -196,7 +196,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         chosen = active.where(share).select("key", F.col("rep").alias("p"), F.col("n").alias("other_n"), F.col("u").alias("other_u"), F.col("comp").alias("other"))
         # no shingle that only one of the two has is in the intersection, and all of them are in the union
         fits_u = f"100 * least(n - u, other_n - other_u) >= {percent} * greatest(n + other_u, other_n + u)"
-        pairs = active.join(chosen, (active.key == chosen.key) & F.expr(f"rep <> p and comp <> other and {fits_u}")).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+        # a pair is taken in the first group only of those where it meets
+        active_keys = active.groupBy("rep").agg(F.sort_array(F.collect_list("key")).alias("ks"))
+        chosen_keys = chosen.groupBy("p").agg(F.sort_array(F.collect_list("key")).alias("pks"))
+        met, chosen = active.join(active_keys, "rep"), chosen.join(chosen_keys, "p").withColumnRenamed("key", "at")
+        pairs = met.join(chosen, F.expr(f"key = at and rep <> p and comp <> other and {fits_u} and element_at(array_intersect(ks, pks), 1) = key")).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
         pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         more = materialize(_verified(pairs, texts, percent, shingle), "checked")
         checked = materialize(checked.unionByName(more), "checked")
