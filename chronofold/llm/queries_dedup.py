@@ -1,16 +1,24 @@
-"""Query op3."""
+"""Query op3 and the near-duplicate stage of the pipeline."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
-from .near_dup import near_duplicates
+from .common import materialize, table
+from .near_dup import BROADCAST_IDS, near_duplicates
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the least id; with all columns. Null ids stay."""
+    gone = materialize(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+
+
 QUERIES = {"op3_near_dup": op3_near_dup}
 ORACLES: dict[str, str] = {}
