@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PLAN_MODULES: tuple[str, ...] = ()
+PLAN_MODULES: tuple[str, ...] = ("calendar",)
 
 
 def collect() -> tuple[dict, dict]:
