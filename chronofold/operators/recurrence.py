@@ -14,7 +14,7 @@ TIMEZONE = "Asia/Shanghai"
 
 def escape_text(c: Column) -> Column:
     """Backslash, line end, comma and semicolon, in this order; null as empty."""
-    for a, b in (("\\", "\\\\"), ("\n", "\\n"), (",", "\\,"), (";", "\;")):
+    for a, b in (("\\", "\\\\"), ("\n", "\\n"), (",", "\\,"), (";", "\\;")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return F.coalesce(c, F.lit(""))
 

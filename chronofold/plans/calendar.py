@@ -11,7 +11,8 @@ from chronofold.operators import recurrence as R
 from chronofold.sources.tables import arrangements, table
 
 START = schema.SEMESTER_START
-_D = F.lit(START).cast("date")
+def _d():
+    return F.lit(START).cast("date")
 
 # ---- shared parts of the SQL
 COURSES = """courses as (
@@ -46,19 +47,19 @@ def week_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def course_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return arrangements(spark, sf_dir).select("id", "day_of_week", F.explode(C.rule_weeks()).alias("week")).select("id", "week", C.course_date(_D, F.col("day_of_week"), F.col("week")).alias("date"))
+    return arrangements(spark, sf_dir).select("id", "day_of_week", F.explode(C.rule_weeks()).alias("week")).select("id", "week", C.course_date(_d(), F.col("day_of_week"), F.col("week")).alias("date"))
 
 
 def course_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.course_occurrences(arrangements(spark, sf_dir), _D, C.periods_frame(spark), C.no_class_frame(spark))
+    return C.course_occurrences(arrangements(spark, sf_dir), _d(), C.periods_frame(spark), C.no_class_frame(spark))
 
 
 def first_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.first_occurrence(arrangements(spark, sf_dir), _D).select("id", "first_date")
+    return C.first_occurrence(arrangements(spark, sf_dir), _d()).select("id", "first_date")
 
 
 def template_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.apply_template(arrangements(spark, sf_dir), _D, C.periods_frame(spark, schema.PERIODS[:10]))
+    return C.apply_template(arrangements(spark, sf_dir), _d(), C.periods_frame(spark, schema.PERIODS[:10]))
 
 
 def semester_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +85,7 @@ def next_weekday(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rrule_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.recurrences(arrangements(spark, sf_dir), _D, C.periods_frame(spark), C.no_class_frame(spark))
+    return R.recurrences(arrangements(spark, sf_dir), _d(), C.periods_frame(spark), C.no_class_frame(spark))
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
