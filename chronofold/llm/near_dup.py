@@ -11,11 +11,10 @@ Steps (all tables; no cap on a group's size, its candidates or its partners):
 1. One scan turns each text into its set size, a 128-bit hash of the set and the collections' values.
 2. Documents with equal sets form a class, represented by its least id; classes are found by a partial aggregate.
 3. Collection values that no other class has are dropped first; only classes left with two or more form keys.
-4. Each key's group is resolved by pivots: all members are verified against the group's least id; verified links
-   are closed to components; groups that still hold several components go on with 16, 256, ... pivots until every
-   pair of the group lies in one component or was verified. No round emits all pairs of a large group.
-5. Before each further round the shingles are counted that only one of the remaining classes has. They bound a
-   pair's similarity from above: a class or pair that cannot reach the limit any more is not verified (exact).
+4. In each key's group all members are verified against the group's least id, and verified links are closed to components.
+5. Classes whose groups still hold several components meet again by the rare shingles they share (an exact prefix
+   filter). Each such group is resolved by 16, 256, ... pivots until every pair in it lies in one component, was verified, or cannot
+   reach the limit for the shingles that only one side has. No round emits all pairs of a large group.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,18 +122,29 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean")
 
 
-def _own_shingles(ids: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(rep, u): how many shingles of each class occur in no other class of ``ids``; classes without any are left out."""
+def _prefixes(ids: DataFrame, whole: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """(key, rep, n, u): the shingles by which the classes of ``ids`` can still meet.
+
+    Shingles are ordered by how few of these classes have them. Two sets that reach the limit share one of their
+    first n - ceil(percent * n / 100) + 1 shingles in that order (the prefix filter of set-similarity joins), so only these become
+    keys, and only where another class has them. u counts the shingles that no other class has. ``whole``: ids with
+    several texts, of which all shingles are keys.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingle_set(t.as_py(), k).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i)), pa.array(s)], names=["rep", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i)), pa.array(s)], names=["rep", "key"])
 
-    rows = texts.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "rep long, s long")
-    alone = rows.groupBy("s").agg(F.max("rep").alias("last"), F.min("rep").alias("rep")).where("rep = last")
-    return alone.groupBy("rep").agg(F.count("*").alias("u"))
+    rows = texts.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "rep long, key long").distinct()
+    rows = materialize(rows, "active-shingles")
+    df = rows.groupBy("key").agg(F.count("*").alias("df"))
+    own = Window.partitionBy("rep")
+    ranked = rows.join(df, "key").withColumn("r", F.row_number().over(own.orderBy("df", "key"))).withColumn("u", F.sum(F.expr("if(df = 1, 1, 0)")).over(own))
+    ranked = ranked.where("df > 1").join(ids, "rep").join(whole.select(F.col("doc_id").alias("rep"), F.lit(True).alias("several")).distinct(), "rep", "left")
+    some = f"several or r <= n - floor(({percent} * n + 99) / 100) + 1"
+    return ranked.where(F.expr(some)).select("key", "rep", "n", F.expr("if(several, 0L, u)").alias("u"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, collections: int = COLLECTIONS, rows: int = ROWS, shingle: int = SHINGLE, max_rounds: int = 40) -> DataFrame:
@@ -180,18 +190,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = materialize(own.select("doc_id", "a", F.explode("reps").alias("b")), "own")
     comps = connected_components(checked.where("linked").select("a", "b").union(own.select("a", "b")))
 
-    # the groups that still hold several components, without the pivots that have met all the others
-    left = groups.where("rep <> pivot").select("key", "rep", "n")
+    # classes of groups that still hold several components; they meet again by the rare shingles they share
+    def mixed(rows: DataFrame) -> DataFrame:
+        state = rows.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        several = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
+        return state.join(several, "key")
+
+    active = materialize(mixed(groups.select("key", "rep", "n")).select("rep", "n").distinct(), "active")
+    left = None if active.isEmpty() else materialize(_prefixes(active, own, texts, percent, shingle), "prefixes")
     pivots = 16
     for _ in range(max_rounds):
-        state = left.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-        mixed = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
-        active = materialize(state.join(mixed, "key"), "active")
+        if left is None:
+            break
+        active = materialize(mixed(left), "active")
         if active.isEmpty():
             break
-        unique = _own_shingles(active.select("rep").distinct(), texts, shingle).join(own.select(F.col("doc_id").alias("rep")), "rep", "left_anti")
-        active = active.join(unique, "rep", "left").withColumn("u", F.coalesce("u", F.lit(0)))
-        active = materialize(active.where(f"100 * (n - u) >= {percent} * n"), "active")
         share = F.pmod(F.xxhash64("rep", "key"), F.lit(1 << 20)) * F.col("size") < F.lit(pivots << 20)
         chosen = active.where(share).select("key", F.col("rep").alias("p"), F.col("n").alias("other_n"), F.col("u").alias("other_u"), F.col("comp").alias("other"))
         # no shingle that only one of the two has is in the intersection, and all of them are in the union
@@ -199,14 +212,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # a pair is taken in the first group only of those where it meets
         active_keys = active.groupBy("rep").agg(F.sort_array(F.collect_list("key")).alias("ks"))
         chosen_keys = chosen.groupBy("p").agg(F.sort_array(F.collect_list("key")).alias("pks"))
-        met, chosen = active.join(active_keys, "rep"), chosen.join(chosen_keys, "p").withColumnRenamed("key", "at")
-        pairs = met.join(chosen, F.expr(f"key = at and rep <> p and comp <> other and {fits_u} and element_at(array_intersect(ks, pks), 1) = key")).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+        met, chosen = active.withColumn("pivot", share).join(active_keys, "rep"), chosen.join(chosen_keys, "p").withColumnRenamed("key", "at")
+        pairs = met.join(chosen, F.expr(f"key = at and if(pivot, rep < p, rep <> p) and comp <> other and {fits_u} and element_at(array_intersect(ks, pks), 1) = key")).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
         pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         more = materialize(_verified(pairs, texts, percent, shingle), "checked")
         checked = materialize(checked.unionByName(more), "checked")
         if not more.where("linked").isEmpty():
             comps = connected_components(checked.where("linked").select("a", "b").union(own.select("a", "b")))
-        left = active.where(~share).select("key", "rep", "n")
+        left = active.where(~share).select("key", "rep", "n", "u")
         pivots *= 16
     else:
         raise RuntimeError("groups did not settle")
