@@ -76,8 +76,9 @@ def first_definitions(periods: DataFrame, order: str | None = None) -> DataFrame
 def with_clock_times(df: DataFrame, periods: DataFrame, how: str = "inner") -> DataFrame:
     """Joined with the start of period_start and the end of period_end as ``clock_start`` and ``clock_end``."""
     p = first_definitions(periods)
-    starts = small(p.select(F.col("period_number").alias("period_start"), F.col("start_time").alias("clock_start")))
-    ends = small(p.select(F.col("period_number").alias("period_end"), F.col("end_time").alias("clock_end")))
+    hint = F.broadcast if periods.limit(DIMENSION_ROWS + 1).count() <= DIMENSION_ROWS else (lambda x: x)
+    starts = hint(p.select(F.col("period_number").alias("period_start"), F.col("start_time").alias("clock_start")))
+    ends = hint(p.select(F.col("period_number").alias("period_end"), F.col("end_time").alias("clock_end")))
     return df.join(starts, "period_start", how).join(ends, "period_end", how)
 
 

@@ -47,7 +47,7 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.{txt,csv}") -> DataFrame:
     """Whole text files with their source; CSV is text here and is not split into columns."""
-    t = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path)
+    t = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path, wholetext=True)
     return t.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"), F.when(F.lower("_metadata.file_name").endswith(".csv"), "EXCEL").otherwise("TEXT").alias("source"), F.lit(1.0).alias("confidence"))
 
 
