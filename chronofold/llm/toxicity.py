@@ -173,8 +173,10 @@ def restored(text: str, model: CharModel, cache: dict) -> set[str]:
     """Words that the suspicious tokens of a lower-cased text may stand for."""
     found: set[str] = set()
     tokens: set[str] = set()
+    spread: set[str] = set()  # joined letters are a new word even if nothing else changes
     if _MAY_SPREAD.search(text):
-        tokens.update("".join(c for c in m if c not in " .-_*") for m in _SPREAD.findall(text))
+        spread.update("".join(c for c in m if c not in " .-_*") for m in _SPREAD.findall(text))
+        tokens |= spread
     if _MAY_MIX.search(text):
         tokens.update(m.rstrip(_EDGE) for m in _MIXED.findall(text))
     b = 0
@@ -195,7 +197,7 @@ def restored(text: str, model: CharModel, cache: dict) -> set[str]:
             got = viterbi(lattice(t), model)
             if len(cache) < 200_000:
                 cache[t] = got
-        if got != t:
+        if got != t or t in spread:
             found.update(_WORD.findall(got))
     return found
 
