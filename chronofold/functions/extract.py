@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chronofold import schema
-from chronofold.functions.text import DASH, LEFT, RIGHT, WS, found, normalize, number, remove_first, route_text, trim
+from chronofold.functions.text import DASH, LEFT, RIGHT, WS, found, let, normalize, number, remove_first, route_text, trim
 from chronofold.operators.calendar import next_weekday
 
 DAY = "[一二三四五六日天]"
@@ -96,12 +96,11 @@ def date_of(c: Column, as_of: Column) -> Column:
     full = r"(20[0-9]{2})[^0-9]{1,6}([0-9]{1,2})[^0-9]{1,6}([0-9]{1,2})"
     parts = F.transform(F.regexp_extract_all(c, F.lit(full), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, full, 1).alias("y"), F.regexp_extract(x, full, 2).alias("m"), F.regexp_extract(x, full, 3).alias("d")))
     valid = F.filter(parts, lambda p: p["m"].try_cast("int").between(1, 12) & p["d"].try_cast("int").between(1, 31))
-    first = F.try_element_at(valid, F.lit(1))
+    exact = let(F.try_element_at(valid, F.lit(1)), lambda p: F.when(p.isNotNull(), F.concat_ws("-", p["y"], _two(p["m"]), _two(p["d"]))))
     month_day = rf"(?:\A|[^0-9])([0-9]{{1,2}}){WS}*[月/.]{WS}*([0-9]{{1,2}}){WS}*[日号]?"
     table = F.create_map(*[F.lit(x) for pair in schema.WEEKDAYS.items() for x in pair])
     day = lambda p: F.try_element_at(table, found(c, p))
-    return (F.when(first.isNotNull(), F.concat_ws("-", first["y"], _two(first["m"]), _two(first["d"])))
-            .when(c.rlike(month_day), F.concat_ws("-", F.year(as_of).cast("string"), _two(F.regexp_extract(c, month_day, 1)), _two(F.regexp_extract(c, month_day, 2))))
+    return F.coalesce(exact, F.when(c.rlike(month_day), F.concat_ws("-", F.year(as_of).cast("string"), _two(F.regexp_extract(c, month_day, 1)), _two(F.regexp_extract(c, month_day, 2))))
             .when(c.rlike("今天|今晚"), as_of.cast("string")).when(c.contains("明天"), F.date_add(as_of, 1).cast("string")).when(c.contains("后天"), F.date_add(as_of, 2).cast("string"))
             .when(c.rlike(f"下周{DAY}"), next_weekday(as_of, day(f"下周({DAY})"), F.lit(True)).cast("string"))
             .when(c.rlike(f"周{DAY}"), next_weekday(as_of, day(f"(?:本周|这周|周)({DAY})"), F.lit(False)).cast("string")))
@@ -184,9 +183,9 @@ def course_name(c: Column, who: Column, where: Column) -> Column:
               rf"第?{WS}*[0-9]{{1,2}}{WS}*{DASH}{WS}*[0-9]{{1,2}}{WS}*周", rf"第?{WS}*[0-9]{{1,2}}{WS}*周", "[单双]周", COURSE_NOISE):
         n = F.regexp_replace(n, p, " ")
     squeeze = lambda x: F.regexp_replace(x, rf"{WS}+", " ")
-    coded = found(n, rf"\A(.+?_[0-9]{{2}})(?:{WS}|\z)")
-    plain = F.regexp_replace(squeeze(F.regexp_replace(n, "[、，,。]", " ")), f"([{HAN}]):(?=[{HAN}])", "$1：")
-    return trim(F.coalesce(squeeze(coded), plain))
+    coded = lambda x: squeeze(found(x, rf"\A(.+?_[0-9]{{2}})(?:{WS}|\z)"))
+    plain = lambda x: F.regexp_replace(squeeze(F.regexp_replace(x, "[、，,。]", " ")), f"([{HAN}]):(?=[{HAN}])", "$1：")
+    return trim(let(n, lambda x: F.coalesce(coded(x), plain(x))))
 
 
 def course_confidence(who: Column, where: Column, line: Column, name: Column) -> Column:
@@ -195,32 +194,34 @@ def course_confidence(who: Column, where: Column, line: Column, name: Column) ->
     return F.least(F.lit(0.92), F.lit(0.55) + add(who.isNotNull(), 0.12) + add(where.isNotNull(), 0.12) + add(weeks, 0.08) + add(name.rlike(f"_[0-9]{{2}}{RIGHT}"), 0.05))
 
 
-def without_when_and_where(c: Column) -> Column:
-    """Dates, times and places taken out. c is normalised."""
+def without_when_and_where(c: Column, where: Column | None = None) -> Column:
+    """Dates, times and the place (``where``, found here if not given) taken out. c is normalised."""
     h = "[一二两三四五六七八九十]{1,3}"
     n = c
     for p in (r"20[0-9]{2}[^0-9]{1,6}[0-9]{1,2}[^0-9]{1,6}[0-9]{1,2}[^0-9]?", rf"(?:\A|[^0-9])[0-9]{{1,2}}{WS}*[月/.]{WS}*[0-9]{{1,2}}{WS}*[日号]?", f"(?:今天|今晚|明天|后天|本周|这周|下周|周|星期){DAY}?",
               rf"[0-9]{{1,2}}:[0-9]{{2}}{WS}*{DASH}{WS}*[0-9]{{1,2}}:[0-9]{{2}}", "[0-9]{1,2}:[0-9]{2}", rf"{h}{WS}*点{WS}*{DASH}{WS}*{h}{WS}*点?", rf"[早上午中下晚今]*{WS}*{h}{WS}*点半?", rf"地点{WS}*[:：]?{WS}*[^，。,.；;]*"):
         n = F.regexp_replace(n, p, " ")
-    return trim(F.regexp_replace(remove_first(n, location(c)), rf"{WS}+", " "))
+    rest = let(F.struct(n.alias("n"), (location(c) if where is None else where).alias("w")), lambda x: remove_first(x["n"], x["w"]))
+    return trim(F.regexp_replace(rest, rf"{WS}+", " "))
 
 
-def homework_title(c: Column) -> Column:
+def homework_title(c: Column, stripped: Column | None = None) -> Column:
     named = found(c, rf"提交{WS}*([^，。,.；;前]+?(?:实验报告|课程设计|作业|论文|报告|材料|表格))")
-    rest = F.regexp_replace(F.regexp_replace(without_when_and_where(c), "作业通知|通知|请在|请于|截止|提交|前|完成", " "), rf"{WS}+", "")
-    return F.concat(F.lit("提交"), F.when(named.isNotNull(), F.regexp_replace(named, rf"{WS}+", "")).when(rest != "", rest).otherwise("作业"))
+    rest = F.regexp_replace(F.regexp_replace(without_when_and_where(c) if stripped is None else stripped, "作业通知|通知|请在|请于|截止|提交|前|完成", " "), rf"{WS}+", "")
+    return F.concat(F.lit("提交"), F.coalesce(F.regexp_replace(named, rf"{WS}+", ""), F.nullif(rest, F.lit("")), F.lit("作业")))
 
 
-def natural_title(c: Column) -> Column:
-    stripped = trim(F.regexp_replace(F.regexp_replace(without_when_and_where(c), "考试安排|作业通知|通知|请在|请于|截止|提交|前", " "), rf"{WS}+", " "))
+def natural_title(c: Column, stripped: Column | None = None) -> Column:
+    bare = trim(F.regexp_replace(F.regexp_replace(without_when_and_where(c) if stripped is None else stripped, "考试安排|作业通知|通知|请在|请于|截止|提交|前", " "), rf"{WS}+", " "))
     head = F.substring(F.regexp_replace(c, r"[，。,.].*\z", ""), 1, 40)
-    return (F.when(event_type(c) == "HOMEWORK", homework_title(c)).when(stripped.contains("班会"), "班会").when(stripped != "", stripped).when(head != "", head).otherwise("校园提醒"))
+    own = let(bare, lambda x: F.when(x.contains("班会"), "班会").otherwise(F.nullif(x, F.lit(""))))
+    return F.when(event_type(c) == "HOMEWORK", homework_title(c, stripped)).otherwise(F.coalesce(own, F.nullif(head, F.lit("")), F.lit("校园提醒")))
 
 
-def exam_title(c: Column) -> Column:
+def exam_title(c: Column, where: Column | None = None) -> Column:
     """The subject of an exam row; ends with 考试."""
     labelled = found(c, rf"(?:考试科目|课程名称|科目|课程){WS}*[:：]?{WS}*([^，。；;\n]+?)(?={WS}*(?:考试时间|考试日期|考试地点|考场|座位|备注|\z))")
-    n = remove_first(F.coalesce(labelled, c), location(c))
+    n = let(F.struct(F.coalesce(labelled, c).alias("n"), (location(c) if where is None else where).alias("w")), lambda x: remove_first(x["n"], x["w"]))
     clock = r"[0-9]{1,2}:[0-9]{2}"
     for p in (rf"\A{WS}*[0-9]{{1,3}}{WS}+", r"20[0-9]{2}[^0-9]{1,6}[0-9]{1,2}[^0-9]{1,6}[0-9]{1,2}[^0-9]?", rf"(?:\A|[^0-9])[0-9]{{1,2}}{WS}*月{WS}*[0-9]{{1,2}}{WS}*日?", rf"\A{WS}*月{WS}*[0-9]{{1,2}}{WS}*日?{WS}*",
               rf"\A(?:{WS}|[日号（）()])+", rf"\A{WS}*[0-9]{{1,3}}{WS}+", rf"[（(]{WS}*{clock}{WS}*{DASH}{WS}*{clock}{WS}*[)）]", rf"{clock}{WS}*{DASH}{WS}*{clock}", rf"\A(?:{WS}|[)）])+",
@@ -229,11 +230,12 @@ def exam_title(c: Column) -> Column:
     n = F.regexp_replace(n, rf"(?i)\({WS}*c{WS}*语言{WS}*\)", "（C语言）")
     n = F.regexp_replace(F.regexp_replace(F.regexp_replace(n, "[:：]", " "), rf"{WS}+([（])", "$1"), rf"([）]){WS}+", "$1")
     n = trim(F.regexp_replace(n, rf"{WS}+", " "))
-    return F.when(n == "", "考试").when(n.contains("考试"), n).otherwise(F.concat(n, F.lit("考试")))
+    return let(n, lambda x: F.when(x.contains("考试"), x).otherwise(F.concat(x, F.lit("考试"))))
 
 
-def title_for(c: Column, kind: Column) -> Column:
-    return F.when(kind == "HOMEWORK", homework_title(c)).when(kind == "EXAM", exam_title(c)).otherwise(natural_title(c))
+def title_for(c: Column, kind: Column, where: Column | None = None, stripped: Column | None = None) -> Column:
+    """The title by type. where and stripped: place and stripped text, if they are already columns."""
+    return F.when(kind == "HOMEWORK", homework_title(c, stripped)).when(kind == "EXAM", exam_title(c, where)).otherwise(natural_title(c, stripped))
 
 
 def ocr_score(c: Column) -> Column:

@@ -32,6 +32,11 @@ def found(c: Column, pattern: str, group: int = 1) -> Column:
     return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 # fixed values: misreadings of character recognition, as pairs of pattern and replacement
 MISREAD = [("颥", "颐"), ("刈象", "对象"), ("健从", "健康"), (rf"颐德楼{WS}*旧{WS}*([0-9]{{2}})", "颐德楼H1$1"), ("经肚楼", "经世楼")]
 SEAT_WORDS = "分散|集中|闭卷|开卷"

@@ -22,15 +22,22 @@ def numbered(df: DataFrame, parts: Column, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.posexplode(parts).alias("p", "line")).select(*keys, (F.col("p") + 1).alias("line_no"), "line")
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once per row. A projection above another may be merged with it, which repeats costly
+    expressions wherever they are used; a generator of one row in between keeps them apart."""
+    each = df.select("*", F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("__once"))
+    return each.select(*df.columns, *[F.col(f"__once.{k}").alias(k) for k in columns])
+
+
 def course_lines(df: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
     """Course rows of each document; a line without a weekday takes the last one above it."""
     rows = numbered(df, N.lines(F.col(text_col)), [key]).withColumn("own_day", X.weekday(F.col("line")))
     above = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("day_of_week", F.last("own_day", ignorenulls=True).over(above))
     line = F.col("line")
-    rows = rows.withColumn("n", N.normalize(line)).withColumn("period", X.period_range(F.col("n"))).where("period is not null and day_of_week is not null")
-    rows = rows.withColumn("location", X.location(F.col("n"))).withColumn("teacher", X.teacher(line)).withColumn("rule", X.week_rule(line))
-    rows = rows.withColumn("name", X.course_name(F.col("n"), F.col("teacher"), F.col("location"))).where("name <> ''")
+    rows = once(once(rows.where("day_of_week is not null"), n=N.normalize(line)), period=X.period_range(F.col("n"))).where("period is not null")
+    rows = once(rows, location=X.location(F.col("n")), teacher=X.teacher(line), rule=X.week_rule(line))
+    rows = once(rows, name=X.course_name(F.col("n"), F.col("teacher"), F.col("location"))).where("name <> ''")
     return rows.select(key, "line_no", "name", "teacher", "location", "day_of_week", F.col("period.start").alias("period_start"), F.col("period.end").alias("period_end"), "rule.*", X.course_confidence(F.col("teacher"), F.col("location"), line, F.col("name")).alias("confidence"))
 
 
@@ -68,24 +75,28 @@ def validate_events(raw: DataFrame) -> DataFrame:
 def general_events(df: DataFrame, as_of: Column, forced: str | None = None, text_col: str = "text", key: str = "doc_id") -> DataFrame:
     """Raw events of the sentences. Without a forced type, and for exams, a sentence needs a date; otherwise it falls on ``as_of``."""
     parts = N.exam_sentences(F.col(text_col)) if forced == "EXAM" else N.sentences(F.col(text_col))
-    s = numbered(df, parts, [key]).withColumn("n", N.normalize(F.col("line")))
-    s = s.withColumn("type", F.lit(forced) if forced else X.event_type(F.col("line")))
-    s = s.where((F.col("type") != "EXAM") | ~X.is_exam_noise(F.col("line"))).withColumn("date", X.date_of(F.col("n"), as_of))
+    s = once(numbered(df, parts, [key]), n=N.normalize(F.col("line")), type=F.lit(forced) if forced else X.event_type(F.col("line")))
+    s = once(s.where((F.col("type") != "EXAM") | ~X.is_exam_noise(F.col("line"))), date=X.date_of(F.col("n"), as_of))
     named = F.col("line").rlike("今天|今晚|明天|后天|本周|这周|下周|周[一二三四五六日天]")
     if forced in (None, "EXAM"):
         s = s.where(F.col("date").isNotNull() | named)
-    s = s.withColumn("date", F.coalesce("date", as_of.cast("string"))).withColumn("time", X.time_of(F.col("n"))).withColumn("location", X.location(F.col("n")))
+    s = once(s.withColumn("date", F.coalesce("date", as_of.cast("string"))), time=X.time_of(F.col("n")), location=X.location(F.col("n")))
+    s = once(s, stripped=X.without_when_and_where(F.col("n"), F.col("location")))
+    s = once(s, title=X.title_for(F.col("n"), F.col("type"), F.col("location"), F.col("stripped")))
     late = (F.col("type") == "HOMEWORK") & ~F.col("line").rlike("[0-9]{1,2}:[0-9]{2}|点")
-    return s.select(key, "line_no", X.title_for(F.col("n"), F.col("type")).alias("title"), "type", "date", F.when(late, "23:59").otherwise(F.col("time.start")).alias("time_start"), F.when(late, "23:59").otherwise(F.col("time.end")).alias("time_end"), "location",
+    return s.select(key, "line_no", "title", "type", "date", F.when(late, "23:59").otherwise(F.col("time.start")).alias("time_start"), F.when(late, "23:59").otherwise(F.col("time.end")).alias("time_end"), "location",
                     F.when(F.col("type") == "EXAM", X.seat(F.col("n"), F.col("location"))).alias("seat_number"), F.when(F.col("type") == "HOMEWORK", "从校园信息中识别出的提交截止时间。").alias("description"), F.lit(0.82).alias("confidence"))
 
 
 def natural_events(df: DataFrame, as_of: Column, text_col: str = "text", key: str = "doc_id") -> DataFrame:
     """One raw event for each text; without a date it falls on ``as_of``."""
-    s = df.select(key, F.lit(1).alias("line_no"), F.col(text_col).alias("line"), N.normalize(F.col(text_col)).alias("n")).withColumn("type", X.event_type(F.col("line"))).withColumn("time", X.time_of(F.col("n")))
+    s = once(df.select(key, F.lit(1).alias("line_no"), F.col(text_col).alias("line")), n=N.normalize(F.col("line")), type=X.event_type(F.col("line")))
+    s = once(s, time=X.time_of(F.col("n")), location=X.location(F.col("n")))
+    s = once(s, stripped=X.without_when_and_where(F.col("n"), F.col("location")))
+    s = once(s, title=X.title_for(F.col("n"), F.col("type"), F.col("location"), F.col("stripped")))
     late = (F.col("type") == "HOMEWORK") & ~F.col("line").rlike("[0-9]{1,2}:[0-9]{2}|点")
-    return s.select(key, "line_no", X.title_for(F.col("n"), F.col("type")).alias("title"), "type", F.coalesce(X.date_of(F.col("n"), as_of), as_of.cast("string")).alias("date"), F.when(late, "23:59").otherwise(F.col("time.start")).alias("time_start"), F.when(late, "23:59").otherwise(F.col("time.end")).alias("time_end"),
-                    X.location(F.col("n")).alias("location"), F.lit(None).cast("string").alias("seat_number"), F.lit(None).cast("string").alias("description"), F.lit(0.78).alias("confidence"))
+    return s.select(key, "line_no", "title", "type", F.coalesce(X.date_of(F.col("n"), as_of), as_of.cast("string")).alias("date"), F.when(late, "23:59").otherwise(F.col("time.start")).alias("time_start"), F.when(late, "23:59").otherwise(F.col("time.end")).alias("time_end"),
+                    "location", F.lit(None).cast("string").alias("seat_number"), F.lit(None).cast("string").alias("description"), F.lit(0.78).alias("confidence"))
 
 
 def recognize(df: DataFrame, as_of: Column, text_col: str = "text", key: str = "doc_id", intent: Column | None = None) -> DataFrame:

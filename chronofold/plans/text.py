@@ -45,7 +45,7 @@ def route_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notice_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = notices(spark, sf_dir).withColumn("n", N.normalize(F.col("text"))).withColumn("t", X.time_of(F.col("n")))
+    n = E.once(E.once(notices(spark, sf_dir), n=N.normalize(F.col("text"))), t=X.time_of(F.col("n")))
     return n.select("event_id", X.date_of(F.col("n"), F.col("as_of")).alias("date"), F.col("t.start").alias("time_start"), F.col("t.end").alias("time_end"), X.event_type(F.col("text")).alias("type"), X.location(F.col("n")).alias("location"))
 
 
