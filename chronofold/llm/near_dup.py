@@ -13,7 +13,7 @@ Steps (all tables; no cap on a group's size, its candidates or its partners):
 3. Collection values that no other class has are dropped first; only classes left with two or more form keys.
 4. In each key's group all members are verified against the group's least id, and verified links are closed to components.
 5. Classes whose groups still hold several components meet again by the rare shingles they share (an exact prefix
-   filter). Each such group is resolved by 16, 256, ... pivots until every pair in it lies in one component, was verified, or cannot
+   filter). Each such group is resolved by 16, 64, ... pivots until every pair in it lies in one component, was verified, or cannot
    reach the limit for the shingles that only one side has. No round emits all pairs of a large group.
 """
 
@@ -205,22 +205,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         active = materialize(mixed(left), "active")
         if active.isEmpty():
             break
-        share = F.pmod(F.xxhash64("rep", "key"), F.lit(1 << 20)) * F.col("size") < F.lit(pivots << 20)
-        chosen = active.where(share).select("key", F.col("rep").alias("p"), F.col("n").alias("other_n"), F.col("u").alias("other_u"), F.col("comp").alias("other"))
+        # the pivots of a group are its members with the least hashes, so that groups share pivots and a pair meets in one direction
+        active = active.withColumn("h", F.pmod(F.xxhash64("rep"), F.lit(1 << 40)))
+        share = F.col("h") * F.col("size") < F.lit(pivots << 40)
+        chosen = active.where(share).select("key", F.col("rep").alias("p"), F.col("n").alias("other_n"), F.col("u").alias("other_u"), F.col("comp").alias("other"), F.col("h").alias("other_h"))
         # no shingle that only one of the two has is in the intersection, and all of them are in the union
         fits_u = f"100 * least(n - u, other_n - other_u) >= {percent} * greatest(n + other_u, other_n + u)"
         # a pair is taken in the first group only of those where it meets
         active_keys = active.groupBy("rep").agg(F.sort_array(F.collect_list("key")).alias("ks"))
         chosen_keys = chosen.groupBy("p").agg(F.sort_array(F.collect_list("key")).alias("pks"))
-        met, chosen = active.withColumn("pivot", share).join(active_keys, "rep"), chosen.join(chosen_keys, "p").withColumnRenamed("key", "at")
-        pairs = met.join(chosen, F.expr(f"key = at and if(pivot, rep < p, rep <> p) and comp <> other and {fits_u} and element_at(array_intersect(ks, pks), 1) = key")).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+        met, chosen = active.join(active_keys, "rep"), chosen.join(chosen_keys, "p").withColumnRenamed("key", "at")
+        pairs = met.join(chosen, F.expr(f"key = at and (other_h < h or other_h = h and p < rep) and comp <> other and {fits_u} and element_at(array_intersect(ks, pks), 1) = key")).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
         pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         more = materialize(_verified(pairs, texts, percent, shingle), "checked")
         checked = materialize(checked.unionByName(more), "checked")
         if not more.where("linked").isEmpty():
             comps = connected_components(checked.where("linked").select("a", "b").union(own.select("a", "b")))
         left = active.where(~share).select("key", "rep", "n", "u")
-        pivots *= 16
+        pivots *= 4
     else:
         raise RuntimeError("groups did not settle")
 
