@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chronofold import schema
-from chronofold.functions.text import DASH, LEFT, RIGHT, WS, found, let, normalize, number, remove_first, route_text, trim
+from chronofold.functions.text import DASH, LEFT, RIGHT, WS, found, let, number, remove_first, route_text, trim
 from chronofold.operators.calendar import next_weekday
 
 DAY = "[一二三四五六日天]"

@@ -61,7 +61,7 @@ def test_calendar_text(spark):
     e = R.recurrences(c, F.lit("2026-02-23").cast("date"), C.periods_frame(spark), C.no_class_frame(spark, ["2020-01-01"]))
     lines = R.entry_lines(F.concat("id", F.lit("-"), "suffix"), R.compact_time(F.col("starts_at")), R.compact_time(F.col("ends_at")), F.lit("a,b"), F.lit(None).cast("string"), F.lit(""), F.col("rrule"), F.col("exdates"), F.lit(0), F.lit("20260101T000000"))
     ics = R.calendars(e.select(F.lit("x;y").alias("cal"), "id", "suffix", lines.alias("lines")), "cal", ["id", "suffix"], "lines").first().ics
-    assert ics.count("BEGIN:VEVENT") == 3 and "SUMMARY:a\\,b" in ics and "X-WR-CALNAME:x\;y" in ics and "VALARM" not in ics and ics.endswith("END:VCALENDAR")
+    assert ics.count("BEGIN:VEVENT") == 3 and "SUMMARY:a\\,b" in ics and "X-WR-CALNAME:x\\;y" in ics and "VALARM" not in ics and ics.endswith("END:VCALENDAR")
 
 
 def test_course_lines(spark):
