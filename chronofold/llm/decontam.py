@@ -5,10 +5,15 @@ canonicalised to templates: numbers become ``<num>``, words that follow a number
 capitalised words ``<name>``; all else is lower-cased. Windows of ``window`` template tokens are hashed and joined
 by hash. A second, literal channel (all words lower-cased, nothing replaced) finds copies whose case was changed.
 
+A slot filled with more or fewer words than in the item would move all that follows. A third channel therefore
+takes adjacent tokens of one slot type as one placeholder.
+
 A document is a leak of an item when the windows found of that item cover at least ``coverage`` of the item's tokens
-in one channel and the slots are consistent: in the template channel the values that the document has in the item's
-slots must be a function of the item's values (two places with one value in the item have one value in the document)
-for at least ``slot_share`` of the places with a repeated value.
+in one channel, wherever they lie, and the slots are consistent: in the template channels the values that the document
+has in the item's slots must be a function of the item's values (two places with one value in the item have one value
+in the document) for at least ``slot_share`` of the repeated values. Where the windows of the whole document are not
+consistent (it may hold the item several times with different values), each offset between the document's and the
+item's places is tried alone and with the offsets up to half the item's length away, of which the nearest fills a place.
 
 The windows of the benchmark are broadcast where their number is within ``BROADCAST_WINDOWS``; beyond that the
 document's windows are joined with them by a shuffled hash join. Nothing is capped in either form.
@@ -96,10 +101,19 @@ def _hashed(values: np.ndarray, k: int, salt: int) -> np.ndarray:
         return windows_hash(values ^ np.uint64(salt), k)
 
 
+def _channels(literal: np.ndarray, template: np.ndarray, slot: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(channel, values, starts, ends): the places of each channel and the tokens that each of them takes."""
+    n = np.arange(len(literal) + 1)
+    first = np.ones(len(literal), dtype=bool)
+    first[1:] = ~(slot[1:] & slot[:-1] & (template[1:] == template[:-1]))
+    starts = np.flatnonzero(first)
+    return [(0, literal, n[:-1], n[1:]), (1, template, n[:-1], n[1:]), (2, template[starts], starts, np.append(starts[1:], len(literal)))]
+
+
 def benchmark_windows(bench: DataFrame, id_col: str, text_col: str, window: int, min_tokens: int) -> DataFrame:
-    """(item_id, channel, size, pos, hash, n_tokens, slots): slots numbers equal slot values alike, -1 elsewhere.
+    """(item_id, channel, size, pos, hash, n_tokens, slots): slots has the values of each place, numbered so that equal ones are alike.
 
-    An item with fewer than ``window`` tokens has one window of its own length; below ``min_tokens`` it has none:
+    A channel with fewer than ``window`` places has one window of its own length; below ``min_tokens`` it has none:
     so short a text is no evidence.
     """
 
@@ -108,23 +122,28 @@ def benchmark_windows(bench: DataFrame, id_col: str, text_col: str, window: int,
             out: list[tuple] = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 literal, template, slot = canonical(text)
-                n = len(literal)
-                if n < min_tokens:
-                    continue
-                k = min(window, n)
                 number: dict = {}
-                slots = [number.setdefault(w, len(number)) if s else -1 for w, s in zip(literal.tolist(), slot.tolist())]
-                for channel, values in ((0, literal), (1, template)):
+                value = [number.setdefault(w, len(number)) for w in literal.tolist()]
+                for channel, values, starts, ends in _channels(literal, template, slot):
+                    n = len(values)
+                    if n < min_tokens:
+                        continue
+                    k = min(window, n)
+                    slots = [value[a:b] if channel and slot[a] else [] for a, b in zip(starts.tolist(), ends.tolist())]
                     for pos, h in enumerate(_hashed(values, k, channel).view(np.int64).tolist()):
                         out.append((item, channel, k, pos, h, n, slots[pos:pos + k]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32())))], names=["item_id", "channel", "size", "pos", "hash", "n_tokens", "slots"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.list_(pa.int32()))))], names=["item_id", "channel", "size", "pos", "hash", "n_tokens", "slots"])
 
     rows = bench.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null")
-    return rows.mapInArrow(run, "item_id long, channel int, size int, pos int, hash long, n_tokens int, slots array<int>")
+    return rows.mapInArrow(run, "item_id long, channel int, size int, pos int, hash long, n_tokens int, slots array<array<int>>")
 
 
-def _document_windows(docs: DataFrame, sizes: list[int], known: np.ndarray | None) -> DataFrame:
-    """(doc_id, row, channel, size, at, hash, values) of the windows; those in ``known`` only, where given."""
+def _document_windows(docs: DataFrame, sizes: list[tuple[int, int]], known: np.ndarray | None, longest: int) -> DataFrame:
+    """(doc_id, channel, size, at, hash, said) of the windows; those in ``known`` only, where given.
+
+    sizes: channel and size of the windows. said: the values of each place; more of them than ``longest``, which no item has
+    in a place, become one hash.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,28 +151,48 @@ def _document_windows(docs: DataFrame, sizes: list[int], known: np.ndarray | Non
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 literal, template, slot = canonical(text.as_py())
                 said_all = literal.view(np.int64)
-                for k in sizes:
-                    for channel, values in ((0, literal), (1, template)):
-                        h = _hashed(values, k, channel).view(np.int64)
-                        if not len(h):
-                            continue
-                        if known is None:
-                            at = np.arange(len(h))
-                        else:
-                            place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                            at = np.flatnonzero(known[place] == h)
-                        for a in at.tolist():
-                            said = said_all[a:a + k].tolist() if channel else []
-                            out.append((doc, channel, k, a, int(h[a]), said))
-                if len(out) > 20_000:
-                    yield _batch(out)
-                    out = []
+                places = _channels(literal, template, slot)
+
+                def said(a: int, b: int) -> list[int]:
+                    return said_all[a:b].tolist() if b - a <= longest else _hashed(literal[a:b], b - a, 3).view(np.int64).tolist()
+
+                for channel, k in sizes:
+                    _, values, starts, ends = places[channel]
+                    h = _hashed(values, k, channel).view(np.int64)
+                    if not len(h):
+                        continue
+                    if known is None:
+                        at = np.arange(len(h))
+                    else:
+                        place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        at = np.flatnonzero(known[place] == h)
+                    for a in at.tolist():
+                        out.append((doc, channel, k, a, int(h[a]), [said(int(x), int(y)) if slot[x] else [] for x, y in zip(starts[a:a + k], ends[a:a + k])] if channel else []))
+                        if len(out) > 20_000:
+                            yield _batch(out)
+                            out = []
             yield _batch(out)
 
     def _batch(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())))], names=["doc_id", "channel", "size", "at", "hash", "said"])
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.list_(pa.int64()))))], names=["doc_id", "channel", "size", "at", "hash", "said"])
 
-    return docs.mapInArrow(run, "doc_id long, channel int, size int, at int, hash long, said array<long>")
+    return docs.mapInArrow(run, "doc_id long, channel int, size int, at int, hash long, said array<array<long>>")
+
+
+def _judged(places: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_tokens, coverage, agree) of places of items found: place, slots and said of each.
+
+    agree: of the item's values that fill several places, the share that kept one value in the document. Places with equally many
+    values on both sides are compared one by one; a single value may have become several, but not at the item's ends,
+    where words of the document around it may have joined.
+    """
+    covered = places.groupBy(*keys, "n_tokens").agg(F.count_distinct("place").alias("covered"))
+    pairs = F.expr("""case when size(slots) = size(said) then transform(slots, (x, j) -> struct(j, x as slot, said[j] as said))
+        when size(slots) = 1 and place > 0 and place < n_tokens - 1 then array(struct(0 as j, slots[0] as slot, xxhash64(said) as said)) end""")
+    values = places.where("channel > 0 and size(slots) > 0").select(*keys, "place", F.explode(pairs).alias("z")).select(*keys, "place", "z.*")
+    values = values.groupBy(*keys, "slot").agg(F.count_distinct("place", "j").alias("k"), F.count_distinct("said").alias("kinds")).where("k > 1")
+    values = values.groupBy(*keys).agg(F.avg(F.expr("if(kinds = 1, 1d, 0d)")).alias("agree"))
+    return covered.join(values, keys, "left").select(*keys, "n_tokens", (F.col("covered") / F.col("n_tokens")).alias("coverage"), F.coalesce("agree", F.lit(1.0)).alias("agree"))
 
 
 def benchmark_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, min_tokens: int = MIN_TOKENS, coverage: float = COVERAGE, slot_share: float = SLOT_SHARE) -> DataFrame:
@@ -166,27 +205,30 @@ def benchmark_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", t
     spark = docs.sparkSession
     bounded_batches(spark)
     items = materialize(benchmark_windows(bench, item_col, item_text_col, window, min_tokens), "bench")
-    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most ``window`` values
+    sizes = sorted((r[0], r[1]) for r in items.select("channel", "size").distinct().collect())  # at most ``window`` values a channel
+    longest = items.agg(F.max(F.array_max(F.transform("slots", F.size)))).first()[0] or 1
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     known = items.select("hash").distinct()
     small = known.count() <= BROADCAST_WINDOWS
     table = np.sort(np.array([r[0] for r in known.collect()], dtype=np.int64)) if small else None
     if small and not len(table):
         table = np.zeros(1, dtype=np.int64)
-    found = _document_windows(rows, sizes, table)
+    found = _document_windows(rows, sizes, table, max(longest, 1))
     joined = materialize(found.join(F.broadcast(items) if small else items, ["hash", "channel", "size"]), "hits")
 
-    # windows of one occurrence have one offset between the document's and the item's places
-    joined = joined.withColumn("offset", F.col("at") - F.col("pos"))
-    places = F.expr("sequence(pos, pos + size - 1)")
-    seen = joined.select("doc_id", "item_id", "channel", "offset", "n_tokens", "pos", "size", "slots", "said")
-    per = seen.withColumn("place", F.explode(places)).groupBy("doc_id", "item_id", "channel", "offset", "n_tokens").agg(F.count_distinct("place").alias("covered"))
-    # slots: of the item's values that fill several places, the share that kept one value in the document
-    slots = seen.where("channel = 1").select("doc_id", "item_id", "offset", F.explode(F.expr("transform(sequence(0, size - 1), i -> struct(pos + i as place, slots[i] as slot, said[i] as said))")).alias("z"))
-    slots = slots.where("z.slot >= 0").select("doc_id", "item_id", "offset", "z.*").distinct()
-    slots = slots.groupBy("doc_id", "item_id", "offset", "slot").agg(F.count("*").alias("k"), F.count_distinct("said").alias("kinds")).where("k > 1")
-    slots = slots.groupBy("doc_id", "item_id", "offset").agg(F.avg(F.expr("if(kinds = 1, 1d, 0d)")).alias("agree")).withColumn("channel", F.lit(1))
-    per = per.join(slots, ["doc_id", "item_id", "offset", "channel"], "left").withColumn("agree", F.coalesce("agree", F.lit(1.0)))
-    per = per.withColumn("coverage", F.col("covered") / F.col("n_tokens")).where(F.col("coverage") >= coverage).where(F.col("agree") >= slot_share)
+    pair = ["doc_id", "item_id", "channel"]
+    seen = joined.select(*pair, "n_tokens", (F.col("at") - F.col("pos")).alias("offset"), "pos", F.posexplode(F.expr("if(channel = 0, transform(slots, x -> struct(x as slots, cast(null as array<bigint>) as said)), arrays_zip(slots, said))")).alias("i", "z"))
+    seen = seen.select(*pair, "n_tokens", "offset", (F.col("pos") + F.col("i")).alias("place"), "z.slots", "z.said")
+    whole = materialize(_judged(seen, pair).where(F.col("coverage") >= coverage), "whole")
+    # no part covers more than the whole, so parts matter only where the whole is not consistent
+    torn = whole.where(F.col("agree") < slot_share)
+    part = seen.join(torn.select(*pair), pair, "left_semi").withColumn("reach", F.greatest(F.lit(1), F.floor(F.col("n_tokens") / 2)))
+    part = part.withColumn("cell", F.floor(F.col("offset") / F.col("reach")))
+    anchors = part.select(*pair, "cell", F.col("offset").alias("anchor")).distinct().withColumn("cell", F.explode(F.expr("sequence(cell - 1, cell + 1)")))
+    part = part.join(anchors, [*pair, "cell"]).withColumn("far", F.abs(F.col("offset") - F.col("anchor"))).where("far <= reach")
+    part = part.withColumn("wide", F.explode(F.array(F.lit(0), F.lit(1)))).where("wide = 1 or far = 0")
+    part = part.groupBy(*pair, "anchor", "wide", "n_tokens", "place").agg(F.min_by(F.struct("slots", "said"), F.struct("far", "offset")).alias("z"))
+    part = _judged(part.select(*pair, "anchor", "wide", "n_tokens", "place", "z.slots", "z.said"), [*pair, "anchor", "wide"]).where(F.col("coverage") >= coverage)
+    per = whole.select(*pair, "coverage", "agree").unionByName(part.select(*pair, "coverage", "agree")).where(F.col("agree") >= slot_share)
     best = F.struct(F.col("coverage"), (-F.col("channel")).alias("c"), F.col("agree"))
     return per.groupBy("doc_id", "item_id").agg(F.max(best).alias("b")).select("doc_id", "item_id", F.col("b.coverage").alias("coverage"), F.col("b.agree").alias("slots_agree"), F.expr("if(b.c = 0, 'literal', 'template')").alias("channel"))

@@ -130,6 +130,21 @@ def test_reparameterised(spark, limit, monkeypatch):
     assert decontam.benchmark_leaks(docs.limit(0), item).count() == 0 and decontam.benchmark_leaks(docs, item.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_leaks_with_shifted_offsets(spark, limit, monkeypatch):
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", limit)
+    plain = [f"w{chr(97 + i)}x" for i in range(26)]
+    item = "on monday Maria bought 12 kg of apples and 30 oranges from the old market then later Maria sold 5 kg of them to Peter for 7 dollars"
+    long_name = "on monday {} bought 99 km of apples and 41 oranges from the old market then later {} sold 8 km of them to Eve for 3 dollars"
+    bench = spark.createDataFrame([(1, " ".join(plain)), (2, item)], "item_id long, text string")
+    mary = long_name.format("Mary Ann Lopez", "Mary Ann Lopez")
+    docs = [" ".join(plain[:13] + ["extra"] + plain[13:]), " ".join(plain[:13] + plain[14:]), " ".join(plain[:13] + ["between"] * 60 + plain[13:]), " ".join(plain[:14]), mary,
+            long_name.format("Mary Ann Lopez", "Tim Ann Lopez").replace("8 km", "8 mi"), mary + ". again " + mary.replace("Mary Ann", "John").replace("km", "mi"),
+            mary.replace("old market", "very old market"), mary.replace("Mary Ann Lopez", "John").replace("old market", "old and dirty market")]
+    got = {(r["doc_id"], r["item_id"]) for r in rows(decontam.benchmark_leaks(spark.createDataFrame(list(enumerate(docs)), DOCS), bench))}
+    assert got == {(0, 1), (1, 1), (2, 1), (4, 2), (6, 2), (7, 2), (8, 2)}
+
+
 # ---------------------------------------------------------------- html
 
 PAGE = """<html><head><title>t</title><script>var a = "</p>";</script></head><body class="with-sidebar"><header><a href=/>Home</a> A slogan of the site.</header><div id="cookie-notice">We use cookies. Please accept all of them.</div>
