@@ -4,7 +4,8 @@ A writer who wants to slip past a filter sends a word through a channel that swa
 (``1d10t``), spreads it out (``i d i o t``, ``i.d.i.o.t``) or repeats letters (``idiooot``). A suspicious token is
 turned into a lattice of the letters each character may stand for, with the channel's costs, and a Viterbi search
 under a character trigram model restores the likeliest word. The model's counts come from the whole corpus. The
-restored words are added to the words as they stand, and both are scored.
+restored words are added to the words as they stand, and both are scored. Where letters are spread out, one word may
+end and the next begin between any two of them, so the lattice also holds word edges there.
 
 The score has two parts, both learned from a bounded sample of labelled rows (``max_train``): log odds of words and
 word beginnings (3 to 6 letters, so that inflected and compounded forms share evidence), and a logistic model over
@@ -106,10 +107,13 @@ def char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
 
 #: costs of the channel's moves (negative log probabilities)
 SWAP, KEEP_ODD, DROP_REPEAT, KEEP_REPEAT = 0.7, 4.0, 0.3, 2.5
+#: a letter written twice, which most words with one have by right; a word edge between spread letters
+DROP_DOUBLE, EDGE = 2.0, 2.0
 
 _SPREAD = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]|[0-9@$!|+€])(?:[ .\-_*]{1,2}(?:[^\W\d_]|[0-9@$!|+€])){2,}(?![^\W\d_])")
 _MIXED = re.compile(r"[^\W_]*[0-9@$!|+€£¡][\w@$!|+€£¡]*")
-_RUN = re.compile(r"([^\W\d_])\1{2,}")
+_RUN = re.compile(r"([^\W\d_])\1")
+_LETTER = re.compile(r"([ .\-_*]*)([^ .\-_*])")
 # what a text must hold for the patterns above to find anything
 _MAY_SPREAD = re.compile(r"\b\w[ .\-_*]{1,2}[\w@$!|+€][ .\-_*]|[@$!|+€][ .\-_*]{1,2}[\w@$!|+€][ .\-_*]")
 _MAY_MIX = re.compile(r"[0-9@$!|+€£¡]")
@@ -117,8 +121,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 _EDGE = "!$|+*#%&.,;:?\"'()[]{}<>=~^`/\\"
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """Choices of each place: (letter or '', cost). Runs of three or more of one letter may shrink to two or one."""
+def lattice(token: str, edges: list[list[tuple[str, float]]] | None = None) -> list[list[tuple[str, float]]]:
+    """Choices of each place: (letter or '', cost). Runs of three or more of one letter may shrink to two or one, runs of two to one.
+
+    edges: the choices (' ' for a word edge) before each letter but the first.
+    """
     out: list[list[tuple[str, float]]] = []
     i, n = 0, len(token)
     while i < n:
@@ -131,11 +138,16 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             choices = [(x, SWAP) for x in LOOKALIKES[c]] + [(c, KEEP_ODD)]
         else:
             choices = [(c, 0.0)]
-        if run >= 3:
-            out.append(choices)
-            out.append([("", DROP_REPEAT)] + [(x, p + KEEP_REPEAT) for x, p in choices])
-        else:
-            out.extend([choices] * run)
+        if edges and i:
+            out.append(edges[i - 1])
+        out.append(choices)
+        if run > 1:
+            if edges:
+                out.append(min(edges[i:j - 1], key=lambda e: (e[0][0] == "", e[-1][1])))
+            if run > 2:
+                out.append([("", DROP_REPEAT)] + [(x, p + KEEP_REPEAT) for x, p in choices])
+            else:
+                out.append([*choices, ("", DROP_DOUBLE)])
         i = j
     return out
 
@@ -151,7 +163,7 @@ def viterbi(places: list[list[tuple[str, float]]], model: CharModel) -> str:
         for (a, b), cost in states.items():
             for letter, price in choices:
                 if letter:
-                    code = _CODE.get(letter, 1)
+                    code = _CODE.get(letter, 1) if letter != " " else 0
                     key, new = (b, code), cost + price - float(logp[a, b, code])
                 else:
                     key, new = (a, b), cost + price
@@ -169,26 +181,41 @@ def viterbi(places: list[list[tuple[str, float]]], model: CharModel) -> str:
     return "".join(reversed(out))
 
 
-def restored(text: str, model: CharModel, cache: dict) -> set[str]:
-    """Words that the suspicious tokens of a lower-cased text may stand for."""
+def spread_words(run: str, model: CharModel) -> set[str]:
+    """Words that letters spread out may stand for: one word, and cut at word edges, with and without the first letter,
+    which may be a word of its own.
+
+    An edge costs ``EDGE``, or nothing at a gap that is wider than others of the run, or a space where others are marks; these
+    gaps are also taken as edges throughout. As the model may know a corpus of other words, edges are tried without cost too.
+    """
+    parts = _LETTER.findall(run)
+    token, gaps = "".join(c for _, c in parts), [g for g, _ in parts[1:]]
+    least, marks = min(map(len, gaps)), any(" " not in g for g in gaps)
+    wide = [len(g) > least or (marks and " " in g) for g in gaps]
+    edge, free, forced = [("", 0.0), (" ", EDGE)], [("", 0.0), (" ", 0.0)], [(" ", 0.0)]
+    ways: list = [None, [free if w else edge for w in wide], [free] * len(gaps)]
+    if any(wide):
+        ways.append([forced if w else edge for w in wide])
+        ways.append([forced if w else [("", 0.0)] for w in wide])
+    return {w for way in ways for k in (0, 1) for w in _WORD.findall(viterbi(lattice(token[k:], way and way[k:]), model))}
+
+
+def restored(text: str, words: set[str], model: CharModel, cache: dict) -> set[str]:
+    """Words that the suspicious tokens of a lower-cased text with these words may stand for."""
     found: set[str] = set()
-    tokens: set[str] = set()
-    spread: set[str] = set()  # joined letters are a new word even if nothing else changes
+    tokens: set[str] = {w for w in words if _RUN.search(w)}
     if _MAY_SPREAD.search(text):
-        spread.update("".join(c for c in m if c not in " .-_*") for m in _SPREAD.findall(text))
-        tokens |= spread
+        for m in set(_SPREAD.findall(text)):  # joined letters are a new word even if nothing else changes
+            if not any(c.isalpha() for c in m):
+                continue
+            got = cache.get(" " + m)
+            if got is None:
+                got = spread_words(m, model)
+                if len(cache) < 200_000:
+                    cache[" " + m] = got
+            found |= got
     if _MAY_MIX.search(text):
         tokens.update(m.rstrip(_EDGE) for m in _MIXED.findall(text))
-    b = 0
-    for m in _RUN.finditer(text):
-        if m.start() < b:  # in the word before
-            continue
-        a, b = m.span()
-        while a and text[a - 1].isalpha():
-            a -= 1
-        while b < len(text) and text[b].isalpha():
-            b += 1
-        tokens.add(text[a:b])
     for t in tokens:
         if len(t) < 3 or not any(c.isalpha() for c in t):
             continue
@@ -197,7 +224,7 @@ def restored(text: str, model: CharModel, cache: dict) -> set[str]:
             got = viterbi(lattice(t), model)
             if len(cache) < 200_000:
                 cache[t] = got
-        if got != t or t in spread:
+        if got != t:
             found.update(_WORD.findall(got))
     return found
 
@@ -208,7 +235,7 @@ def all_words(text: str | None, model: CharModel, cache: dict) -> set[str]:
         return set()
     low = text.lower()
     words = set(_WORD.findall(low))
-    return words | restored(low, model, cache)
+    return words | restored(low, words, model, cache)
 
 
 def word_features(word: str) -> list[str]:

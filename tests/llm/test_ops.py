@@ -373,6 +373,27 @@ def test_obfuscated_documents_are_caught(spark):
     assert all(0 <= r["score"] <= 1 for r in rows(toxicity.score_toxicity(new, model, untaught)))
 
 
+def test_spread_letters_are_cut_into_words(spark):
+    docs = spark.createDataFrame([(i, "you are an idiot and such a loser you stupid clown, the moron is pathetic") for i in range(40)], DOCS)
+    model = toxicity.char_model(docs)
+    for text, want in (("you are a m o r o n", "moron"), ("such a l o s e r", "loser"), ("y o u a r e a n i d i o t", "idiot"), ("y o u  a r e  a n  i d i o t", "idiot"), ("5 m o r o n", "moron"),
+                       ("i d i o t m o r o n", "moron"), ("i.d.i.o.t m.o.r.o.n", "moron"), ("i d i o t  1 0 s e r", "loser"), ("an iddiot", "idiot"), ("i d d i o t", "idiot")):
+        assert want in toxicity.all_words(text, model, {}), text
+    assert toxicity.viterbi(toxicity.lattice("moron"), model) == "moron"
+
+
+def test_spread_documents_are_caught(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(6))
+    docs = [(i, " ".join([word() for _ in range(40)] + (["idiot", "moron"] if i % 4 == 0 else []))) for i in range(400)]
+    df, labels = spark.createDataFrame(docs, DOCS), spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in docs], "doc_id long, toxic int")
+    model = toxicity.char_model(df)
+    scorer = toxicity.fit(df, labels, model, F.lit(True))
+    new = spark.createDataFrame([(5, "i d i o t m o r o n"), (6, "a m o r o n a i d i o t"), (7, "a b c d e f")], DOCS)
+    got = {r["doc_id"]: r["score"] for r in rows(toxicity.score_toxicity(new, model, scorer))}
+    assert got[5] > 0.5 and got[6] > 0.5 > got[7]
+
+
 def test_long_tokens_take_linear_time():
     model = toxicity.CharModel(np.ones(toxicity._K ** 3))
     for t in ("a" * 50_000, "aaabbb" * 5_000, "a1" * 20_000, "x y " * 10_000):
