@@ -101,7 +101,7 @@ def corroborate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalogue_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cat = table(spark, sf_dir, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("course_id"), (F.col("p_partkey") % 7 + 1).cast("int").alias("day_of_week"), (F.col("p_partkey") % 6 * 2 + 1).cast("int").alias("period_start"), (F.col("p_partkey") % 6 * 2 + 2).cast("int").alias("period_end"), F.concat(F.lit("c.*"), (F.col("p_partkey") % 10).cast("string"), F.lit("$")).alias("alias"))
+    cat = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("course_id"), (F.col("p_partkey") % 7 + 1).cast("int").alias("day_of_week"), (F.col("p_partkey") % 6 * 2 + 1).cast("int").alias("period_start"), (F.col("p_partkey") % 6 * 2 + 2).cast("int").alias("period_end"), F.concat(F.lit("c.*"), (F.col("p_partkey") % 10).cast("string"), F.lit("$")).alias("alias"))
     cells = _cells(spark, sf_dir).withColumn("period_end", F.col("period_start") + 1)
     return O.catalogue_matches(cells, cat).select("image_id", "seq", "course_id")
 
