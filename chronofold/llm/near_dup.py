@@ -99,7 +99,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: OrderedDict = OrderedDict()  # sets of recent pivots
 
-        def of(key, text):
+        def of(i, text):
+            key = (i, text)  # an id may have several texts
             if key not in kept:
                 kept[key] = shingle_set(text, k)
                 if len(kept) > 64:

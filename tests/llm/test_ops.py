@@ -94,6 +94,16 @@ def test_query_near_dup(spark, sf_dir):
     assert {r["doc_id"]: r["component_id"] for r in rows(op3_near_dup(spark, sf_dir))} == want
 
 
+def test_an_id_with_two_texts_is_linked_by_either(spark):
+    a, b = [" ".join(f"{x}{i}" for i in range(120)) for x in "ab"]
+    docs = [(1, a), (1, b), (2, a + " more"), (3, b + " more")]
+    want = brute_components(docs)
+    assert set(want.values()) == {1} and {r["component_id"] for r in rows(near_dup.near_duplicates(spark.createDataFrame(docs, DOCS)))} == {1}
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long").coalesce(1)
+    got = rows(near_dup._verified(pairs, spark.createDataFrame(docs, DOCS).coalesce(1), 85, 5).coalesce(1))
+    assert sorted((r["a"], r["b"]) for r in got if r["linked"]) == [(1, 2), (1, 3)] and len(got) == 4
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["comp"] for r in rows(connected_components(edges))}
