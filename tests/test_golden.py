@@ -186,3 +186,9 @@ def test_expansion_round_trip(spark, sf_dir):
     weeks = C.gather_weeks(a.select("id", F.explode(C.rule_weeks()).alias("week")))
     assert a.select("id", C.rule_weeks().alias("w")).join(weeks, "id").where("w <> weeks").isEmpty()
     assert len(schema.NO_CLASS_DATES) == 33
+
+
+def test_split_details_keeps_all_pieces(spark):
+    got = one(spark, "head " + "123456 " * 100_005 + "654321 last", O.split_details)
+    assert len(got) == 100_006 and got[-1] == "654321 last"
+    assert one(spark, None, O.split_details) is None and one(spark, "", O.split_details) == []
