@@ -36,6 +36,8 @@ _ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 _SKIP = frozenset(SKIPPED.split())
+# without an end tag these take the rest of the page
+_RAW = frozenset("script style textarea title".split())
 _END_OF = {t: re.compile(rf"</{t}\s*>", re.I) for t in _SKIP}
 
 #: weights of the classifier: constant, in content, in boilerplate, per doubling of words (up to 6), sentence ends, heading, link share
@@ -69,12 +71,17 @@ class Block:
 
 
 def blocks(html: str) -> list[Block]:
-    """Text blocks in page order. Works on broken markup: missing end tags close with their parents, stray ones are ignored."""
+    """Text blocks in page order. Works on broken markup: missing end tags close with their parents, stray ones are ignored.
+
+    A skipped element without an end tag ends at the next block; only raw text goes to the end of the page.
+    """
     out: list[Block] = []
     # stack of block elements: tag, number of the element, in content, in boilerplate
     stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
     open_tags: dict[str, int] = {}
     number, parts, links, in_link, heading = 0, [], 0, False, False
+    endless: set[str] = set()  # elements with no end tag from here on
+    skipping = False
 
     def flush() -> None:
         nonlocal parts, links, heading
@@ -103,7 +110,7 @@ def blocks(html: str) -> list[Block]:
             chunk, nxt = html[pos:], n
         else:
             chunk, nxt = html[pos:m.start()], m.end()
-        if chunk:
+        if chunk and not skipping:
             parts.append(chunk)
             if in_link:
                 links += len(chunk)
@@ -113,11 +120,18 @@ def blocks(html: str) -> list[Block]:
         tag, closing = m.group(2).lower(), bool(m.group(1))
         if tag in _SKIP:
             if not closing and not m.group(3).endswith("/"):
-                end = _END_OF[tag].search(html, pos)
-                if end is None and tag == "head":
-                    continue
+                end = None if tag in endless else _END_OF[tag].search(html, pos)
+                if end is None:
+                    endless.add(tag)
+                    if tag == "head":
+                        continue
                 flush()
-                pos = end.end() if end else n
+                if end:
+                    pos = end.end()
+                elif tag in _RAW:
+                    pos = n
+                else:
+                    skipping = True
             continue
         if tag == "a":
             in_link = not closing
@@ -125,8 +139,9 @@ def blocks(html: str) -> list[Block]:
         if tag == "br":
             parts.append(" ")
             continue
-        if tag not in BLOCK:
+        if tag not in BLOCK or (skipping and tag in ("option", "optgroup")):
             continue
+        skipping = False
         flush()
         in_link = False
         if closing:

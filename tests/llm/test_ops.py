@@ -169,6 +169,16 @@ def test_main_text():
     assert len(htmltext.main_text("<article>" + "<p>One sentence of words here. " * 3000)) > 80_000
 
 
+@pytest.mark.parametrize("tag", ["button", "select", "svg", "math", "object", "noscript", "template", "video", "audio", "canvas", "iframe"])
+def test_main_text_goes_on_after_an_element_without_end(tag):
+    page = f"<article><p>The first paragraph has some words in it.</p><{tag} x=1><option>Label<p>The second paragraph has more words in it.</p><p>A third one ends the page here.</p></article>"
+    got = htmltext.main_text(page)
+    assert "first paragraph" in got and "second paragraph has more words in it. A third one ends" in got
+    assert tag != "select" or "Label" not in got
+    assert "second" not in htmltext.main_text(page.replace(f"<{tag} x", "<script x"))
+    htmltext.main_text(f"<{tag}>" * 50_000)
+
+
 def test_minimum_cut_is_optimal():
     rng = random.Random(3)
     for _ in range(200):
