@@ -422,14 +422,16 @@ def test_long_tokens_take_linear_time():
 
 # ---------------------------------------------------------------- search
 
-def test_search_equals_brute_force(spark):
+def test_search_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(search, "SEGMENT_DOCS", 90)
+    monkeypatch.setattr(search, "QUERY_TERMS", 150)
     rng = random.Random(9)
     word = lambda k: "t" + chr(97 + k // 10) + chr(97 + k % 10)
     docs = [(i, " ".join(word(min(int(rng.expovariate(0.08)), 80)) for _ in range(rng.randrange(0, 60)))) for i in range(300)] + [(300, None), (301, ""), (5, "tbb tbc")]
     df = spark.createDataFrame(docs, DOCS)
     queries = df.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
     got = defaultdict(list)
-    for r in sorted(rows(search.top_k(df, queries, k=7, shard_docs=90)), key=lambda r: r["rank"]):
+    for r in sorted(rows(search.top_k(df, queries, k=7)), key=lambda r: r["rank"]):
         got[r["query_id"]].append((r["doc_id"], r["score"]))
     terms = [Counter((t or "").split()) for _, t in docs]
     length = [sum(c.values()) for c in terms]
