@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -31,38 +32,96 @@ def ship_package(spark: SparkSession) -> None:
         atexit.register(shutil.rmtree, target.parent, True)
         _SHIPPED.add(app)
 
+
 LOCAL_SHARED = "/tmp/checkpoints/chronofold"
+_LOCAL: list[str] = []
+_OPENED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """The folder every executor can read: ``spark.checkpoint.dir``. Where it is unset, a local folder in local mode; elsewhere an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    own = f"{LOCAL_SHARED}/{uuid.uuid4().hex[:8]}"
-    atexit.register(shutil.rmtree, own, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _LOCAL:
+        _LOCAL.append(f"{LOCAL_SHARED}/{uuid.uuid4().hex[:8]}")
+        atexit.register(shutil.rmtree, _LOCAL[0], True)
+    return f"file://{_LOCAL[0]}"
+
+
+def _delete(jvm, conf, path: str) -> None:
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+    """A new place below the application's own folder in the shared one, which is deleted when the driver's Python ends."""
+    own = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if own not in _OPENED:
+        _OPENED.add(own)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+        def end() -> None:
+            with contextlib.suppress(Exception):  # the JVM may be gone
+                _delete(jvm, conf, own)
+
+        atexit.register(end)
+    return f"{own}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to a new table in the shared folder and read it back, which cuts its lineage."""
+    """Write ``df`` to a new table in the shared folder and read it back, which cuts its lineage. ``discard`` deletes the table."""
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        _delete(spark._jvm, spark._jsc.hadoopConfiguration(), t._written_to)
+
+
+#: rows of one key from which on a join deals them to several tasks, the number of these, and the hot keys that may be broadcast
+HOT_ROWS, SALTS, BROADCAST_HOT = 1000, 32, 200_000
+
+
+def dealt(large: DataFrame, small: DataFrame, key: str, by: str, hot_rows: int | None = None, salts: int = SALTS) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an equality join on ``key`` with a column ``__salt`` to be joined on too.
+
+    A key with over ``hot_rows`` (``HOT_ROWS``) rows in ``large`` (which is read twice: hand in a written table) is dealt to ``salts`` parts by the hash of ``by``; ``small`` has its rows for each
+    of these. Other keys have the one salt 0.
+    """
+    hot = materialize(large.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > (HOT_ROWS if hot_rows is None else hot_rows)).select(key, F.lit(True).alias("__hot")), "hot")
+    known = F.broadcast(hot) if hot.count() <= BROADCAST_HOT else hot
+    left = large.join(known, key, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).otherwise(0)).drop("__hot")
+    right = small.join(known, key, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+    return left, right
 
 
 def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Before Python runs on executors. Arrow batches are bounded by rows only, so a batch of long texts must have few of them."""
+    """Before Python runs on executors. Arrow batches are bounded by rows only, so a batch of long texts must have few of them.
+
+    The setting is the session's, and is read when a plan runs, so it stays in force after the call.
+    """
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
@@ -24,7 +24,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
         step = step.join(up, "comp", "left").select("node", "old", F.least("comp", F.coalesce("top", "comp")).alias("comp"))
         step = materialize(step, "cc")
-        labels = step.select("node", "comp")
-        if step.where("comp <> old").isEmpty():
-            return labels
+        settled = step.where("comp <> old").isEmpty()
+        discard(labels)
+        labels = step
+        if settled:
+            discard(both)
+            return labels.select("node", "comp")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -2,9 +2,9 @@
 
 Instead of one independent band of minhashes for each hash table, a document gets a few short *collections* of
 minhashes, and the key of a table is a pair of collections: ``m`` collections of ``r`` minhashes give
-``m (m - 1) / 2`` tables with keys of ``2 r`` minhashes. With the defaults (m = 14, r = 3) 42 minhashes stand for
-91 bands of 6, which independent bands would compute from 546. Two sets share a key as soon as two of the 14
-collections agree, which fails for a pair at similarity 0.85 with probability 4e-5.
+``m (m - 1) / 2`` tables with keys of ``2 r`` minhashes. With the defaults (m = 16, r = 3) 48 minhashes stand for
+120 bands of 6, which independent bands would compute from 720. Two sets share a key as soon as two of the 16
+collections agree, which fails for a pair at similarity 0.8 with probability 2e-4, at 0.85 (where 14 collections do) with 4e-5.
 
 Steps (all tables; no cap on a group's size, its candidates or its partners):
 
@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, materialize, mix64, windows_hash, word_hashes
+from .common import bounded_batches, dealt, discard, materialize, mix64, windows_hash, word_hashes
 from .components import connected_components
 
-COLLECTIONS, ROWS, SHINGLE = 14, 3, 5
+COLLECTIONS, ROWS, SHINGLE = 16, 3, 5
 #: ids up to this number may be broadcast for a semi join (16 MB of longs)
 BROADCAST_IDS = 2_000_000
 
@@ -118,8 +118,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
                 out.append(100 * inter >= percent * (len(x) + len(y) - inter))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names=["a", "b", "linked"])
 
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    # one pivot may be in very many pairs
+    ends = [texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab"]
+    pairs, of_a = dealt(pairs, ends[0], "a", "b")
+    both = pairs.join(ends[1], "b").join(of_a, ["a", "__salt"])
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean")
 
 
@@ -148,7 +150,7 @@ def _prefixes(ids: DataFrame, whole: DataFrame, texts: DataFrame, percent: int,
     return ranked.where(F.expr(some)).select("key", "rep", "n", F.expr("if(several, 0L, u)").alias("u"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, collections: int = COLLECTIONS, rows: int = ROWS, shingle: int = SHINGLE, max_rounds: int = 40) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, collections: int = COLLECTIONS, rows: int = ROWS, shingle: int = SHINGLE, max_rounds: int = 40) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Words are runs of bytes other than space and 0x09-0x0D after A-Z are lower-cased; a document's set holds its
@@ -173,7 +175,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pair_keys = F.expr("flatten(transform(c, (x, p) -> transform(slice(c, p + 2, size(c)), y -> xxhash64(x.i, y.i, x.v, y.v))))")
     keys = materialize(some.select("rep", "n", F.explode(pair_keys).alias("key")), "keys")
     crowded = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot"), F.min_by("n", "rep").alias("pivot_n")).where("size > 1")
-    groups = materialize(keys.join(crowded, "key"), "groups")
+    members, pivots_of = dealt(keys, crowded, "key", "rep")
+    groups = materialize(members.join(pivots_of, ["key", "__salt"]).drop("__salt"), "groups")
+    discard(keys)
 
     ids = materialize(groups.select("rep").distinct(), "ids")
     n_ids = ids.count()
@@ -184,7 +188,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     fits = f"100 * least(n, other_n) >= {percent} * greatest(n, other_n)"
     pairs = groups.where("rep <> pivot").withColumn("other_n", F.col("pivot_n")).where(fits).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    checked = materialize(_verified(pairs, texts, percent, shingle), "checked")
+    checked = materialize(_verified(materialize(pairs, "pairs"), texts, percent, shingle), "checked")
     # an id with several texts is one node: it links the classes of its texts
     of_id = full.select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"])
     own = of_id.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.collect_set("rep").alias("reps")).where("a <> z")
@@ -215,11 +219,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # a pair is taken in the first group only of those where it meets
         active_keys = active.groupBy("rep").agg(F.sort_array(F.collect_list("key")).alias("ks"))
         chosen_keys = chosen.groupBy("p").agg(F.sort_array(F.collect_list("key")).alias("pks"))
-        met, chosen = active.join(active_keys, "rep"), chosen.join(chosen_keys, "p").withColumnRenamed("key", "at")
-        pairs = met.join(chosen, F.expr(f"key = at and (other_h < h or other_h = h and p < rep) and comp <> other and {fits_u} and element_at(array_intersect(ks, pks), 1) = key")).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+        met, chosen = dealt(materialize(active.join(active_keys, "rep"), "met"), chosen.join(chosen_keys, "p"), "key", "rep")
+        chosen = chosen.withColumnsRenamed({"key": "at", "__salt": "__at"})
+        pairs = met.join(chosen, F.expr(f"key = at and __salt = __at and (other_h < h or other_h = h and p < rep) and comp <> other and {fits_u} and element_at(array_intersect(ks, pks), 1) = key")).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
         pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        more = materialize(_verified(pairs, texts, percent, shingle), "checked")
-        checked = materialize(checked.unionByName(more), "checked")
+        more = materialize(_verified(materialize(pairs, "pairs"), texts, percent, shingle), "checked")
+        before, checked = checked, materialize(checked.unionByName(more), "checked")
+        discard(before)
         if not more.where("linked").isEmpty():
             comps = connected_components(checked.where("linked").select("a", "b").union(own.select("a", "b")))
         left = active.where(~share).select("key", "rep", "n", "u")
