@@ -3,17 +3,24 @@
 Arrivals are appended as small immutable Parquet shards. Compaction groups the shards of the current version by
 size tier (powers of ``fanout``); a tier with at least ``fanout`` shards below the target size is merged into files
 of about ``target_bytes``, without a shuffle: the reader packs neighbouring files into tasks and each task writes
-one file. Every change ends with one commit: the complete list of live shards is written beside the table and renamed to the
-next version number, a rename that fails if another writer took the number. Readers see whole versions only; shards that a
-version no longer lists stay until ``vacuum``.
+one file. Every change ends with one commit: the complete list of live shards and the table's schema are written beside the
+table and renamed to the next version number, a rename that fails if another writer took the number. Readers see whole
+versions only; shards that a version no longer lists stay until ``vacuum``.
+
+Edge cases: an arrival may have any name; a null name counts as the empty one. An arrival may bring new columns, which are null in
+older rows, and may lack columns; a column of another type, or one that differs in case only, is refused before anything
+is written, as is a column named ``__shard``. Null values, repeated rows and empty texts are kept as they are. An append
+or a merge that lists other rows than it wrote raises ``LostRows`` and commits nothing.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 TARGET_BYTES, FANOUT = 64 << 20, 4
 #: files merged by one job at most; more are merged by further jobs
@@ -26,6 +33,24 @@ class ConcurrentCommit(RuntimeError):
     """Another writer committed the same version first; nothing was changed."""
 
 
+class SchemaMismatch(ValueError):
+    """An arrival's columns do not fit the table's; nothing was written."""
+
+
+class LostRows(RuntimeError):
+    """Files hold other rows than were written to them; nothing was committed."""
+
+
+def merged_schema(old: StructType, new: StructType) -> StructType:
+    """The old fields, then the new ones that it lacks, all nullable."""
+    by_name = {f.name.lower(): f for f in old}
+    for f in new:
+        known = by_name.get(f.name.lower())
+        if f.name == "__shard" or (known is not None and (known.name != f.name or known.dataType.simpleString() != f.dataType.simpleString())):
+            raise SchemaMismatch(f"{f.name} {f.dataType.simpleString()}" + (f", the table has {known.name} {known.dataType.simpleString()}" if known else " is reserved"))
+    return StructType([StructField(f.name, f.dataType) for f in [*old, *[f for f in new if f.name.lower() not in by_name]]])
+
+
 class ShardedTable:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -50,12 +75,20 @@ class ShardedTable:
         v = self.version() if version is None else version
         if v == 0:
             return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/v{v:08d}")
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/v{v:08d}/shards")
 
-    def _commit(self, shards: DataFrame, base: int) -> int:
+    def schema(self, version: int | None = None) -> StructType:
+        """The table's columns at a version; none at version 0."""
+        v = self.version() if version is None else version
+        if v == 0:
+            return StructType([])
+        return StructType.fromJson(json.loads(self.spark.read.text(f"{self.root}/manifest/v{v:08d}/schema").first()[0]))
+
+    def _commit(self, shards: DataFrame, base: int, schema: StructType) -> int:
         """Publish ``shards`` as version ``base + 1``; all or nothing."""
         draft = f"{self.root}/drafts/{uuid.uuid4().hex}"
-        shards.select("path", "arrival", "bytes", "rows", "level").coalesce(1).write.parquet(draft)
+        shards.select("path", "arrival", "bytes", "rows", "level").coalesce(1).write.parquet(f"{draft}/shards")
+        self.spark.createDataFrame([(schema.json(),)], "value string").coalesce(1).write.text(f"{draft}/schema")
         self._fs.mkdirs(self._path(f"{self.root}/manifest"))
         target = self._path(f"{self.root}/manifest/v{base + 1:08d}")
         if self._fs.exists(target):
@@ -70,37 +103,57 @@ class ShardedTable:
 
     # ------------------------------------------------------------ writing
 
-    def _described(self, folder: str, level: int) -> DataFrame:
-        """Manifest rows of the files below a folder; file sizes from the listing, row counts from the footers."""
-        sizes = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("bytes"))
-        rows = self.spark.read.option("recursiveFileLookup", "true").parquet(folder).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows"))
-        arrival = F.regexp_extract("path", "/__arrival=([^/]*)/", 1)
-        return sizes.join(rows, "path").select("path", arrival.alias("arrival"), "bytes", "rows", F.lit(level).alias("level"))
+    def _described(self, folder: str, level: int, arrival: Column) -> DataFrame:
+        """Manifest rows of the files below a folder; file sizes from the listing, row counts from the footers.
+
+        Both name a file in their own form (one escapes it), so they meet on the part below the folder, which holds no special characters.
+        """
+        below = F.regexp_extract("file", r"((?:/arrival_*=a[0-9A-F]*)?/[^/]*)\z", 1)
+        sizes = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder).select(F.col("path").alias("file"), F.col("length").alias("bytes")).select(below.alias("below"), "bytes")
+        rows = self.spark.read.option("recursiveFileLookup", "true").schema("__none int").parquet(folder).select(F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.count("*").alias("rows")).select(below.alias("below"), "rows")
+        return sizes.join(rows, "below", "left").select(F.concat(F.lit(folder), "below").alias("path"), arrival.alias("arrival"), "bytes", F.coalesce("rows", F.lit(0)).alias("rows"), F.lit(level).alias("level"))
+
+    def _written(self, df: DataFrame, folder: str, level: int, arrival: Column, by: tuple[str, ...] = ()) -> DataFrame:
+        """Write ``df`` and describe its files; every row written must be listed."""
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.partitionBy(*by).parquet(folder)
+        made = self._kept(self._described(folder, level, arrival))
+        listed = made.agg(F.sum("rows")).first()[0] or 0
+        if listed != seen.get["rows"]:
+            raise LostRows(f"{folder}: {seen.get['rows']} rows written, {listed} listed")
+        return made.where("rows > 0")
 
     def append(self, batch: DataFrame, arrival: str) -> int:
-        """Add one arrival as small shards, one or more for each partition of ``batch``; returns the new version."""
-        return self.append_all(batch.withColumn("__arrival", F.lit(arrival)))[-1]
+        """Add one arrival as small shards, one or more for each partition of ``batch``; returns the new version.
 
-    def append_all(self, batches: DataFrame) -> list[int]:
-        """Add several arrivals, named by the column ``__arrival``: written in one pass, committed one after the other.
+        A batch without rows commits a version without new shards.
+        """
+        base = self.version()
+        schema = merged_schema(self.schema(base), batch.schema)
+        made = self._written(batch, f"{self.root}/data/{uuid.uuid4().hex}", 0, F.lit(arrival or ""))
+        return self._commit(self.manifest(base).unionByName(made), base, schema)
+
+    def append_all(self, batches: DataFrame, arrival_col: str) -> list[int]:
+        """Add several arrivals, named by a column that does not become one of the table: written in one pass, committed one after the other in
+        the order of their names.
 
         An arrival without rows is no arrival; an empty frame commits a version without new shards.
         """
-        folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        batches.write.partitionBy("__arrival").parquet(folder)
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(folder)) if s.isDirectory() and s.getPath().getName().startswith("__arrival="))
         base = self.version()
+        schema = merged_schema(self.schema(base), batches.drop(arrival_col).schema)
+        part = "arrival"
+        while part in {c.lower() for c in batches.columns}:
+            part += "_"
+        # names may hold anything, folders may not
+        coded = F.concat(F.lit("a"), F.hex(F.encode(F.coalesce(F.col(arrival_col).cast("string"), F.lit("")), "utf-8")))
+        name = F.decode(F.unhex(F.regexp_extract("below", "=a([0-9A-F]*)/", 1)), "utf-8")
+        made = self._written(batches.withColumn(part, coded).drop(arrival_col), f"{self.root}/data/{uuid.uuid4().hex}", 0, name, (part,))
+        names = sorted(r[0] for r in made.select("arrival").distinct().collect())  # the arrivals of one call
         if not names:
-            schema = batches.drop("__arrival").schema
-            self.spark.createDataFrame([], schema).write.parquet(f"{self.root}/empty/{uuid.uuid4().hex}")
-            return [self._commit(self.manifest(base), base)]
-        fresh = self._kept(self._described(folder, 0))
+            return [self._commit(self.manifest(base), base, schema)]
         out = []
-        live = self.manifest(base)
-        for name in names:
-            live = live.unionByName(fresh.where(F.col("path").contains(f"/{name}/")))
-            base = self._commit(live, base)
-            live = self.manifest(base)
+        for x in names:
+            base = self._commit(self.manifest(base).unionByName(made.where(F.col("arrival") == x)), base, schema)
             out.append(base)
         return out
 
@@ -113,7 +166,7 @@ class ShardedTable:
         """Merge tiers until none holds ``fanout`` shards below half the target; returns the newest version."""
         while True:
             base = self.version()
-            live = self.manifest(base)
+            live, schema = self.manifest(base), self.schema(base)
             tier = F.floor(F.log2(F.greatest(F.col("bytes"), F.lit(1))) / F.log2(F.lit(float(fanout)))).cast("int")
             small = live.where(F.col("bytes") < target_bytes // 2).withColumn("tier", tier)
             tiers = small.groupBy("tier").agg(F.count("*").alias("files"), F.sum("bytes").alias("total"), F.max("level").alias("level")).where(F.col("files") >= fanout).orderBy("tier").collect()  # a few tiers
@@ -125,14 +178,16 @@ class ShardedTable:
                 paths = [r.path for r in picked]
                 folder = f"{self.root}/data/{uuid.uuid4().hex}"
                 files = max(1, -(-sum(r.bytes for r in picked) // target_bytes))
-                self.spark.read.parquet(*paths).coalesce(files).write.parquet(folder)
-                merged.append(self._kept(self._described(folder, t.level + 1)))
+                made = self._written(self.spark.read.schema(schema).parquet(*paths).coalesce(files), folder, t.level + 1, F.lit(""))
+                if (now := made.agg(F.sum("rows")).first()[0] or 0) != (then := sum(r.rows for r in picked)):
+                    raise LostRows(f"{folder}: {then} rows to merge, {now} merged")
+                merged.append(made)
                 gone += paths
             dead = self.spark.createDataFrame([(p,) for p in gone], "path string")
             rest = live.join(F.broadcast(dead), "path", "left_anti")
             for m in merged:
                 rest = rest.unionByName(m)
-            self._commit(rest, base)
+            self._commit(rest, base, schema)
 
     def vacuum(self, keep_versions: int = 1) -> int:
         """Delete shards that none of the newest versions lists; returns how many. No reader of an older version may be left."""
@@ -154,7 +209,8 @@ class ShardedTable:
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of one version, with ``__shard``: the name of the file that holds a row."""
-        paths = [r.path for r in self.manifest(version).select("path").collect()]  # as a reader of any table lists its files
+        v = self.version() if version is None else version
+        paths = [r.path for r in self.manifest(v).select("path").collect()]  # as a reader of any table lists its files
         if not paths:
-            return self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.root}/empty").withColumn("__shard", F.lit(None).cast("string"))
-        return self.spark.read.parquet(*paths).withColumn("__shard", F.col("_metadata.file_name"))
+            return self.spark.createDataFrame([], self.schema(v)).withColumn("__shard", F.lit(None).cast("string"))
+        return self.spark.read.schema(self.schema(v)).parquet(*paths).withColumn("__shard", F.col("_metadata.file_name"))
