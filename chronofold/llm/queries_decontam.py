@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, unused
 from .decontam import benchmark_leaks
 
 
@@ -20,9 +20,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, with their columns. Null ids stay."""
-    leaks = materialize(benchmark_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
+    name = unused(docs, "leak")
+    leaks = materialize(benchmark_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(name)).distinct(), "leaks")
     few = leaks.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(leaks) if few else leaks, F.col("doc_id") == F.col("__leak"), "left_anti")
+    return docs.join(F.broadcast(leaks) if few else leaks, F.col("doc_id") == F.col(name), "left_anti")
 
 
 QUERIES = {"op2_decontaminate": op2_decontaminate}
