@@ -3,7 +3,8 @@
 A page is read once into text blocks with their enclosing elements. A logistic classifier with fixed weights (there
 are no labelled pages to learn from) gives each block log odds of being content; these become capacities to
 the two terminals. Blocks that follow each other, and blocks under one container (through a node for the container), are
-joined by smoothness edges. The minimum cut separates content from boilerplate. Blocks whose terminal capacity
+joined by smoothness edges, which weigh as much as the evidence of a short block: a line without a full stop or a list of links
+inside an article goes with the article, a sentence inside a menu with the menu. The minimum cut separates content from boilerplate. Blocks whose terminal capacity
 is at least the sum of their edges keep its side in every minimum cut, so they are folded into their neighbours first and the
 flow runs over what is left.
 """
@@ -24,7 +25,7 @@ from .common import bounded_batches
 # fixed values: element names and words in class, id or role
 BLOCK = frozenset("address article aside blockquote body canvas center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = "script style noscript template svg math iframe object select textarea button title head audio video canvas"
+SKIPPED = "script style head title select datalist textarea button"
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CONTENT_TAGS = frozenset("article main".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
@@ -32,8 +33,9 @@ CONTENT_WORDS = frozenset("article content main post entry story body text mainc
 BOILER_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner nav navbar navigation menu menubar topbar toolbar breadcrumb breadcrumbs footer foot header masthead sidebar side aside rail widget widgets related recommended recommendations more share sharing social comment comments commentlist reply replies respond discussion disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register form search pagination pager copyright legal disclaimer tags contentinfo complementary navigation hidden".split())
 
 _TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+[^>]*+)>", re.S)
-_ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
+# an attribute's name and value; quoted values are taken whole, so nothing within them is read as an attribute
+_ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 _SKIP = frozenset(SKIPPED.split())
 # without an end tag these take the rest of the page
@@ -41,19 +43,21 @@ _RAW = frozenset("script style textarea title".split())
 _END_OF = {t: re.compile(rf"</{t}\s*>", re.I) for t in _SKIP}
 
 #: weights of the classifier: constant, in content, in boilerplate, per doubling of words (up to 6), sentence ends, heading, link share
-W0, W_CONTENT, W_BOILER, W_WORDS, W_SENTENCE, W_HEADING, W_LINKS = -1.5, 3.5, -7.0, 0.35, 0.8, 0.3, -3.0
+W0, W_CONTENT, W_BOILER, W_WORDS, W_SENTENCE, W_HEADING, W_LINKS = -2.6, 2.0, -7.0, 0.8, 1.6, 0.8, -2.0
 #: smoothness: between neighbours in one container and across containers, and between a block and its container
-S_SAME, S_ACROSS, S_CONTAINER = 0.6, 0.2, 0.5
+S_SAME, S_ACROSS, S_CONTAINER = 1.0, 0.3, 0.8
 
 
 def _mark(tag: str, attrs: str) -> int:
     """1 for an element that holds content, -1 for boilerplate, 0 for neither."""
-    if attrs and _HIDDEN.search(attrs):
-        return -1
     words: set[str] = set()
     if attrs and tag not in ("html", "body"):
         for m in _ATTR.finditer(attrs):
-            words.update(_SPLIT.split((m.group(2) or m.group(3) or m.group(4) or "").lower()))
+            name = m.group(1).lower()
+            if name == "hidden" or (name == "style" and _UNSEEN.search(m.group(2) or m.group(3) or m.group(4) or "")):
+                return -1
+            if name in ("class", "id", "role"):
+                words.update(_SPLIT.split((m.group(2) or m.group(3) or m.group(4) or "").lower()))
     good = tag in CONTENT_TAGS or bool(words & CONTENT_WORDS)
     bad = tag in BOILER_TAGS or bool(words & BOILER_WORDS)
     if tag in CONTENT_TAGS and not words & BOILER_WORDS:
@@ -76,8 +80,8 @@ def blocks(html: str) -> list[Block]:
     A skipped element without an end tag ends at the next block; only raw text goes to the end of the page.
     """
     out: list[Block] = []
-    # stack of block elements: tag, number of the element, in content, in boilerplate
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    # stack of block elements: tag, number of the element, in content, in boilerplate, marked as boilerplate itself
+    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
     open_tags: dict[str, int] = {}
     number, parts, links, in_link, heading = 0, [], 0, False, False
     endless: set[str] = set()  # elements with no end tag from here on
@@ -92,9 +96,9 @@ def blocks(html: str) -> list[Block]:
             text = " ".join(text.split())
             if text:
                 top = stack[-1]
-                # paragraphs and the like stand for their parent as containers
+                # paragraphs and the like stand for their parent as containers, unless they are set apart from it
                 at = len(stack) - 1
-                while at and stack[at][0] in _LEAVES:
+                while at and stack[at][0] in _LEAVES and not stack[at][4]:
                     at -= 1
                 out.append(Block(text, top[2], top[3], stack[at][1], heading, links))
             parts, links = [], 0
@@ -158,10 +162,10 @@ def blocks(html: str) -> list[Block]:
             pop()
         number += 1
         mark = _mark(tag, m.group(3))
-        _, _, content, boiler = stack[-1]
+        _, _, content, boiler, _ = stack[-1]
         if tag == "header" and not content and mark == 0:
             mark = -1
-        stack.append((tag, number, content or mark > 0, boiler or mark < 0))
+        stack.append((tag, number, content or mark > 0, boiler or mark < 0, mark < 0))
         open_tags[tag] = open_tags.get(tag, 0) + 1
         heading = tag in _HEADINGS
     flush()
@@ -304,7 +308,11 @@ def main_text(html: str | None) -> str:
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
-    """``pages`` with the main text beside its columns (a column of that name is replaced). Rows are independent: repeated ones get equal texts; null ids and urls pass through."""
+    """``pages`` with the main text beside its columns (a column of that name is replaced).
+
+    Null, empty and blank pages give an empty text; pages of any length are read whole. Rows are independent: repeated ones get equal
+    texts; null ids and urls pass through; an empty table gives an empty result.
+    """
     bounded_batches(pages.sparkSession)
 
     @F.pandas_udf("string")
