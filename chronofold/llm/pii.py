@@ -262,6 +262,8 @@ def redact(docs: DataFrame, text_col: str = "text", weights: list[float] | None
     """
     if weights is None:
         weights = learn(candidates(docs.select(F.col(text_col).alias("text"))))
+    names = docs.columns
+    docs, text_col = docs.toDF(*[f"c{i}" for i in range(len(names))]), f"c{names.index(text_col)}"  # no column of the table's meets those added here
     found = candidates(docs, text_col)
     name = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     start = F.expr("named_struct('at', 0, 'out', cast('' as string))")
@@ -274,4 +276,4 @@ def redact(docs: DataFrame, text_col: str = "text", weights: list[float] | None
     whole = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("__text"), acc["at"] + 1, F.length("__text"))))
     new = F.when(F.size("__spans") > 0, whole).otherwise(F.col("__text"))
     out = F.when(F.col(text_col).isNull(), F.col(text_col)).otherwise(new)
-    return marked.withColumn("__new", out).select(*[F.col("__new").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return marked.withColumn("__new", out).select(*[F.col("__new").alias(c) if c == text_col else F.col(c) for c in docs.columns]).toDF(*names)

@@ -19,7 +19,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by marks; ``n_chars`` follows the text where there is such a column."""
+    """All documents, personal data replaced by marks; ``n_chars`` follows the text where there is such a column.
+
+    Null texts stay null (and their ``n_chars`` becomes null); null ids and repeated rows are kept; an empty table gives an empty one.
+    """
     out = redact(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
