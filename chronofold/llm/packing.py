@@ -1,9 +1,10 @@
 """Order-preserving packing of documents into sequences by dynamic programming.
 
 The documents of an input partition form one stream of token ids in the order in which they are read; no shuffle moves
-a text. A cut between two sequences may fall at the end of a document (free) or of a sentence (``SENTENCE`` tokens). Where
-sentences are long, padding up to their ends would outweigh the truncation, so a cut after a word is allowed as well, at most one
-for every ``GRAIN`` tokens, at a higher penalty (``WORD``); a word that alone exceeds a sequence is cut anywhere (``HARD``).
+a text. A cut between two sequences falls at the end of a document (free) or of a sentence (``SENTENCE`` tokens of padding). A cut
+after a word is dearer than the padding up to any document or sentence end within ``WORD`` tokens, so it occurs only
+where none is in that reach (text without punctuation); candidates are at most one for every ``GRAIN`` tokens. A word that alone
+exceeds a sequence is cut anywhere (``HARD``).
 With S the running token count at the allowed cuts, the least cost of the cuts up to k is
 
     f[k] = penalty[k] + L - S[k] + min { f[i] + S[i] : S[k] - S[i] <= L }
@@ -15,7 +16,7 @@ remains at the end of a partition is cut into powers of two, which need no paddi
 
 from __future__ import annotations
 
-import base64
+import json
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from .common import bounded_batches
 
 LENGTH, END_ID = 2048, 1
 #: penalties of cuts in tokens: after a sentence, after a word, inside a word
-SENTENCE, WORD, HARD = 4.0, 8.0, 16.0
+SENTENCE, WORD, HARD = 4.0, 256.0, 512.0
 GRAIN, HORIZON = 16, 32
 
 # fixed values: how the vocabulary splits a text before its merges; the second form is equal where white space stands single
@@ -38,30 +39,44 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 SPLIT_SINGLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 
 
-class RankTokenizer:
-    """Token ids of whole texts under a byte-level vocabulary given as ranks (base64 of the bytes, rank).
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 ones stand for themselves, the others follow from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
-    Special tokens' strings are ordinary text. Lone surrogates are replaced before encoding.
+
+class ByteTokenizer:
+    """Token ids of whole texts under a byte-level vocabulary file of the ``tokenizers`` library, as its ``encode(text, add_special_tokens=False)``.
+
+    The merges run in another library that is several times faster; ids are equal (tested). Strings of special tokens in a text
+    become those tokens. Lone surrogates are replaced before encoding.
     """
 
     def __init__(self, path: str):
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.full = tiktoken.Encoding("full", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self.single = tiktoken.Encoding("single", pat_str=SPLIT_SINGLE, mergeable_ranks=ranks, special_tokens={})
-        size = max(ranks.values()) + 2
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        byte_of = _byte_of()
+        self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
+        ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in file["model"]["vocab"].items() if t not in self.special}
+        self.full = tiktoken.Encoding("full", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=self.special)
+        self.single = tiktoken.Encoding("single", pat_str=SPLIT_SINGLE, mergeable_ranks=ranks, special_tokens=self.special)
+        size = max(*ranks.values(), *self.special.values(), 0) + 1
         # tokens that begin with a space or line end, and those that end a sentence
         self.opens, self.closes = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
         for token, i in ranks.items():
             self.opens[i] = token[:1] in (b" ", b"\n")
             self.closes[i] = token[-1:] in (b".", b"!", b"?")
+        self.closes[list(self.special.values())] = True
 
     def encode(self, text: str) -> np.ndarray:
         pairs = "  " in text or " \n" in text or "\n " in text or "\n\n" in text
         plain = not pairs and text.replace("\n", "").isprintable()  # no other white space then
-        return np.array((self.single if plain else self.full).encode_ordinary(text), dtype="<u4")
+        by = self.single if plain else self.full
+        special = any(s in text for s in self.special)
+        return np.array(by.encode(text, allowed_special="all") if special else by.encode_ordinary(text), dtype="<u4")
 
     def cuts(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token counts after which a word ends, and which of these end a sentence."""
@@ -69,13 +84,13 @@ class RankTokenizer:
         return at, self.closes[ids[at - 1]]
 
 
-_LOADED: dict[str, RankTokenizer] = {}
+_LOADED: dict[str, ByteTokenizer] = {}
 
 
-def loaded(path: str) -> RankTokenizer:
+def loaded(path: str) -> ByteTokenizer:
     """One tokenizer for each Python worker."""
     if path not in _LOADED:
-        _LOADED[path] = RankTokenizer(path)
+        _LOADED[path] = ByteTokenizer(path)
     return _LOADED[path]
 
 

@@ -9,10 +9,10 @@ from .packing import pack
 
 
 def tokenizer_path() -> str:
-    """The installed rank file of the vocabulary byte_bpe_50k.json (the same ids); any other place can be given to ``pack``."""
+    """The installed vocabulary; any other place can be given to ``pack``."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +20,11 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents."""
+    """The pieces of all documents.
+
+    Null and empty texts are one piece of the end id; rows that repeat an id, or have none, are documents of their own; an empty table
+    gives no pieces; other columns are ignored.
+    """
     return pack(docs, tokenizer_path())
 
 
