@@ -3,6 +3,10 @@
 A list is a log of dated entries (key, action, time): from that time on the key, a host or any parent domain, has that
 action. Entries become validity intervals; a capture is judged by the entries that were in force when it was fetched.
 Of the keys that cover its host the longest with an entry in force decides.
+
+The as-of join is one sort: captures and intervals of a key stand in one sequence ordered by time, and each capture takes the
+last interval before it. So a key with many entries costs each capture no more than one with few. The captures of a key are dealt
+to ``SALTS`` parts, each of which sees all intervals of the key.
 """
 
 from __future__ import annotations
@@ -10,9 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: intervals that may be broadcast (about 100 bytes each); beyond that the join is shuffled on salted keys
-BROADCAST_INTERVALS = 400_000
-SALTS = 32
+from .common import materialize
+
+#: parts to which the captures of each key are dealt, and keys of the list that may be broadcast to leave out captures without any
+SALTS, BROADCAST_KEYS = 32, 400_000
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
@@ -40,23 +45,31 @@ def validity_intervals(entries: DataFrame, key: str = "key", action: str = "acti
     return e.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy("key").orderBy("valid_from")))
 
 
-def temporal_list_join(captures: DataFrame, entries: DataFrame, url: str = "url", time: str = "fetched_at", key: str = "key", action: str = "action", entry_time: str = "time", broadcast_limit: int = BROADCAST_INTERVALS) -> DataFrame:
+def temporal_list_join(captures: DataFrame, entries: DataFrame, url: str = "url", time: str = "fetched_at", key: str = "key", action: str = "action", entry_time: str = "time", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """``captures`` with host, matched_key, action and valid_from beside their columns.
 
     The three last are null where no entry is in force: no list entry for the host or its parents, an entry that begins later, a null or
     relative URL, or a null time. Repeated captures each keep their row; an empty list leaves all unmatched. Columns of the list never
-    reach the result, so names may clash; a capture's own columns of the four names are replaced.
+    reach the result, so names may clash; a capture's own columns of the four names are replaced. Captures are written once with a
+    row number, as the numbers must not change if a task is run again.
     """
     own = [c for c in captures.columns if c not in ("host", "matched_key", "action", "valid_from")]
-    rows = captures.select(*own, host_of(F.col(url)).alias("host")).withColumn("__row", F.monotonically_increasing_id())
-    intervals = validity_intervals(entries, key, action, entry_time).withColumnsRenamed({"key": "__key", "action": "__action", "valid_from": "__from", "valid_to": "__to"})
-    asked = rows.select("__row", F.col(time).alias("__time"), F.explode(covering_keys(F.col("host"))).alias("__key"))
-    in_force = (F.col("__from") <= F.col("__time")) & (F.col("__to").isNull() | (F.col("__time") < F.col("__to")))
-    if intervals.count() <= broadcast_limit:
-        met = asked.join(F.broadcast(intervals), "__key").where(in_force)
-    else:  # a key that covers a third of all captures is dealt to SALTS groups
-        salted = intervals.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = asked.withColumn("__salt", F.pmod("__row", F.lit(SALTS)).cast("int")).join(salted, ["__key", "__salt"]).where(in_force)
-    best = met.groupBy("__row").agg(F.max_by(F.struct("__key", "__action", "__from"), F.length("__key")).alias("b"))
-    out = rows.join(best, "__row", "left")
-    return out.select(*own, "host", F.col("b.__key").alias("matched_key"), F.col("b.__action").alias("action"), F.col("b.__from").alias("valid_from"))
+    row = "__row"
+    while any(c.startswith(row) for c in own):
+        row += "_"
+    best_of = f"{row}b"
+    rows = materialize(captures.select(*own, host_of(F.col(url)).alias("host")).withColumn(row, F.monotonically_increasing_id()), "captures")
+    intervals = validity_intervals(entries, key, action, entry_time)
+    asked = rows.select(F.col(row).alias("r"), F.col(time).alias("at"), F.explode(covering_keys(F.col("host"))).alias("key")).where(F.col("at").isNotNull())
+    keys = intervals.select("key").distinct()
+    asked = asked.join(F.broadcast(keys) if keys.count() <= broadcast_keys else keys, "key", "left_semi")
+    salted = intervals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    entry = F.struct("action", "valid_from", "valid_to")
+    one = salted.select("key", "salt", F.col("valid_from").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("r"), entry.alias("entry"))
+    two = asked.select("key", F.pmod(F.xxhash64("r"), F.lit(SALTS)).cast("int").alias("salt"), "at", F.lit(1).alias("kind"), "r", F.lit(None).cast(one.schema["entry"].dataType).alias("entry"))
+    order = Window.partitionBy("key", "salt").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = one.unionByName(two).withColumn("entry", F.last("entry", ignorenulls=True).over(order)).where(F.col("r").isNotNull() & F.col("entry").isNotNull())
+    met = met.where(F.col("entry.valid_to").isNull() | (F.col("at") < F.col("entry.valid_to")))
+    best = met.groupBy("r").agg(F.max_by(F.struct("key", "entry"), F.length("key")).alias(best_of)).withColumnRenamed("r", row)
+    out = rows.join(best, row, "left")
+    return out.select(*own, "host", F.col(f"{best_of}.key").alias("matched_key"), F.col(f"{best_of}.entry.action").alias("action"), F.col(f"{best_of}.entry.valid_from").alias("valid_from"))
