@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, table, unused
 from .toxicity import char_model, fit, score_toxicity
 
 
@@ -18,10 +18,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5, with their columns; learned from all labelled rows."""
+    """Documents that score below 0.5, with their columns; learned from all labelled rows.
+
+    Null and empty texts show no evidence and stay, as do null ids; repeated rows stay or go together; an empty table gives an empty one.
+    """
     model = char_model(docs)
     scorer = fit(docs, table(spark, sf_dir, "labels"), model, F.lit(True))
-    return score_toxicity(docs, model, scorer, out_col="__toxicity").where("__toxicity < 0.5").drop("__toxicity")
+    name = unused(docs, "toxicity")
+    return score_toxicity(docs, model, scorer, out_col=name).where(F.col(name) < 0.5).drop(name)
 
 
 QUERIES = {"op9_toxicity": op9_toxicity}

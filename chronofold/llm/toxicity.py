@@ -28,8 +28,8 @@ from .common import bounded_batches, materialize
 
 #: labelled rows used for fitting at most: those with the least hash of their id
 MAX_TRAIN = 20_000
-#: learned features kept at most: those with the largest log odds (bounds the model sent to the executors)
-MAX_FEATURES = 60_000
+#: log odds from which on a feature counts; those below are no evidence. With MAX_TRAIN this bounds the model sent to the executors
+MIN_ODDS = 1.0
 PREFIXES = (3, 4, 5, 6)
 
 # fixed values: look-alike characters and the letters they stand for
@@ -258,18 +258,26 @@ class Scorer:
     TOP = 8
     STRENGTH = 2.0  # pseudo rows of a feature at the base rate
 
-    def __init__(self, counts: dict[str, tuple[int, int]], pos: int, neg: int, keep: int = MAX_FEATURES):
+    def __init__(self, counts: dict[str, tuple[int, int]], pos: int, neg: int):
         self.pos, self.neg = pos, neg
         rate = (pos + 1) / (pos + neg + 2)
-        m, lg = self.STRENGTH, np.log
-        base = lg(rate / (1 - rate))
-        odds = lambda a, b: float(lg((a + m * rate) / (b + m * (1 - rate))) - base)
-        rows = sorted(((odds(a, b), f, a, b) for f, (a, b) in counts.items()), key=lambda x: (-x[0], x[1]))[:keep]
-        self.odds = {f: (o, odds(a - 1, b) if a > 0 else o, odds(a, b - 1) if b > 0 else o) for o, f, a, b in rows if o > 0}
-        self.base = base
+        m = self.STRENGTH
+        base = np.log(rate / (1 - rate))
+        names = sorted(counts)
+        a, b = np.array([counts[f] for f in names], dtype=np.float64).reshape(-1, 2).T
+        odds = lambda a, b: np.log((a + m * rate) / (b + m * (1 - rate))) - base
+        all_three = np.stack([odds(a, b), odds(np.maximum(a - 1, 0), b), odds(a, np.maximum(b - 1, 0))], axis=1)
+        self.odds = {f: tuple(o) for f, o in zip(names, all_three.tolist()) if o[0] >= MIN_ODDS}
+        self.base = float(base)
         self.weights = np.zeros(4)
         self.weights[0] = base
 
+    @staticmethod
+    def evidence(pos: int, neg: int) -> Column:
+        """The same log odds over columns a and b."""
+        rate, m = (pos + 1) / (pos + neg + 2), Scorer.STRENGTH
+        return F.log((F.col("a") + m * rate) / (F.col("b") + m * (1 - rate))) - float(np.log(rate / (1 - rate)))
+
     def stats(self, found: set[str], which: int = 0) -> np.ndarray:
         """1, the strongest log odds, the mean of the three strongest, the share of strong ones. which: 1 or 2 leaves out a toxic or clean row itself."""
         odds = self.odds
@@ -338,9 +346,8 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharModel, allowed: Column, m
     counts = materialize(counts, "tox-counts")
     whole = counts.where("f = ''").collect()
     pos, neg = (int(whole[0].a), int(whole[0].b)) if whole else (0, 0)
-    top = counts.where("f <> '' and a > 1").where(F.col("a") * F.lit(neg + 1) > F.col("b") * F.lit(pos + 1))
-    top = top.orderBy((F.col("a") / (F.col("b") + 1)).desc(), "f").limit(MAX_FEATURES).collect()
-    scorer = Scorer({r.f: (int(r.a), int(r.b)) for r in top}, pos, neg)
+    top = counts.where("f <> '' and a > 1").where(Scorer.evidence(pos, neg) >= MIN_ODDS - 1e-6).select("f", "a", "b").toArrow()
+    scorer = Scorer({f: (a, b) for f, a, b in zip(*(top[c].to_pylist() for c in ("f", "a", "b")))}, pos, neg)
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
@@ -362,7 +369,8 @@ def score_toxicity(docs: DataFrame, model: CharModel, scorer: Scorer, text_col:
     """``docs`` with a score in 0 to 1 beside all its columns (a column of that name is replaced).
 
     Null and empty texts have no features and get the score of a document without any evidence. Rows are
-    scored one by one: repeated rows get equal scores, ids play no part.
+    scored one by one: repeated rows get equal scores, ids play no part; texts of any length are read whole; an empty table gives
+    an empty result.
     """
     bounded_batches(docs.sparkSession)
 
