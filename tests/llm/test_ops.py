@@ -14,18 +14,18 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronofold.llm import decontam, htmltext, langid, near_dup, packing, pii, queries_packing, search, shards, toxicity, urlfilter
+from chronofold.llm import common, decontam, htmltext, langid, near_dup, packing, pii, queries_packing, search, shards, toxicity, urlfilter
 from chronofold.llm.common import new_path, table, word_hashes
 from chronofold.llm.components import connected_components
 from chronofold.llm.queries_dedup import near_dup_stage, op3_near_dup
 from chronofold.llm.queries_decontam import decontamination_stage
 from chronofold.llm.queries_html import op4_html
 from chronofold.llm.queries_langid import op5_language
-from chronofold.llm.queries_packing import op7_pack
+from chronofold.llm.queries_packing import op7_pack, packing_stage
 from chronofold.llm.queries_pii import op6_pii, pii_stage
 from chronofold.llm.queries_search import op10_search
 from chronofold.llm.queries_shards import op1_shards
-from chronofold.llm.queries_toxicity import op9_toxicity
+from chronofold.llm.queries_toxicity import op9_toxicity, toxicity_stage
 from tests.compare import of_frame, of_sql
 
 DOCS = "doc_id long, text string"
@@ -42,7 +42,7 @@ def shingles(text):
     return frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def brute_components(docs):
+def brute_components(docs, percent=85):
     sets = [(i, shingles(t)) for i, t in docs if i is not None]
     up = {i: i for i, _ in sets}
 
@@ -52,7 +52,7 @@ def brute_components(docs):
         return x
 
     for (i, a), (j, b) in itertools.combinations(sets, 2):
-        if a and b and 100 * len(a & b) >= 85 * len(a | b):
+        if a and b and 100 * len(a & b) >= percent * len(a | b):
             x, y = root(i), root(j)
             up[max(x, y)] = min(x, y)
     return {i: root(i) for i, _ in sets}
@@ -68,13 +68,15 @@ def family(rng, n, length=120):
         yield " ".join(v)
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_equal_brute_force(spark, percent, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)  # as many keys and pivots are dealt to several tasks as possible
     rng = random.Random(5)
     texts = [t for _ in range(6) for t in family(rng, 25)] + ["a b c", "A B\tc", "a b", "", None, "   "] + [" ".join(f"q{rng.randrange(50)}" for _ in range(rng.randrange(1, 40))) for _ in range(60)]
     rng.shuffle(texts)
     docs = list(enumerate(texts)) + [(3, texts[3])]
-    got = rows(near_dup.near_duplicates(spark.createDataFrame(docs, DOCS)))
-    want = brute_components(docs)
+    got = rows(near_dup.near_duplicates(spark.createDataFrame(docs, DOCS), percent=percent))
+    want = brute_components(docs, percent)
     assert len(got) == len(docs)
     for r in got:
         assert r["component_id"] == want[r["doc_id"]] and r["n_shingles"] == len(shingles(texts[r["doc_id"]])) and r["kept"] == (r["component_id"] == r["doc_id"])
@@ -155,6 +157,86 @@ def test_leaks_with_shifted_offsets(spark, limit, monkeypatch):
     assert got == {(0, 1), (1, 1), (2, 1), (4, 2), (6, 2), (7, 2), (8, 2)}
 
 
+FIRST, LAST, ITEMS = "Anna Bert Carla Dora Emil Frida Gustav Heidi Ivan Julia".split(), "Adler Brandt Curie Dalton Euler Fermi".split(), "apples plums carts boards lamps ropes tiles coins".split()
+WORD_NUMBERS = ["two", "seven", "twelve", "twenty", "forty"]
+
+
+def question(rng, form, names, numbers, units):
+    """A question in one of several forms with slots for two names, three numbers and a unit."""
+    a, b = names
+    x, y, z = numbers
+    forms = ["On the first day of spring {a} carried {x} {u} of {i} to the harbour market and sold {y} of them before noon, so how many were left for {b} when {a} gave away {z} more in the evening?",
+             "{a} and {b} walk toward each other along a straight road; {a} starts with {x} {u} of {i} and drops {y} at every bridge while {b} gathers {z}, so what does {b} hold at the end of the road?",
+             "A farmer named {a} plants {x} rows of {i} beside the old mill, and each row needs {y} {u} of water a week; if {b} helps for {z} weeks, how much water did {a} fetch from the river in total?"]
+    item = ITEMS[form % len(ITEMS)]
+    return forms[form % 3].format(a=a, b=b, x=x, y=y, z=z, u=units, i=f"{item} and {ITEMS[(form // 3) % len(ITEMS)]}")
+
+
+def parameters(rng):
+    name = lambda: rng.choice(FIRST) + (f" {rng.choice(LAST)}" if rng.random() < 0.4 else "")
+    a = name()
+    b = name()
+    while b == a:
+        b = name()
+    return (a, b), tuple(rng.choice([str(rng.randrange(2, 900)), f"{rng.randrange(2, 9)}.5", rng.choice(WORD_NUMBERS)]) for _ in range(3)), rng.choice(["kg", "pounds", "litres"])
+
+
+def test_reparameterised_questions_are_caught(spark):
+    """Brute force: a document holds the item of its form; other documents hold none."""
+    rng = random.Random(4)
+    base = {f: parameters(rng) for f in range(24)}
+    bench = spark.createDataFrame([(f, question(rng, f, *base[f])) for f in base], "item_id long, text string")
+    filler = lambda: " ".join(rng.choice(["the", "of", "Tree", "river", "12", "stone", "Maria", "km", "walks", "old"]) for _ in range(rng.randrange(0, 60)))
+    docs, want = [], {}
+    for i in range(240):
+        f = i % 24
+        (a, b), numbers, unit = parameters(rng)
+        kind = i % 4
+        if kind == 0:  # other names, numbers and units
+            text = question(rng, f, (a, b), numbers, unit)
+        elif kind == 1:  # other numbers and units, all in small letters
+            text = question(rng, f, base[f][0], numbers, unit).lower()
+        elif kind == 2:  # as it is
+            text = question(rng, f, *base[f])
+        else:
+            text = None
+        docs.append((i, f"{filler()} {text or filler()} {filler()}"))
+        if text:
+            want[i] = f
+    got = defaultdict(set)
+    for r in rows(decontam.benchmark_leaks(spark.createDataFrame(docs, DOCS), bench)):
+        got[r["doc_id"]].add(r["item_id"])
+    same = lambda f, g: f % 3 == g % 3  # noqa: E731  questions of one form differ in two nouns only
+    assert all(g == want.get(i) or (i in want and same(g, want[i])) for i, gs in got.items() for g in gs)
+    for kind in (0, 1, 2):
+        asked = [i for i in want if i % 4 == kind]
+        assert np.mean([want[i] in got[i] for i in asked]) >= (1.0 if kind == 2 else 0.9), kind
+
+
+def test_swapped_names_are_no_leak(spark):
+    """Two persons of the item must stay two persons."""
+    rng = random.Random(1)
+    bench = spark.createDataFrame([(1, question(rng, 1, ("Anna", "Bert"), ("3", "4", "5"), "kg"))], "item_id long, text string")
+    docs = [(1, question(rng, 1, ("Carla", "Dora"), ("13", "14", "15"), "pounds")), (2, question(rng, 1, ("Carla", "Carla"), ("13", "14", "15"), "pounds"))]
+    assert {r["doc_id"] for r in rows(decontam.benchmark_leaks(spark.createDataFrame(docs, DOCS), bench))} == {1}
+
+
+def test_short_items_are_compared_as_wholes(spark):
+    bench = spark.createDataFrame([(1, "Name three rivers."), (2, "Why?"), (3, " "), (1, "Name three rivers.")], "item_id long, text string")
+    docs = [(1, "name three RIVERS"), (2, "Name three rivers and lakes of Europe."), (3, "why"), (4, "Why not?"), (5, ""), (5, "why")]
+    got = rows(decontam.benchmark_leaks(spark.createDataFrame(docs, DOCS), bench))
+    assert sorted((r["doc_id"], r["item_id"], r["channel"]) for r in got) == [(1, 1, "whole"), (3, 2, "whole"), (5, 2, "whole")]
+
+
+def test_leaks_with_repeated_rows_long_texts_and_clashing_columns(spark):
+    text = "on monday morning the ferryman counts every single rope twice before the boats leave"
+    bench = spark.createDataFrame([(1, text, 5)] * 3, "item_id long, text string, hash int")
+    docs = spark.createDataFrame([(1, f"{'filler words ' * 60_000}{text}", 1, "x")] * 2 + [(None, text, 1, "x")], "doc_id long, text string, item_id int, channel string")
+    assert [tuple(r.values()) for r in rows(decontam.benchmark_leaks(docs, bench))] == [(1, 1, 1.0, 1.0, "literal")]
+    kept = decontamination_stage(spark, docs, "/root/testdata/sf0.001")
+    assert kept.columns == docs.columns and kept.count() == 3 and decontamination_stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+
+
 # ---------------------------------------------------------------- html
 
 PAGE = """<html><head><title>t</title><script>var a = "</p>";</script></head><body class="with-sidebar"><header><a href=/>Home</a> A slogan of the site.</header><div id="cookie-notice">We use cookies. Please accept all of them.</div>
@@ -189,6 +271,53 @@ def test_minimum_cut_is_optimal():
         assert cost(htmltext.minimum_cut(u, e)) == pytest.approx(min(cost(x) for x in itertools.product([False, True], repeat=n)))
 
 
+PLAIN = """<html><body><div><ul><li><a href=1>Home</a></li><li><a href=2>Products and services for you.</a></li><li>All of our offices are open on weekdays.</li><li><a>Contact</a></li></ul></div>
+<div><h1>Rain</h1><p>It rained for most of the day in the north of the country, and rivers rose.</p><p>Worse to come</p><p><a href=x>See the map of rivers</a></p><p>Forecasters expect that the rain will end on Friday, when winds turn to the east. Schools stay closed.</p></div>
+<div><a href=1>Terms</a> <a href=2>Privacy</a> <a href=3>Imprint</a></div></body></html>"""
+
+
+def test_edges_decide_where_names_tell_nothing():
+    """Without telling names the sign of a block's own score is wrong for some blocks, and the cut puts them right."""
+    found = htmltext.blocks(PLAIN)
+    unary, edges = htmltext.graph(found)
+    label = htmltext.minimum_cut(unary, edges)
+    assert htmltext.main_text(PLAIN) == "Rain It rained for most of the day in the north of the country, and rivers rose. Worse to come See the map of rivers Forecasters expect that the rain will end on Friday, when winds turn to the east. Schools stay closed."
+    assert sum((u > 0) != y for u, y in zip(unary, label[:len(found)])) >= 4
+
+
+def test_labels_equal_brute_force():
+    rng = random.Random(8)
+    para = lambda: " ".join(rng.choice(["rain", "sun", "and", "wind"]) for _ in range(rng.choice([1, 2, 4, 9, 30]))) + rng.choice(["", "."])
+    piece = lambda: rng.choice(["<p>{}</p>", "<li><a href=x>{}</a></li>", "<div>{}</div>", "<h2>{}</h2>", "<p class=ad>{}</p>"]).format(para())
+    changed = 0
+    for _ in range(150):
+        page = "".join(f"<div>{''.join(piece() for _ in range(rng.randrange(1, 4)))}</div>" for _ in range(3))
+        found = htmltext.blocks(page)
+        unary, edges = htmltext.graph(found)
+        cost = lambda x: sum(abs(v) for v, y in zip(unary, x) if v and (v > 0) != y) + sum(w for a, b, w in edges if x[a] != x[b])  # noqa: E731, B023
+        ways = sorted(itertools.product([False, True], repeat=len(unary)), key=cost)
+        label = htmltext.minimum_cut(unary, edges)
+        assert cost(label) == pytest.approx(cost(ways[0]))
+        if len(ways) > 1 and cost(ways[1]) > cost(ways[0]) + 1e-9:
+            assert htmltext.main_text(page) == " ".join(b.text for b, keep in zip(found, ways[0]) if keep)
+        changed += any((u > 0) != y for u, y in zip(unary, label[:len(found)]))
+    assert changed > 30
+
+
+def test_only_what_the_article_does_not_show_is_dropped():
+    page = """<article title="the hidden valley" data-x='class="ad"'><p>Formula <math><mi>x</mi></math> after that. <svg><style>a</style><text>label</text></svg></p><noscript>Plain text stays here.</noscript> <object>Some text of an object.</object>
+    <p hidden>gone gone</p><p data-class="ad">Kept words here.</p><p style="color:red; Display : none">gone too</p><p title="display:none">Kept as well.</p><template>Text in a template.</template></article>"""
+    assert htmltext.main_text(page) == "Formula x after that. label Plain text stays here. Some text of an object. Kept words here. Kept as well. Text in a template."
+    assert htmltext.main_text("<article><p>Short</p></article>") == "Short"
+
+
+def test_main_text_of_frames(spark):
+    df = spark.createDataFrame([(1, "<article>One sentence here.</article>", 5)] * 2 + [(None, None, 5), (3, "", 5)], "page_id long, html string, text int")
+    got = htmltext.extract_main_text(df)
+    assert got.columns == df.columns and sorted((r.text for r in got.collect())) == ["", "", "One sentence here.", "One sentence here."]
+    assert htmltext.extract_main_text(df.limit(0)).count() == 0
+
+
 def test_query_html(spark, sf_dir):
     import html
 
@@ -216,6 +345,28 @@ def test_language_edges(spark):
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in rows(langid.identify_language(df, model))}
     assert [got[i][0] for i in (1, 2, 3, 4)] == ["und", "und", "und", "en"] and 0 <= got[4][1] <= 1
     assert langid.fit([]) is None
+    clash = spark.createDataFrame([(4, "the and of", "x", 7, 1)] * 2, "doc_id long, text string, lang_pred string, score int, __l int")
+    out = langid.identify_language(clash, model)
+    assert out.columns == ["doc_id", "text", "__l", "lang_pred", "score"] and [tuple(r)[3] for r in out.collect()] == ["en"] * 2
+    assert langid.identify_language(clash.limit(0), model).count() == 0
+
+
+def test_language_sample(spark):
+    rows_ = [(i, f"text {chr(97 + i % 26)} of {i}", "ab"[i % 2] if i % 5 else "c") for i in range(2000)] + [(None, "x", "a"), (5, None, "a"), (6, "y", None)] + [(1, "text again", "b")] * 50
+    df = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    got = Counter(lang for lang, _ in langid.training_sets(df, F.lit(True), "doc_id", "text", "lang", per_language=100))
+    assert set(got) == {"a", "b", "c"} and all(60 < n < 140 for n in got.values())
+    assert len(langid.training_sets(df, F.lit(True), "doc_id", "text", "lang", per_language=100, sample=40)) <= 40
+    assert langid.training_sets(df.limit(0), F.lit(True), "doc_id", "text", "lang") == []
+
+
+def test_kernel_equals_brute_force():
+    texts = ["the cat and the hat", "der hund und die katze", "le chat et le chien", "of the and that", "nicht ist der das"]
+    sets = [langid.grams(t) for t in texts]
+    model = langid.fit(list(zip(["en", "de", "fr"], sets)))
+    plain = [set(x.tolist()) for x in sets]
+    want = [[len(a & b) / math.sqrt(len(a) * len(b)) for b in (plain[1], plain[0], plain[2])] for a in plain]
+    assert model.languages == ["de", "en", "fr"] and np.allclose(model.kernel(sets), want, atol=1e-5)
 
 
 # ---------------------------------------------------------------- personal data
@@ -258,6 +409,14 @@ def test_redaction(spark):
     assert got[1]["text"] == "é😀 [EMAIL] call [PHONE] now" and got[1]["n_chars"] == len(got[1]["text"]) and got[2]["text"] is None and list(got[3]) == df.columns
 
 
+def test_personal_data_of_repeated_rows_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a@b.co", "t", 1)] * 2 + [(None, None, "t", 1)], "doc_id long, text string, __text string, __c int")
+    assert sorted((str(r.doc_id), len(r.spans)) for r in pii.find_personal_data(df).collect()) == [("1", 1), ("1", 1), ("None", 0)]
+    out = pii_stage(spark, df, "")
+    assert out.columns == df.columns and sorted(str(r.text) for r in out.collect()) == ["None", "[EMAIL]", "[EMAIL]"] and {r["__text"] for r in out.collect()} == {"t"}
+    assert pii_stage(spark, df.limit(0), "").count() == 0
+
+
 def test_query_pii(spark, sf_dir):
     texts = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
     for r in rows(op6_pii(spark, sf_dir)):
@@ -304,14 +463,12 @@ def reference_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_tokens_equal_the_other_library(reference_tokenizer):
     own = packing.loaded(queries_packing.tokenizer_path())
-    for t in ["a  b\n\n\nc \t d\r\n e   ", " x\n", "\n\n", "", "a  b　\n c", "<|endoftext|> x's  don't", "a b c\u0085 d", "日本語 テキスト", "😀 \U0001F468‍", "x\x1c y\x00z", "plain words, and more. Yes!\nNext"]:
+    for t in ["a  b\n\n\nc \t d\r\n e   ", " x\n", "\n\n", "", "a  b　\n c", "<|endoftext|> x's  don't", "a <|endoftext|> b", "<|endoftext|>", "a  <|endoftext|>\n\n<|endoftext|>b. <|endoftext",  "a b c\u0085 d", "日本語 テキスト", "😀 \U0001F468‍", "x\x1c y\x00z", "plain words, and more. Yes!\nNext"]:
         assert own.encode(t).tolist() == reference_tokenizer.encode(t, add_special_tokens=False).ids
 
 
@@ -322,6 +479,32 @@ def test_packing(spark, reference_tokenizer):
     assert packing.pack(spark.createDataFrame([], DOCS), queries_packing.tokenizer_path()).count() == 0
 
 
+def test_packing_of_null_and_repeated_ids(spark, reference_tokenizer):
+    docs = spark.createDataFrame([(None, "one two", 5), (1, "three", 6), (1, "three", 6), (1, None, 7), (None, "<|endoftext|>", 8)], "doc_id long, text string, length long").coalesce(1)
+    got = rows(packing.pack(docs, queries_packing.tokenizer_path()))
+    ids = lambda t: np.array([*reference_tokenizer.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4")
+    want = Counter((i, len(ids(t)), zlib.crc32(ids(t).tobytes())) for i, t, _ in docs.collect())
+    assert Counter((r["doc_id"], r["doc_tokens"], r["ids_crc32"]) for r in got if r["length"] == r["doc_tokens"]) <= want
+    assert sum(r["length"] for r in got) == sum(n * k for (_, n, _), k in want.items())
+
+
+def test_words_are_cut_only_where_no_sentence_ends():
+    """Pieces of ordinary prose end with a sentence or their document; text without punctuation is cut after words."""
+    def ends(sentence: int) -> list[tuple]:
+        packer = packing.Packer(0)
+        found = []
+        for d in range(200):
+            n = 100 + 37 * d % 1500
+            counts = np.arange(5, n, 5)
+            found.extend(packer.add(d, np.arange(n, dtype="<u4"), counts, counts % sentence == 0))
+        found.extend(packer.finish())
+        return [(start + length, n) for _, start, length, _, n, _, _ in found[:-12] if start + length < n]
+
+    prose = ends(30)
+    assert prose and all(at % 30 == 0 for at, _ in prose)
+    assert any(at % 5 == 0 and at % 30 for at, _ in ends(10**6))
+
+
 def test_query_packing(spark, sf_dir, reference_tokenizer):
     check_pieces(rows(op7_pack(spark, sf_dir)), {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}, reference_tokenizer)
 
@@ -348,11 +531,34 @@ def test_temporal_join(spark):
     captures = spark.createDataFrame([(1, "http://a.x.com/p", 5), (2, "http://a.x.com", 15), (3, "https://b.x.com:8/", 15), (4, "http://x.com", 1), (5, None, 5), (6, "/rel", 5), (7, "http://u@A.X.com?q", 25), (7, "http://u@A.X.com?q", 25), (8, "http://a.x.com", None)], "key long, url string, fetched_at long")
     entries = spark.createDataFrame([("x.com", "block", 3), ("a.x.com", "allow", 10), ("a.x.com", "block", 20), ("a.x.com", "allow", 20), ("a.x.com", "block", 20), (None, "block", 1), ("com", "block", 0)], "key string, action string, time long")
     for limit in (10**6, 0):
-        got = [(r["key"], r["matched_key"], r["action"]) for r in rows(urlfilter.temporal_list_join(captures, entries, broadcast_limit=limit))]
+        got = [(r["key"], r["matched_key"], r["action"]) for r in rows(urlfilter.temporal_list_join(captures, entries, broadcast_keys=limit))]
         assert sorted(got, key=str) == sorted([(1, "x.com", "block"), (2, "a.x.com", "allow"), (3, "x.com", "block"), (4, None, None), (5, None, None), (6, None, None), (7, "a.x.com", "block"), (7, "a.x.com", "block"), (8, None, None)], key=str)
     assert urlfilter.temporal_list_join(captures, entries.limit(0)).where("action is not null").count() == 0
 
 
+def test_temporal_join_with_many_entries_equals_brute_force(spark):
+    rng = random.Random(6)
+    entries = [("x.com", rng.choice(["block", "allow"]), rng.randrange(10**6)) for _ in range(5000)] + [("a.x.com", rng.choice(["block", "allow"]), rng.randrange(10**6)) for _ in range(3)]
+    captures = [(i, f"http://{rng.choice(['a', 'b', 'www.a'])}.x.com/{i}", rng.randrange(10**6)) for i in range(3000)]
+    got = {r["key"]: (r["matched_key"], r["action"], r["valid_from"]) for r in rows(urlfilter.temporal_list_join(spark.createDataFrame(captures, "key long, url string, fetched_at long"), spark.createDataFrame(entries, "key string, action string, time long")))}
+    log = defaultdict(dict)
+    for k, a, t in entries:
+        log[k][t] = max(a, log[k].get(t, ""))
+    for i, url, at in captures:
+        host = url.split("/")[2]
+        keys = [k for k in (host, host.split(".", 1)[1], "x.com") if any(t <= at for t in log.get(k, {}))]
+        best = max(keys, key=len, default=None)
+        t = max((t for t in log[best] if t <= at), default=None) if best else None
+        assert got[i] == ((best, log[best][t], t) if best else (None, None, None))
+
+
+def test_temporal_join_replaces_clashing_columns(spark):
+    captures = spark.createDataFrame([("http://x.com", 5, "a", "b", 1, 2)], "url string, fetched_at long, action string, host string, __row int, __rowb int")
+    out = urlfilter.temporal_list_join(captures, spark.createDataFrame([("x.com", "block", 1)], "key string, action string, time long"))
+    assert out.columns == ["url", "fetched_at", "__row", "__rowb", "host", "matched_key", "action", "valid_from"] and tuple(out.first())[4:] == ("x.com", "x.com", "block", 1)
+    assert urlfilter.temporal_list_join(captures.limit(0), spark.createDataFrame([], "key string, action string, time long")).count() == 0
+
+
 def test_query_url(spark, sf_dir):
     from chronofold.llm.queries_url import ORACLES, QUERIES
 
@@ -362,13 +568,42 @@ def test_query_url(spark, sf_dir):
 # ---------------------------------------------------------------- toxicity
 
 def test_toxicity_held_out(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     got = {r["doc_id"]: r for r in rows(op9_toxicity(spark, sf))}
-    labels = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
+    labels = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect() if got[r.doc_id]["held_out"]}
     clean = [got[i]["predicted"] for i, y in labels.items() if not y]
     toxic = [got[i]["predicted"] for i, y in labels.items() if y]
-    assert np.mean(clean) < 0.02 and np.mean(toxic) > 0.5
-    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for i, r in got.items())
+    assert len(toxic) >= 20 and np.mean(clean) < 0.02 and np.mean(toxic) > 0.85
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for i, r in got.items())
+
+
+def test_viterbi_equals_brute_force():
+    rng = random.Random(7)
+    model = toxicity.CharModel(np.random.default_rng(1).integers(0, 50, toxicity._K ** 3).astype(float))
+    code = lambda c: 0 if c == " " else toxicity._CODE.get(c, 1)
+
+    def cost(word, price):
+        at = [0, 0, *map(code, word), 0]
+        return price - sum(float(model.logp[at[i], at[i + 1], at[i + 2]]) for i in range(len(at) - 2))
+
+    for _ in range(60):
+        token = "".join(rng.choice("1d0taa@s") for _ in range(rng.randrange(1, 6)))
+        places = toxicity.lattice(token, [[("", 0.0), (" ", 1.0)]] * (len(token) - 1) if rng.random() < 0.5 else None)
+        ways = [("".join(x for x, _ in way), sum(p for _, p in way)) for way in itertools.product(*places)]
+        best = min(cost(w, p) for w, p in ways)
+        got = toxicity.viterbi(places, model)
+        assert min(cost(w, p) for w, p in ways if w == got) == pytest.approx(best, abs=1e-3)
+
+
+def test_toxicity_edges(spark):
+    model = toxicity.char_model(spark.createDataFrame([], DOCS))
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    scorer = toxicity.fit(spark.createDataFrame([], DOCS), labels, model, F.lit(True))
+    df = spark.createDataFrame([(1, "a", 5)] * 2 + [(None, None, 5)], "doc_id long, text string, score int")
+    out = toxicity.score_toxicity(df, model, scorer)
+    assert out.columns == df.columns and len({r.score for r in out.collect()}) == 1 and out.count() == 3 and toxicity.score_toxicity(df.limit(0), model, scorer).count() == 0
+    kept = toxicity_stage(spark, df.select("doc_id", "text").limit(0), "/root/testdata/sf0.001")
+    assert kept.count() == 0 and kept.columns == ["doc_id", "text"]
 
 
 def test_deobfuscation(spark):
@@ -422,39 +657,71 @@ def test_long_tokens_take_linear_time():
 
 # ---------------------------------------------------------------- search
 
-def test_search_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(search, "SEGMENT_DOCS", 90)
-    monkeypatch.setattr(search, "QUERY_TERMS", 150)
-    rng = random.Random(9)
-    word = lambda k: "t" + chr(97 + k // 10) + chr(97 + k % 10)
-    docs = [(i, " ".join(word(min(int(rng.expovariate(0.08)), 80)) for _ in range(rng.randrange(0, 60)))) for i in range(300)] + [(300, None), (301, ""), (5, "tbb tbc")]
-    df = spark.createDataFrame(docs, DOCS)
-    queries = df.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
-    got = defaultdict(list)
-    for r in sorted(rows(search.top_k(df, queries, k=7)), key=lambda r: r["rank"]):
-        got[r["query_id"]].append((r["doc_id"], r["score"]))
-    terms = [Counter((t or "").split()) for _, t in docs]
+def brute_search(docs, queries, k, tokens=str.split):
+    """{query: [(doc, score)]} by adding up every term of every document."""
+    terms = [Counter(tokens(t or "")) for _, t in docs]
     length = [sum(c.values()) for c in terms]
     mean, n, df_of = sum(length) / len(docs), len(docs), Counter(t for c in terms for t in c)
-    for i, text in docs[::20]:
-        if not text:
-            assert i not in got
-            continue
+    where = defaultdict(list)
+    for j, c in enumerate(terms):
+        for t, m in c.items():
+            where[t].append((j, m * 2.2 / (m + 1.2 * (0.25 + 0.75 * length[j] / mean))))
+    out = {}
+    for i, text in queries:
         score = defaultdict(float)
-        for t, q in Counter(text.split()).items():
+        for t, q in Counter(tokens(text or "")).items():
             idf = math.log(1 + (n - df_of[t] + 0.5) / (df_of[t] + 0.5))
-            for j, c in enumerate(terms):
-                if c[t]:
-                    score[j] += q * idf * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * length[j] / mean))
-        want = sorted(((docs[j][0], round(s, 9)) for j, s in score.items()), key=lambda x: (-x[1], x[0]))[:7]
-        assert [d for d, _ in got[i]] == [d for d, _ in want]
-        assert [s for _, s in got[i]] == pytest.approx([s for _, s in want])
-    assert search.top_k(df.limit(0), queries.limit(0)).count() == 0
+            for j, w in where.get(t, ()):
+                score[j] += q * idf * w
+        best = sorted(((docs[j][0], round(x, 9)) for j, x in score.items() if docs[j][0] is not None), key=lambda x: (-x[1], x[0]))[:k]
+        if best:
+            out[i] = best
+    return out
+
+
+def ranked(found):
+    got = defaultdict(list)
+    for r in sorted(found, key=lambda r: r["rank"]):
+        assert r["rank"] == len(got[r["query_id"]]) + 1
+        got[r["query_id"]].append((r["doc_id"], r["score"]))
+    return dict(got)
+
+
+def same_ranking(got, want):
+    assert set(got) == set(want)
+    for i, w in want.items():
+        assert [x for _, x in got[i]] == pytest.approx([x for _, x in w], abs=1e-6)
+        assert [d for d, _ in got[i]] == [d for d, _ in w], i
+
+
+@pytest.mark.parametrize(("segment", "terms", "block"), [(90, 150, 32), (5000, 10**6, 128), (40, 20, 8)])
+def test_search_equals_brute_force(spark, monkeypatch, segment, terms, block):
+    monkeypatch.setattr(search, "SEGMENT_DOCS", segment)
+    monkeypatch.setattr(search, "QUERY_TERMS", terms)
+    monkeypatch.setattr(search, "BLOCK", block)
+    rng = random.Random(9)
+    word = lambda k: "t" + chr(97 + k // 10) + chr(97 + k % 10)
+    docs = [(i, " ".join(word(min(int(rng.expovariate(0.08)), 80)) for _ in range(rng.randrange(0, 60)))) for i in range(300)] + [(300, None), (301, ""), (5, "tbb tbc"), (None, "tbb tbc tbd"), (302, "tbb " * 30_000)]
+    df = spark.createDataFrame(docs, DOCS)
+    queries = df.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    same_ranking(ranked(rows(search.top_k(df, queries, k=7))), brute_search(docs, [d for d in docs if d[0] is not None and d[0] % 20 == 0 and d[1]], 7))
+
 
+def test_search_edges(spark):
+    df = spark.createDataFrame([(1, "b a", "x", 1)] * 3 + [(2, "c", "x", 1)], "doc_id long, text string, term string, segment int")
+    queries = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.5), (None, "a", 0.5), (2, None, 0.5), (3, "zzz", 0.5)], "query_id long, text string, score double")
+    assert [(r["query_id"], r["rank"], r["doc_id"]) for r in rows(search.top_k(df, queries))] == [(1, 1, 1), (1, 2, 1), (1, 3, 1)]
+    for d, q in ((df.limit(0), queries), (df, queries.limit(0)), (df.limit(0), queries.limit(0))):
+        assert search.top_k(d, q).count() == 0
 
-def test_query_search(spark, sf_dir):
-    got = rows(op10_search(spark, sf_dir))
-    assert all(r["query_id"] % 20 == 0 and 1 <= r["rank"] <= 10 for r in got) and all(r["doc_id"] is not None for r in got)
+
+def test_query_search(spark):
+    """The query over whole texts, with a plain tokenizer: words of letters and numbers."""
+    sf = "/root/testdata/sf0.01"
+    docs = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
+    tokens = lambda t: decontam._tokens(t)[0].tolist()
+    want = brute_search(docs, [d for d in docs if d[0] % 20 == 0 and d[1]], 10, tokens)
+    same_ranking(ranked(rows(op10_search(spark, sf))), want)
 
 
 # ---------------------------------------------------------------- shards
@@ -472,17 +739,59 @@ def test_versions(spark):
     df = spark.createDataFrame([(1, "x"), (None, None)], DOCS).coalesce(1)
     assert (t.version(), t.append(df, "a"), t.append(df.limit(0), "none")) == (0, 1, 2)
     with pytest.raises(shards.ConcurrentCommit):
-        t._commit(t.manifest(), 1)
+        t._commit(t.manifest(), 1, t.schema())
     for i in range(4):
         t.append(df, f"b{i}")
     assert t.compact() == t.version() == 7 and t.read().count() == 10 == t.read(6).count() and t.read(1).count() == 2
     assert t.manifest().count() == 1 and t.compact() == 7
-    assert t.vacuum() == 5 and t.read().count() == 10
+    assert t.vacuum() == 6 and t.read().count() == 10
     empty = shards.ShardedTable(spark, new_path(spark, "e"))
     empty.append(df.limit(0), "z")
     assert empty.read().count() == 0 and empty.read().columns == ["doc_id", "text", "__shard"]
 
 
+@pytest.mark.parametrize("name", ["2024-01-01 00:00", "a=b", "a/b", "50%", "", None, "arrival=aFF/é😀"])
+def test_arrivals_of_any_name(spark, name):
+    df = spark.createDataFrame([(1, "x", "y"), (2, None, "z"), (2, None, "z")], "doc_id long, text string, arrival string").coalesce(1)
+    t = shards.ShardedTable(spark, new_path(spark, "a table"))
+    assert t.append(df, name) == 1 and t.append_all(df.withColumn("__a", F.lit(name)), "__a") == [2]
+    assert [r.arrival for r in t.manifest().collect()] == [name or ""] * 2
+    assert sorted(map(tuple, t.read().drop("__shard").collect()), key=str) == sorted([tuple(r) for r in df.collect()] * 2, key=str)
+
+
+def test_several_arrivals_in_one_call(spark):
+    df = spark.createDataFrame([(i, "ab/ c"[i % 4]) for i in range(40)], "doc_id long, name string")
+    t = shards.ShardedTable(spark, new_path(spark, "t"))
+    assert t.append_all(df, "name") == [1, 2, 3, 4] and t.read().columns == ["doc_id", "__shard"]
+    assert [t.read(v).count() for v in (1, 2, 3, 4)] == [10, 20, 30, 40]
+
+
+def test_arrivals_with_other_columns(spark):
+    one = spark.createDataFrame([(1, "x")], DOCS).coalesce(1)
+    more = spark.createDataFrame([("y", 2, 0.5)], "text string, doc_id long, extra double").coalesce(1)
+    t = shards.ShardedTable(spark, new_path(spark, "t"))
+    for i in range(2):
+        t.append(one, f"a{i}")
+        t.append(more, f"b{i}")
+    assert t.schema(1).names == ["doc_id", "text"] and t.read(1).columns == ["doc_id", "text", "__shard"]
+    want = [(1, "x", None)] * 2 + [(2, "y", 0.5)] * 2
+    read = lambda: sorted(tuple(r)[:3] for r in t.read().collect())
+    assert read() == want and t.compact() == 5 and read() == want and t.vacuum() == 4 and read() == want
+    for other in ("doc_id string", "DOC_ID long", "__shard long"):
+        with pytest.raises(shards.SchemaMismatch):
+            t.append(spark.createDataFrame([], other), "c")
+    assert t.version() == 5
+
+
+def test_lost_rows_are_not_committed(spark, monkeypatch):
+    t = shards.ShardedTable(spark, new_path(spark, "t"))
+    real = t._described
+    monkeypatch.setattr(t, "_described", lambda *a: real(*a).where("rows < 0"))
+    with pytest.raises(shards.LostRows):
+        t.append(spark.createDataFrame([(1, "x")], DOCS), "a")
+    assert t.version() == 0
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline(spark, reference_tokenizer):
@@ -501,9 +810,23 @@ def test_pipeline(spark, reference_tokenizer):
         seen.append((name, before, at))
     ids = lambda d: {r.doc_id for r in d.select("doc_id").collect()}
     _, before, after = seen[1]
-    want = brute_components([(r.doc_id, r.text) for r in before.collect()])
+    want = brute_components([(r.doc_id, r.text) for r in before.collect()], 80)
     assert ids(after) == {i for i, c in want.items() if i == c}
     _, before, after = seen[3]
     assert ids(before) == ids(after) and all(not base_spans(r.text) for r in after.collect())
     assert check_pieces(rows(at), {r.doc_id: r.text for r in after.collect()}, reference_tokenizer) < 0.2
     assert corpus_pipeline.run(spark, sf).count() == at.count()
+
+
+def test_stages_on_empty_and_odd_tables(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    odd = spark.createDataFrame([(None, None, 1, "x"), (None, "some words here", 2, None), (7, "", None, "y"), (7, "", None, "y"), (8, "Repeated text of a few words only.", 3, "z"), (8, "Repeated text of a few words only.", 3, "z")], "doc_id long, text string, n long, rep string")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), sf).count() == 0, name
+        out = stage(spark, odd, sf)
+        if name == "packing":
+            assert {r.doc_id for r in out.collect()} == {None, 7, 8}
+        else:
+            assert out.columns == odd.columns and out.count() == 6, name
