@@ -42,3 +42,17 @@ def event_time(start: Column, end: Column) -> Column:
     flat = lambda x: F.substring(F.replace(x, F.lit("T"), F.lit(" ")), 1, 16)
     tail = F.when(F.substring(end, 1, 10) == F.substring(start, 1, 10), F.substring(end, 12, 5)).otherwise(flat(end))
     return F.when(F.nullif(start, F.lit("")).isNull(), "时间待确认").when(F.nullif(end, F.lit("")).isNull(), flat(start)).otherwise(F.concat(flat(start), F.lit("-"), tail))
+
+
+def event_place(location: Column, classroom: Column) -> Column:
+    return F.coalesce(location, classroom, F.lit("地点待补充"))
+
+
+def event_rule(kind: Column, start: Column, end: Column, week_type: Column, rrule: Column) -> Column:
+    """The week rule of a course; whether any other event repeats."""
+    return F.when((kind == "COURSE") & start.isNotNull(), week_rule(start, end, week_type)).otherwise(F.when(F.nullif(rrule, F.lit("")).isNotNull(), "重复事件").otherwise("单次事件"))
+
+
+def when_text(kind: Column, day: Column, period_start: Column, period_end: Column, start: Column, end: Column) -> Column:
+    """Weekday and slot of a course, start and end of any other event."""
+    return F.when((kind == "COURSE") & day.isNotNull(), F.concat(weekday_name(day), F.lit(" "), slot(period_start, period_end))).otherwise(event_time(start, end))

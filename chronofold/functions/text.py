@@ -28,8 +28,8 @@ def trim(c: Column) -> Column:
 
 
 def found(c: Column, pattern: str, group: int = 1) -> Column:
-    """A group of the first match; null where there is none."""
-    return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
+    """A group of the first match; null where there is none. The group must not be able to match nothing: one pass tells both."""
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
 def let(value: Column, f) -> Column:
@@ -39,21 +39,23 @@ def let(value: Column, f) -> Column:
 
 # fixed values: misreadings of character recognition, as pairs of pattern and replacement
 MISREAD = [("颥", "颐"), ("刈象", "对象"), ("健从", "健康"), (rf"颐德楼{WS}*旧{WS}*([0-9]{{2}})", "颐德楼H1$1"), ("经肚楼", "经世楼")]
+MISREAD_SIGNS = "颥|刈象|健从|旧|经肚楼"
 SEAT_WORDS = "分散|集中|闭卷|开卷"
 
 
 def normalize(c: Column) -> Column:
     """Full-width punctuation, dashes and split digits put right; known misreadings repaired; trimmed."""
-    c = F.translate(c, "：—–－～\u00a0", ":---~ ")
-    c = chain(c, (rf"{LEFT}([0-9]){WS}+([0-9]){WS}*:", "$1$2:"), (rf"([0-9]{{1,2}}){WS}*:{WS}*([0-9]{{2}})", "$1:$2"),
-              (rf"([0-9]{{1,2}}:[0-9]{{2}}){WS}*[一-]{WS}*([0-9]{{1,2}}:[0-9]{{2}})", "$1-$2"), *MISREAD,
-              (rf"{LEFT}([0-9]){WS}+([0-9])(?={WS}*(?:{SEAT_WORDS}|\z))", "$1$2"))
-    return trim(c)
+    times = ((rf"{LEFT}([0-9]){WS}+([0-9]){WS}*:", "$1$2:"), (rf"([0-9]{{1,2}}){WS}*:{WS}*([0-9]{{2}})", "$1:$2"), (rf"([0-9]{{1,2}}:[0-9]{{2}}){WS}*[一-]{WS}*([0-9]{{1,2}}:[0-9]{{2}})", "$1-$2"))
+    seats = (rf"{LEFT}([0-9]){WS}+([0-9])(?={WS}*(?:{SEAT_WORDS}|\z))", "$1$2")
+    # each group of repairs only where a text holds what it looks for
+    c = let(F.translate(c, "：—–－～\u00a0", ":---~ "), lambda x: F.when(x.rlike(rf"[0-9]{WS}*:"), chain(x, *times)).otherwise(x))
+    c = let(c, lambda x: F.when(x.rlike(MISREAD_SIGNS), chain(x, *MISREAD)).otherwise(x))
+    return let(c, lambda x: trim(F.when(x.rlike(rf"[0-9]{WS}+[0-9]"), F.regexp_replace(x, *seats)).otherwise(x)))
 
 
 def pieces(c: Column, separators: str) -> Column:
-    """Trimmed, non-empty parts."""
-    return F.filter(F.transform(F.split(c, separators), trim), lambda x: x != "")
+    """Trimmed, non-empty parts of a trimmed text: separators take the white space around them."""
+    return F.array_remove(F.split(c, f"{WS}*{separators}{WS}*"), "")
 
 
 def lines(c: Column) -> Column:
@@ -72,7 +74,7 @@ def exam_text(c: Column) -> Column:
 
 
 def exam_sentences(c: Column) -> Column:
-    parts = pieces(exam_text(c), "[\n\r。；;]")
+    parts = pieces(trim(exam_text(c)), "[\n\r。；;]")
     return F.when(F.size(parts) > 0, parts).otherwise(sentences(c))
 
 

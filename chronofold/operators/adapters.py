@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.functions.extract import DAY, route
-from chronofold.functions.text import DASH, WS, found, trim
+from chronofold.functions.text import WS, found, trim
 
 
 def requested_intent(asked: Column, text: Column) -> Column:
@@ -35,14 +35,14 @@ def draft_of(events: DataFrame) -> DataFrame:
 
 
 def entry_line(title: Column, details: Column, header: Column) -> Column:
-    """The canonical line of a page entry: weekday, periods, name, teacher, place, weeks; null without weekday or periods."""
-    periods = found(details, rf"\(?([0-9]{{1,2}}{WS}*{DASH}{WS}*[0-9]{{1,2}}){WS}*节", 1)
-    weeks = found(details, rf"[0-9]{{1,2}}{WS}*(?:{DASH}{WS}*[0-9]{{1,2}})?{WS}*周(?:{WS}*[（(]?[单双]周?[）)]?)?", 0)
-    place, teacher = found(details, rf"场地{WS}*[:：]{WS}*([^/\s]+)"), found(details, rf"教师{WS}*[:：]{WS}*([^/\s]+)")
-    name = trim(F.regexp_replace(title, f"[▲{WS[1:-1]}]+", " "))
-    day = found(header, f"(?:星期|周)({DAY})")
-    tagged = lambda label, c: F.when(c.isNotNull(), F.concat(F.lit(label), c))
-    return F.when(day.isNotNull() & periods.isNotNull(), F.concat_ws(" ", F.concat(F.lit("周"), day), F.concat(periods, F.lit("节")), name, tagged("教师:", teacher), tagged("地点:", place), weeks))
+    """The line of a page entry: weekday, periods, title, teacher, place, weeks; null without weekday or periods."""
+    d = F.regexp_replace(details, rf"{WS}+", "")
+    day = F.when(header.rlike(f"\\A星期{DAY}\\z"), F.replace(F.concat(F.lit("周"), F.substring(header, 3, 1)), F.lit("天"), F.lit("日")))
+    period = lambda g: found(d, r"\(([0-9]{1,2})-([0-9]{1,2})节\)", g)
+    week = F.replace(F.replace(found(d, r"\)([^/]*?周(?:\([^)]*\))?)/"), F.lit("(单)"), F.lit(" 单周")), F.lit("(双)"), F.lit(" 双周"))
+    place, teacher = found(d, r"场地:([^/]+?)(?:/教师:|\z)"), found(d, r"教师:([^/]+?)(?:/课程|/学分|\z)")
+    name = F.replace(F.regexp_replace(title, rf"{WS}+", ""), F.lit("▲"), F.lit(""))
+    return F.when(day.isNotNull() & period(1).isNotNull(), F.concat_ws(" ", day, F.concat(period(1), F.lit("-"), period(2), F.lit("节")), name, F.concat(teacher, F.lit("老师")), place, week))
 
 
 def repaired(cells: DataFrame, catalogue: DataFrame, field: str) -> DataFrame:

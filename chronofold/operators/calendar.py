@@ -87,8 +87,14 @@ def at_time(date: Column, clock: Column) -> Column:
     return F.concat_ws(" ", date.cast("string"), F.concat(clock, F.lit(":00"))).cast("timestamp_ntz")
 
 
+def unscheduled(courses: DataFrame, periods: DataFrame) -> DataFrame:
+    """Arrangements with a period that the schedule lacks, with the reason: they have no meetings and no calendar entries."""
+    missing = with_clock_times(courses, periods, "left").where("clock_start is null or clock_end is null")
+    return missing.select("id", "period_start", "period_end", F.concat(F.lit("节次不存在: "), F.col("period_start").cast("string"), F.lit("-"), F.col("period_end").cast("string")).alias("rejected"))
+
+
 def course_occurrences(courses: DataFrame, semester_start: Column, periods: DataFrame, no_class: DataFrame | None = None) -> DataFrame:
-    """(id, week, date, starts_at, ends_at): every meeting with known periods, holidays excluded."""
+    """(id, week, date, starts_at, ends_at): every meeting with known periods, holidays excluded. ``unscheduled`` gives those without."""
     meetings = courses.withColumn("week", F.explode(rule_weeks()))
     meetings = meetings.withColumn("date", course_date(semester_start, F.col("day_of_week"), F.col("week")))
     if no_class is not None:
@@ -97,15 +103,23 @@ def course_occurrences(courses: DataFrame, semester_start: Column, periods: Data
     return timed.select("id", "week", "date", at_time(F.col("date"), F.col("clock_start")).alias("starts_at"), at_time(F.col("date"), F.col("clock_end")).alias("ends_at"))
 
 
-def apply_template(courses: DataFrame, semester_start: Column, periods: DataFrame) -> DataFrame:
-    """Start and end of the first week's meeting; where a period is not defined, a warning and the times as they were."""
+def first_meeting(courses: DataFrame, semester_start: Column, periods: DataFrame) -> DataFrame:
+    """``courses`` with ``first_start`` and ``first_end`` of the first week's meeting, null where a period is not defined, and then a ``warning``. Rows without periods get neither."""
     week = F.coalesce(F.try_element_at(rule_weeks(), F.lit(1)), F.col("week_start"), F.lit(1))
-    day = course_date(semester_start, F.col("day_of_week"), week)
-    out = with_clock_times(courses.withColumn("first_date", day), periods, "left")
+    out = with_clock_times(courses.withColumn("first_date", course_date(semester_start, F.col("day_of_week"), week)), periods, "left")
     known = F.col("clock_start").isNotNull() & F.col("clock_end").isNotNull()
-    text = lambda clock: F.concat(F.col("first_date").cast("string"), F.lit("T"), F.col(clock), F.lit(":00"))
+    text = lambda clock: F.when(known, F.concat(F.col("first_date").cast("string"), F.lit("T"), F.col(clock), F.lit(":00")))
     warning = F.concat(F.lit("作息模板缺少第 "), F.col("period_start"), F.lit("-"), F.col("period_end"), F.lit(" 节"))
-    return out.select("id", F.when(known, text("clock_start")).alias("start_time"), F.when(known, text("clock_end")).alias("end_time"), F.when(~known, warning).alias("warning"))
+    return out.withColumns({"first_start": text("clock_start"), "first_end": text("clock_end"), "warning": F.when(~known, warning)}).drop("first_date", "clock_start", "clock_end")
+
+
+def apply_template(courses: DataFrame, semester_start: Column, periods: DataFrame) -> DataFrame:
+    """Start and end of the first week's meeting; where a period is not defined, a warning and no times.
+
+    With columns ``location`` and ``classroom`` a missing place is the classroom where the periods are known.
+    """
+    place = [F.when(F.col("first_start").isNotNull(), F.coalesce("location", "classroom")).otherwise(F.col("location")).alias("location")] if {"location", "classroom"} <= set(courses.columns) else []
+    return first_meeting(courses, semester_start, periods).select("id", F.col("first_start").alias("start_time"), F.col("first_end").alias("end_time"), "warning", *place)
 
 
 def semester_start_of(text: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from chronofold import schema
 from chronofold.functions import extract as X
 from chronofold.functions import text as N
+from chronofold.operators.calendar import first_meeting
 
 
 def numbered(df: DataFrame, parts: Column, keys: list[str]) -> DataFrame:
@@ -99,14 +100,18 @@ def natural_events(df: DataFrame, as_of: Column, text_col: str = "text", key: st
                     "location", F.lit(None).cast("string").alias("seat_number"), F.lit(None).cast("string").alias("description"), F.lit(0.78).alias("confidence"))
 
 
-def recognize(df: DataFrame, as_of: Column, text_col: str = "text", key: str = "doc_id", intent: Column | None = None) -> DataFrame:
+def recognize(df: DataFrame, as_of: Column, text_col: str = "text", key: str = "doc_id", intent: Column | None = None, schedule: tuple[Column, DataFrame] | None = None) -> DataFrame:
     """All events of all texts: of the branches that apply to a text the first one with any event is taken.
 
     Branches in order: courses (course intent, or a text that speaks of courses), exams, homework, notices, one event for
     the whole text. A branch that gives nothing falls through, so the choice is a minimum over the events found.
+    schedule: first day of the term and periods; with it courses get the times of their first week's meeting, or a ``warning`` where
+    the periods are not defined.
     """
-    docs = df.select(key, N.normalize(F.col(text_col)).alias("text"), (X.route(F.col(text_col)) if intent is None else intent).alias("intent"))
-    event = "struct<title:string,type:string,start_time:string,end_time:string,location:string,seat_number:string,description:string,reminder_minutes:int,confidence:double,teacher:string,day_of_week:int,period_start:int,period_end:int,week_start:int,week_end:int,week_type:string,specific_weeks:array<int>>"
+    raw = df.select(key, F.col(text_col).alias("__raw"), F.lit(None).cast("string").alias("__asked") if intent is None else intent.alias("__asked"))
+    # as generated columns they stay columns: the branches' filters do not repeat the expressions
+    docs = once(raw, text=N.normalize(F.col("__raw")), intent=X.route(F.col("__raw")) if intent is None else F.col("__asked")).select(key, "text", "intent")
+    event = "struct<title:string,type:string,start_time:string,end_time:string,location:string,seat_number:string,description:string,reminder_minutes:int,confidence:double,teacher:string,day_of_week:int,period_start:int,period_end:int,week_start:int,week_end:int,week_type:string,specific_weeks:array<int>" + (",warning:string>" if schedule else ">")
     fields = [f.split(":")[0] for f in event[7:-1].replace("array<int>", "x").split(",")]
     kinds = dict(f.split(":", 1) for f in event[7:-1].split(","))
 
@@ -115,6 +120,8 @@ def recognize(df: DataFrame, as_of: Column, text_col: str = "text", key: str = "
 
     courses = docs.where((F.col("intent") == "COURSE") | F.col("text").rlike("课程|课表|教学计划"))
     c = validate_courses(course_lines(courses, "text", key)).withColumn("title", F.col("name")).withColumn("type", F.lit("COURSE"))
+    if schedule:
+        c = first_meeting(c, *schedule).withColumnsRenamed({"first_start": "start_time", "first_end": "end_time"})
     empty = F.array().cast("array<string>")
     general = lambda d, forced: validate_events(general_events(d, as_of, forced, "text", key).withColumn("uncertain_fields", empty))
     parts = [shaped(c, 1), shaped(general(docs.where("intent = 'EXAM'"), "EXAM"), 2), shaped(general(docs.where("intent = 'HOMEWORK'"), "HOMEWORK"), 3),

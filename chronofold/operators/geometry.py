@@ -17,17 +17,23 @@ def nearest_header(items: DataFrame, headers: DataFrame, page: str, limit: float
     return items.join(per_page, page, "left").withColumn("header", near["label"]).drop("hs")
 
 
-def attach_details(titles: DataFrame, details: DataFrame, page: str, tolerance: float = 2.0) -> DataFrame:
-    """(page, title_id, details): each detail goes to the lowest title above it with |dx| < tolerance; texts from top to bottom.
+def attach_details(titles: DataFrame, details: DataFrame, page: str, tolerance: float = 2.0, order: str = "y") -> DataFrame:
+    """(page, title_id, details): each detail goes to the lowest title above it with |dx| < tolerance; texts from top to bottom (order ``y``) or by ``seq``.
 
-    A range join on x by cells of the tolerance's width: a detail meets the titles of its cell and the two beside it only.
+    Titles of one x are a column. A detail asks each column within the tolerance (found by cells of its width) once, and an as-of window from the top
+    down gives the column's lowest title above it, however many titles the column has.
     """
     cell = lambda x: F.floor(x / F.lit(tolerance))
-    t = titles.select(page, "title_id", F.col("x").alias("tx"), F.col("y").alias("ty"), F.explode(F.array(cell(F.col("x")) - 1, cell(F.col("x")), cell(F.col("x")) + 1)).alias("cell"))
-    d = details.withColumn("cell", cell(F.col("x")))
-    met = d.join(t, [page, "cell"]).where((F.abs(F.col("tx") - F.col("x")) < tolerance) & (F.col("ty") > F.col("y")))
-    best = met.groupBy(page, "seq", "text", "y").agg(F.min_by("title_id", F.struct("ty", "title_id")).alias("title_id"))
-    return best.groupBy(page, "title_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("ny"), "seq", "text"))), lambda s: s["text"]), " ").alias("details"))
+    t = titles.select(page, F.col("x").alias("tx"), "y", "title_id").groupBy(page, "tx", "y").agg(F.min("title_id").alias("title_id"))
+    xs = t.select(page, "tx").distinct().withColumn("cell", F.explode(F.array(cell(F.col("tx")) - 1, cell(F.col("tx")), cell(F.col("tx")) + 1)))
+    # a detail asks each near column of titles (its distinct x) once, and gets that column's lowest title above it
+    asked = details.select(page, "seq", "text", "x", "y").withColumn("cell", cell(F.col("x"))).join(xs, [page, "cell"]).where(F.abs(F.col("tx") - F.col("x")) < tolerance)
+    one = t.select(page, "tx", "y", F.lit(1).alias("kind"), F.lit(None).cast("struct<seq:bigint,text:string>").alias("d"), F.struct(F.col("y").alias("ty"), "title_id").alias("t"))
+    two = asked.select(page, "tx", "y", F.lit(0).alias("kind"), F.struct(F.col("seq").cast("long").alias("seq"), "text").alias("d"), F.lit(None).cast(one.schema["t"].dataType).alias("t"))
+    w = Window.partitionBy(page, "tx").orderBy(F.desc("y"), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = one.unionByName(two).withColumn("t", F.last("t", ignorenulls=True).over(w)).where("kind = 0 and t is not null")
+    best = met.groupBy(page, "d.seq", "d.text", "y").agg(F.min("t").alias("t")).select(page, "seq", "text", "y", "t.title_id")
+    return best.groupBy(page, "title_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("y") if order == "y" else F.lit(0.0)).alias("ny"), "seq", "text"))), lambda s: s["text"]), " ").alias("details"))
 
 
 def fill_by_bucket(items: DataFrame, page: str, width: float = 8.0) -> DataFrame:
@@ -40,18 +46,12 @@ def fill_by_bucket(items: DataFrame, page: str, width: float = 8.0) -> DataFrame
 def visual_lines(items: DataFrame, page: str, gap: float = 4.0) -> DataFrame:
     """Items with ``line_no``: from the top down, an item joins a line while its y is within ``gap`` of the line's first item.
 
-    The anchor is the first item's y, so a lag does not do; the sorted items of a page are folded once.
+    The anchor is the first item's y, so a lag does not do; the distinct y of a page are folded once into the lines' anchors.
     """
-    start = F.expr("named_struct('n', 0, 'anchor', cast(null as double), 'out', cast(array() as array<struct<seq:int,n:int>>))")
-
-    def step(acc: Column, it: Column) -> Column:
-        fresh = acc["anchor"].isNull() | (acc["anchor"] - it["y"] > gap)
-        n = F.when(fresh, acc["n"] + 1).otherwise(acc["n"])
-        return F.struct(n.alias("n"), F.when(fresh, it["y"]).otherwise(acc["anchor"]).alias("anchor"), F.concat(acc["out"], F.array(F.struct(it["seq"].alias("seq"), n.alias("n")))).alias("out"))
-
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("ny"), F.col("seq").cast("int").alias("seq")))), lambda s: F.struct((-s["ny"]).cast("double").alias("y"), s["seq"].alias("seq")))
-    pages = items.groupBy(page).agg(ordered.alias("o")).select(page, F.explode(F.aggregate("o", start, step, lambda acc: acc["out"])).alias("z")).select(page, "z.seq", F.col("z.n").alias("line_no"))
-    return items.join(pages, [page, "seq"])
+    ys = F.transform(F.array_sort(F.collect_set((-F.col("y")).cast("double"))), lambda v: -v)
+    lower = lambda acc, y: F.when((F.size(acc) == 0) | (F.try_element_at(acc, F.lit(-1)) - y > gap), F.concat(acc, F.array(y))).otherwise(acc)
+    anchors = items.groupBy(page).agg(F.aggregate(ys, F.array().cast("array<double>"), lower).alias("__anchors"))
+    return items.join(anchors, page).withColumn("line_no", F.size(F.filter("__anchors", lambda a: a >= F.col("y")))).drop("__anchors")
 
 
 def join_line(items: DataFrame, keys: list[str], space: float = 18.0) -> DataFrame:
@@ -61,8 +61,8 @@ def join_line(items: DataFrame, keys: list[str], space: float = 18.0) -> DataFra
     return items.withColumn("piece", piece).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "seq", "piece"))), lambda s: s["piece"]), "").alias("line"))
 
 
-def islands(counts: DataFrame, key: str, threshold: int, least: int = 1, half_up: bool = True) -> DataFrame:
-    """Runs of consecutive ``idx`` with ``n`` of at least ``threshold``: (key, first, last, length, centre)."""
+def islands(counts: DataFrame, key: str, threshold: int | Column, least: int = 1, half_up: bool = True) -> DataFrame:
+    """Runs of consecutive ``idx`` with ``n`` of at least ``threshold`` (a number or a column): (key, first, last, length, centre)."""
     above = counts.where(F.col("n") >= threshold).withColumn("island", F.col("idx") - F.row_number().over(Window.partitionBy(key).orderBy("idx")))
     runs = above.groupBy(key, "island").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count("*").alias("length")).where(F.col("length") >= least)
     middle = (F.col("first") + F.col("last")) / 2

@@ -86,6 +86,16 @@ def entry_lines(uid: Column, start: Column, end: Column, title: Column, location
         F.when(rings, F.concat(F.lit("DESCRIPTION:"), escape_text(F.concat(title, F.lit(" 即将开始"))))), F.when(rings, "END:VALARM"), F.lit("END:VEVENT")), lambda x: x.isNotNull())
 
 
+def event_entries(events: DataFrame) -> DataFrame:
+    """Calendar entries of events that are no courses: suffix 0, an end an hour after the start where it is missing, their own rule; those without a start are left out.
+
+    ``events`` with dtstart and dtend beside its columns start_time, end_time, rrule (null where there is none).
+    """
+    start, end = F.nullif("start_time", F.lit("")), F.nullif("end_time", F.lit(""))
+    timed = events.where(start.isNotNull())
+    return timed.withColumn("suffix", F.lit("0")).withColumn("dtstart", compact_text(F.col("start_time"))).withColumn("dtend", compact_text(F.coalesce(end, add_minutes(F.col("start_time"), F.lit(60)))))
+
+
 def calendars(entries: DataFrame, calendar: str, order: list[str], lines: str, name: Column | None = None) -> DataFrame:
     """(calendar, ics): the entries' lines in order between the calendar's head and end, joined by CR LF.
 

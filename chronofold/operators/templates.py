@@ -32,7 +32,7 @@ def period_label(number: Column) -> Column:
 
 def parse_schedule(df: DataFrame, text_col: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(periods, warnings). The first line that defines a period number counts; lines that are neither periods nor headings are warned about by number."""
-    rows = numbered(df, N.pieces(F.col(text_col), "[\n\r；;]"), [key]).withColumn("p", period_of(F.col("line")))
+    rows = numbered(df, N.pieces(N.trim(F.col(text_col)), "[\n\r；;]"), [key]).withColumn("p", period_of(F.col("line")))
     good = rows.where("p is not null").groupBy(key, F.col("p.number").alias("period_number")).agg(F.min_by("p", "line_no").alias("p"))
     periods = good.select(key, "period_number", F.col("p.start").alias("start_time"), F.col("p.end").alias("end_time"), period_label(F.col("period_number")).alias("label"))
     bad = rows.where(F.col("p").isNull() & ~F.col("line").rlike(_HEAD))

@@ -35,9 +35,10 @@ def draft_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    details = F.concat(F.lit("("), (k % 9 + 1).cast("string"), F.lit("-"), (k % 9 + 2).cast("string"), F.lit("节)1-16周/场地:B"), (k % 99).cast("string"), F.when(k % 2 == 0, "/教师:甲").otherwise(""))
-    header = F.when(k % 3 == 0, "星期一").when(k % 3 == 1, "星期日")
-    return table(spark, sf_dir, "orders").select("o_orderkey", A.entry_line(F.lit("网络▲"), details, header).alias("line"))
+    week = F.when(k % 5 == 0, "(单)").when(k % 5 == 1, "(双)").otherwise("")
+    details = F.concat(F.when(k % 7 > 0, "(").otherwise("["), (k % 9 + 1).cast("string"), F.lit("-"), (k % 9 + 2).cast("string"), F.lit("节)1-16周"), week, F.when(k % 6 > 0, F.concat(F.lit("/校区:甲/ 场地:B"), (k % 99).cast("string"))).otherwise("/"), F.when(k % 2 == 0, "/教师:甲/课程号:1").when(k % 4 == 1, "/教师:乙").otherwise(""))
+    header = F.when(k % 3 == 0, "星期一").when(k % 3 == 1, "星期天")
+    return table(spark, sf_dir, "orders").select("o_orderkey", A.entry_line(F.lit("网 络▲"), details, header).alias("line"))
 
 
 def misreading_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,7 @@ ORACLES = {
     "extraction_cascade": "select page_id, case when page_id % 3 = 1 then 'd' || page_id when page_id % 2 = 0 then 't' when page_id % 7 > 0 then 'o' end as result, case when page_id % 3 = 1 then 'direct' when page_id % 2 = 0 then 'table' when page_id % 7 > 0 then 'ocr' end as strategy from pages",
     "flat_courses": f"with {COURSES} select id, 'c' || id as title, 'COURSE' as type, case when id % 2 = 0 then 'B1' end as location, 'AI' as source, case when id % 2 = 0 then 'B1' end as classroom, day_of_week, week_type from courses",
     "draft_defaults": f"with {COURSES} select id, case when id % 2 = 0 then 'B1' else '' end as place, day_of_week, period_start, case when id % 4 > 0 then period_end else period_start end as period_end, week_start, case when id % 3 > 0 then week_end else 16 end as week_end, case when id % 5 > 0 then 10 else 30 end as reminder_minutes from courses",
-    "entry_lines": "select o_orderkey, case when o_orderkey % 3 < 2 then '周' || case o_orderkey % 3 when 0 then '一' else '日' end || ' ' || (o_orderkey % 9 + 1) || '-' || (o_orderkey % 9 + 2) || '节 网络' || case when o_orderkey % 2 = 0 then ' 教师:甲' else '' end || ' 地点:B' || (o_orderkey % 99) || ' 1-16周' end as line from orders",
+    "entry_lines": """select o_orderkey, case when o_orderkey % 3 < 2 and o_orderkey % 7 > 0 then '周' || case o_orderkey % 3 when 0 then '一' else '日' end || ' ' || (o_orderkey % 9 + 1) || '-' || (o_orderkey % 9 + 2) || '节 网络' || case when o_orderkey % 2 = 0 then ' 甲老师' when o_orderkey % 4 = 1 then ' 乙老师' else '' end
+      || case when o_orderkey % 6 > 0 then ' B' || (o_orderkey % 99) else '' end || ' 1-16周' || case o_orderkey % 5 when 0 then ' 单周' when 1 then ' 双周' else '' end end as line from orders""",
     "misreading_repair": "select p_partkey, case when p_brand in (select p_brand from part where p_partkey % 3 = 0) and length(p_brand) > 0 then '→' || p_brand else p_brand end as place from part",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.operators import calendar as C
+from chronofold.operators import cells as K
 from chronofold.operators import geometry as G
 from chronofold.operators import ocr as O
 from chronofold.operators import store as S
@@ -96,8 +97,12 @@ def header_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corroborate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 300).alias("image_id"), F.concat(F.lit("n"), (F.col("l_partkey") % 40).cast("string")).alias("name"), F.when(F.col("l_suppkey") % 4 > 0, F.concat(F.lit("t"), (F.col("l_suppkey") % 3).cast("string"))).otherwise("").alias("teacher"), F.concat(F.lit("p"), (F.col("l_suppkey") % 2).cast("string")).alias("place"), F.col("l_linenumber"), F.col("l_orderkey"))  # noqa: E741
-    return O.corroborate(l.where("l_linenumber = 1").select("l_orderkey", "image_id", "name", F.lit("?").alias("teacher"), F.lit("?").alias("place")), l.where("l_linenumber > 1"))
+    """Details meet main cells whose name differs by a colon or space; a third of the details have a place of their own."""
+    name = F.concat(F.lit("n"), F.when(F.col("l_linenumber") % 2 == 0, " ").when(F.col("l_linenumber") % 3 == 0, "：").otherwise(""), (F.col("l_partkey") % 40).cast("string"))
+    l = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 300).alias("image_id"), name.alias("name"), F.when(F.col("l_suppkey") % 4 > 0, F.concat(F.lit("t"), (F.col("l_suppkey") % 3).cast("string"))).otherwise("").alias("teacher"),  # noqa: E741
+                                                F.when(F.col("l_suppkey") % 5 > 0, F.concat(F.lit("p"), (F.col("l_suppkey") % 2).cast("string"))).alias("place"), "l_linenumber", "l_orderkey")
+    own = F.when(F.col("l_orderkey") % 3 == 0, "own").when(F.col("l_orderkey") % 3 == 1, "")
+    return K.corroborated(l.where("l_linenumber = 1").select("l_orderkey", "image_id", "name", F.lit("?").alias("teacher"), own.alias("place")), l.where("l_linenumber > 1"))
 
 
 def catalogue_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +112,13 @@ def catalogue_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compose_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.compose(_cells(spark, sf_dir))
+    """Images of five forms: exam cells, exam rows, detail rows, a full text, cells without a slot of a course."""
+    k = F.col("image_id")
+    detail = F.concat(F.lit("10000001 课"), (k % 7).cast("string"), F.lit("甲 大纲 1-16周 星期二 3-4节 江安综合楼B 202"))
+    kind = F.when(k % 5 == 0, F.when(F.col("seq") % 2 == 0, "examCell").otherwise("full")).when(k % 5 == 1, "examRow").when(k % 5 == 2, "courseDetailRow").when(k % 5 == 3, F.when(F.col("seq") == 1, "full").otherwise("courseDetailRow")).otherwise("cell")
+    text = F.when(F.col("kind") == "examCell", F.concat(F.lit("数据"), F.col("seq").cast("string"))).when(F.col("kind") == "examRow", F.concat(F.lit("考 试 "), F.col("text"))).when(F.col("kind") == "courseDetailRow", detail).when(F.col("kind") == "full", F.concat(F.lit("全 文："), F.col("text"))).otherwise(F.lit("星期"))
+    c = _cells(spark, sf_dir).withColumn("kind", kind).withColumn("text", text).withColumn("column_index", F.when(F.col("kind") == "examCell", 3).otherwise(F.col("column_index"))).withColumn("period_end", F.col("period_start"))
+    return K.image_texts(c)
 
 
 def target_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +184,9 @@ def draft_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def upload_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     exts = ["pdf", "JPG", "heic", "csv", "txt", "xlsx", "exe", ""]
-    f = table(spark, sf_dir, "pages").select("page_id", F.concat(F.col("page_id").cast("string"), F.lit(".x."), F.try_element_at(F.array(*[F.lit(e) for e in exts]), (F.col("page_id") % 8 + 1).cast("int"))).alias("name"), F.lit("").alias("mime"), (F.length("html") * F.when(F.col("page_id") % 10 == 0, 100000).otherwise(1)).cast("long").alias("bytes"))
+    types = ["", "application/pdf", "image/heif", "text/csv", "application/x-dosexec"]
+    mime = F.try_element_at(F.array(*[F.lit(t) for t in types]), (F.floor(F.col("page_id") / 8) % 5 + 1).cast("int"))
+    f = table(spark, sf_dir, "pages").select("page_id", F.concat(F.col("page_id").cast("string"), F.lit(".x."), F.try_element_at(F.array(*[F.lit(e) for e in exts]), (F.col("page_id") % 8 + 1).cast("int"))).alias("name"), mime.alias("mime"), (F.length("html") * F.when(F.col("page_id") % 10 == 0, 100000).otherwise(1)).cast("long").alias("bytes"))
     return U.classify(f)
 
 
@@ -216,13 +229,16 @@ ORACLES = {
     "entry_sessions": f"with {_I}, e as (select page as cell, seq, text, cast(sum(is_title::int) over (partition by page order by seq rows unbounded preceding) as bigint) as entry from i) select cell, entry, string_agg(text, ' ' order by seq) as text from e where entry > 0 group by all",
     "exam_pivot": f"with {_CELLS} select image_id, row_index, " + ", ".join(f"arg_max(text, seq) filter (column_index = {k}) as {v}" for k, v in ((2, "time"), (3, "title"), (4, "place"), (5, "seat"), (6, "remark"))) + " from c where column_index between 2 and 6 group by all",
     "header_days": f"with {_CELLS}, h as (select image_id, column_index, arg_max(day_of_week, seq) as header_day from c where row_index = 0 group by all) select c.image_id, c.seq, h.header_day from c left join h using (image_id, column_index)",
-    "corroborate": """with l as (select l_orderkey % 300 as image_id, 'n' || (l_partkey % 40) as name, case when l_suppkey % 4 > 0 then 't' || (l_suppkey % 3) else '' end as teacher, 'p' || (l_suppkey % 2) as place, l_linenumber, l_orderkey from lineitem),
-      m as (select image_id, name, case when count(distinct nullif(teacher, '')) = 1 then min(nullif(teacher, '')) end as t, case when count(distinct place) = 1 then min(place) end as p from l where l_linenumber > 1 group by all)
-      select l_orderkey, l.image_id, l.name, coalesce(t, '?') as teacher, coalesce(p, '?') as place from l left join m on m.image_id = l.image_id and m.name = l.name where l_linenumber = 1""",
-    "catalogue_join": f"""with {_CELLS}, k as (select p_partkey as course_id, p_partkey % 7 + 1 as d, p_partkey % 6 * 2 + 1 as s, 'c.*' || (p_partkey % 10) || '$' as alias from part where p_partkey <= 200)
+    "corroborate": r"""with l as (select l_orderkey % 300 as image_id, 'n' || case when l_linenumber % 2 = 0 then ' ' when l_linenumber % 3 = 0 then '：' else '' end || (l_partkey % 40) as name, case when l_suppkey % 4 > 0 then 't' || (l_suppkey % 3) else '' end as teacher, case when l_suppkey % 5 > 0 then 'p' || (l_suppkey % 2) end as place, l_linenumber, l_orderkey from lineitem),
+      k as (select *, regexp_replace(name, '[：:\s]', '', 'g') as key from l),
+      m as (select image_id, key, case when count(distinct nullif(teacher, '')) = 1 then min(nullif(teacher, '')) end as t, case when count(distinct place) = 1 then min(place) end as p from k where l_linenumber > 1 group by all)
+      select l_orderkey, k.image_id, k.name, coalesce(t, '?') as teacher, coalesce(case when l_orderkey % 3 = 0 then 'own' end, p) as place from k left join m on m.image_id = k.image_id and m.key = k.key where l_linenumber = 1""",
+    "catalogue_join": f"""with {_CELLS}, k as (select p_partkey as course_id, p_partkey % 7 + 1 as d, p_partkey % 6 * 2 + 1 as s, 'c.*' || (p_partkey % 10) || '$' as alias from part)
       select image_id, seq, course_id from c join k on d = day_of_week and s = period_start and regexp_matches(text, alias)""",
-    "compose_priority": f"""with {_CELLS}, g as (select image_id, string_agg(text, chr(10) order by seq) filter (kind = 'examRow') as er, string_agg(text, chr(10) order by seq) filter (kind = 'courseDetailRow') as cd, count(*) filter (kind = 'courseDetailRow') as n, string_agg(text, chr(10) order by seq) filter (kind = 'full') as fu, string_agg(text, chr(10) order by seq) filter (kind = 'cell') as ce from c group by image_id)
-      select image_id, coalesce(er, case when n >= 3 then cd end, fu, cd, ce, '') as text from g""",
+    "compose_priority": f"""with {_CELLS}, g as (select image_id, seq, row_index, text, image_id % 5 as m, '周二 3-4节 课' || (image_id % 7) || '甲大纲 1-16周 地点:江安综合楼B202' as line, max(case when seq % 2 = 0 then seq end) over (partition by image_id, row_index) as best from c)
+      select image_id, case when m = 0 and bool_or(seq % 2 = 0) then string_agg('数据' || seq, chr(10) order by row_index) filter (seq = best) when m = 0 then string_agg('全文:' || text, chr(10) order by seq) when m = 1 then string_agg('考试 ' || text, chr(10) order by seq)
+          when m = 2 then string_agg(line, chr(10) order by seq) when m = 3 and count(*) filter (seq <> 1) >= 3 then string_agg(line, chr(10) order by seq) filter (seq <> 1)
+          when m = 3 then coalesce(max('全文:' || text) filter (seq = 1), string_agg(line, chr(10) order by seq) filter (seq <> 1)) else '' end as text from g group by image_id, m""",
     "target_text": f"with {_CELLS} select image_id, string_agg(text, chr(10) order by seq) as text, avg(confidence) as confidence, case when count(*) >= 3 then greatest(0.82::double, avg(confidence)) else avg(confidence) end as final from c where kind = 'cell' group by image_id",
     "split_details": """select o_orderkey, 0 as n, (o_orderkey + 1000000) || ' 课 一 5-6周' as line from orders union all select o_orderkey, 1, (o_orderkey + 2000000) || ' 课二 第7周 12345' from orders union all select o_orderkey, 2, (o_orderkey + 3000000)::varchar from orders where o_orderkey % 2 = 0""",
     "column_counts": f"with {_COUNT} select image_id, idx, cast(n as bigint) as n from k",
@@ -235,9 +251,10 @@ ORACLES = {
     "draft_patch": """with d as (select c_custkey as id, case c_custkey % 6 when 0 then 0 when 2 then 4 when 3 then 99999 when 4 then -4 when 5 then c_custkey % 10 end as n from customer)
       select id, cast(least(7, greatest(1, coalesce(n, 1))) as int) as day_of_week, cast(least(14, greatest(1, coalesce(n, 1))) as int) as period_start, cast(least(30, greatest(1, coalesce(n, 1))) as int) as week_start, cast(least(1440, greatest(0, coalesce(n, 30))) as int) as reminder_minutes,
         case when id % 4 = 0 then '7' end as seat_number, case when id % 3 = 0 then 'room' else 'here' end as location from d""",
-    "upload_kinds": """with f as (select page_id, page_id || '.x.' || (['pdf','JPG','heic','csv','txt','xlsx','exe',''])[page_id % 8 + 1] as name, (['pdf','jpg','heic','csv','txt','xlsx','exe',''])[page_id % 8 + 1] as ext, length(html)::bigint * case when page_id % 10 = 0 then 100000 else 1 end as bytes from pages)
-      select page_id, name, bytes, ext, case ext when 'pdf' then 'application/pdf' when 'jpg' then 'image/jpeg' when 'csv' then 'text/csv' when 'txt' then 'text/plain' when 'xlsx' then 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet' else '' end as mime,
-        case when ext = 'heic' then 'UNSUPPORTED_MOBILE_IMAGE' when ext in ('exe', '') then 'UNSUPPORTED_TYPE' when bytes > 26214400 then 'TOO_LARGE' end as rejected, case ext when 'pdf' then 'PDF' when 'jpg' then 'IMAGE' when 'csv' then 'EXCEL' when 'xlsx' then 'EXCEL' when 'txt' then 'TEXT' when 'heic' then 'IMAGE' else 'TEXT' end as source from f""",
+    "upload_kinds": """with g as (select page_id, page_id || '.x.' || (['pdf','JPG','heic','csv','txt','xlsx','exe',''])[page_id % 8 + 1] as name, (['pdf','jpg','heic','csv','txt','xlsx','exe',''])[page_id % 8 + 1] as ext, (['','application/pdf','image/heif','text/csv','application/x-dosexec'])[page_id // 8 % 5 + 1] as m, length(html)::bigint * case when page_id % 10 = 0 then 100000 else 1 end as bytes from pages),
+      f as (select page_id, name, bytes, ext, case when m <> '' then m else case ext when 'pdf' then 'application/pdf' when 'jpg' then 'image/jpeg' when 'csv' then 'text/csv' when 'txt' then 'text/plain' when 'xlsx' then 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet' else '' end end as mime from g)
+      select *, case when ext = 'heic' or mime = 'image/heif' then 'UNSUPPORTED_HEIC' when ext in ('exe', '', 'heic') and mime not in ('application/pdf', 'text/csv') then 'INVALID_FILE' when bytes > 26214400 then 'FILE_TOO_LARGE' end as rejected,
+        case when mime = 'application/pdf' or ext = 'pdf' then 'PDF' when starts_with(mime, 'image/') or ext = 'heic' then 'IMAGE' when ext in ('csv', 'xlsx') then 'EXCEL' when ext = 'txt' then 'TEXT' when mime = 'text/csv' then 'EXCEL' else 'TEXT' end as source from f""",
     "content_hash": "select doc_id, sha256(text) as input_hash from documents",
     "model_output": """select c_custkey, c_name as name, cast(c_custkey % 9 as int) as day_of_week, 1 as period_start, case when c_custkey % 9 not between 1 and 7 then c_name || ': 缺少星期信息' end as rejected from customer where c_custkey % 4 <> 3
       union all select c_custkey, 'b', 2, cast(c_custkey % 2 as int), case when c_custkey % 2 = 0 then 'b: 缺少节次信息' end from customer where c_custkey % 4 <> 3""",

@@ -64,7 +64,7 @@ def period_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weekday_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = course_texts(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey"), "id")
-    line = F.when(F.col("id") % 4 == 0, F.col("text")).otherwise(F.substring(F.col("text"), 3, 1000))
+    line = F.when(F.col("id") % 4 == 0, F.col("text")).otherwise(F.expr("substring(text, 3)"))
     docs = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
     return E.course_lines(docs, "text", "o_custkey").select("o_custkey", "line_no", "day_of_week")
 
@@ -204,5 +204,17 @@ ORACLES = {
     "display_labels": f"""{_DOC_COURSES} select id, case when id % 10 = 0 then '未知星期' else (['周一','周二','周三','周四','周五','周六','周日'])[day_of_week] end as weekday, '第 ' || week_start || '-' || week_end || ' 周 ' || case week_type when 'EVERY_WEEK' then '每周' when 'ODD_WEEK' then '单周' when 'EVEN_WEEK' then '双周' else '指定周' end as rule,
       case week_type when 'EVERY_WEEK' then '全周' when 'ODD_WEEK' then '单周' when 'EVEN_WEEK' then '双周' else '指定周' end as week_label, '第 ' || period_start || '-' || period_end || ' 节' as slot, case when id % 101 >= 85 then '高置信' when id % 101 >= 70 then '需核对' else '低置信' end as band,
       case when id % 13 = 0 then '时间待确认' else '2026-06-23 ' || lpad((id % 24)::varchar, 2, '0') || ':00' || case id % 3 when 0 then '' when 1 then '-23:30' else '-2026-06-24 01:00' end end as when_text, (['课程','考试','作业','会议','活动','提醒','OTHER'])[id % 7 + 1] as type_label from courses""",
+    "event_recognition": """with e as (select event_id, event_id % 6 as m, event_id % 300 + 100 as k, cast(user_id % 7 as int) as wd, hour(ts) as h, strftime(ts, '%M') as mi, '2026-' || strftime(ts, '%m-%d') as md from events),
+      d as (select *, case m when 0 then md when 1 then md when 2 then cast(cast(date '2026-06-15' + (wd + 7) as date) as varchar) when 3 then '2026-06-16' when 4 then '2026-06-15' else cast(cast(date '2026-06-15' + wd as date) as varchar) end as day,
+        case m when 1 then '23:59' when 2 then '19:00' when 3 then '15:00' when 5 then '08:00' else lpad(h::varchar, 2, '0') || ':' || mi end as s, case m when 1 then '24:59' when 2 then '20:00' when 3 then '16:00' when 5 then '10:00' else lpad((h + 1)::varchar, 2, '0') || ':' || mi end as t from e)
+      select event_id, case m when 0 then 2 else 1 end::int as line_no, (['操作系统考试', '提交实验报告', '班会', '下午3点讲座，', '记得带伞', '8点到10点 活动 教室'])[m + 1] as title, (['EXAM', 'HOMEWORK', 'MEETING', 'ACTIVITY', 'REMINDER', 'ACTIVITY'])[m + 1] as type, day || 'T' || s || ':00' as start_time, day || 'T' || t || ':00' as end_time,
+        case m when 0 then '教学楼 A' || k when 2 then '线上会议' when 3 then '图书馆报告厅' when 5 then 'B' || k end as location, null::varchar as seat_number, case m when 1 then '从校园信息中识别出的提交截止时间。' end as description, case m when 1 then 120 else 30 end::int as reminder_minutes, case when m < 4 then 0.82 else 0.78 end::double as confidence,
+        null::varchar as teacher, null::int as day_of_week, null::int as period_start, null::int as period_end, null::int as week_start, null::int as week_end, null::varchar as week_type, null::int[] as specific_weeks from d""",
+    "ocr_scores": r"""with e as (select *, (['一','二','三','四','五','六','日'])[user_id % 7 + 1] as wd, event_id % 300 + 100 as k, strftime(ts, '%-m月%-d日 ') as md, hour(ts) as h, strftime(ts, ':%M') as mi from events),
+      n as (select event_id, case event_id % 6 when 0 then '2026年' || md || h || mi || '-' || (h + 1) || mi || ' 操作系统考试 地点：教学楼 A' || k when 1 then md || '23:59 截止提交实验报告' when 2 then '下周' || wd || '晚上七点开班会，地点线上会议' when 3 then '明天下午3点讲座，地点：图书馆报告厅'
+        when 4 then '今天 ' || h || mi || ' 记得带伞' else '周' || wd || ' 8点到10点 活动 教室B' || k end as text from e),
+      a as (select event_id, translate(text, '：／（）．—–－一', ':/().----') as t from n), b as (select event_id, regexp_replace(regexp_replace(t, '([\x{4e00}-\x{9fa5}])\s+([\x{4e00}-\x{9fa5}])', '\1\2', 'g'), '([\x{4e00}-\x{9fa5}])\s+([\x{4e00}-\x{9fa5}])', '\1\2', 'g') as t from a)
+      select event_id, len(regexp_extract_all(t, '(?:20[0-9]{2}\s*年?)?\s*[0-9]{1,2}\s*月\s*[0-9]{1,2}\s*日?')) * 8.0::double + len(regexp_extract_all(t, '[0-9]{1,2}\s*:\s*[0-9]{2}')) * 5.0::double + len(regexp_extract_all(t, '(?:经世楼|颐德楼|明德楼|笃行楼|教学楼|实验楼|晨曦排球场)\s*[A-Za-z]?\s*[0-9]{0,4}')) * 7.0::double
+        + len(regexp_extract_all(t, '数据结构|离散数学|高等数学|计算机网络')) * 6.0::double + len(regexp_extract_all(t, '周[一二三四五六日天]|[0-9]{1,2}\s*[-~至到]\s*[0-9]{1,2}\s*节')) * 4.0::double + least(length(t), 900) / 120.0::double as score from b""",
     "first_literal": "with t as (select p_partkey, p_name, case p_partkey % 3 when 0 then substring(p_name, 2, 2) when 1 then 'e' end as x from part) select p_partkey, case when x is null or x = '' or instr(p_name, x) = 0 then p_name else substring(p_name, 1, instr(p_name, x) - 1) || ' ' || substring(p_name, instr(p_name, x) + length(x)) end as rest from t",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PLAN_MODULES: tuple[str, ...] = ("calendar", "text", "tables", "adapters")
+PLAN_MODULES: tuple[str, ...] = ("calendar", "text", "tables", "adapters", "cells")
 
 
 def collect() -> tuple[dict, dict]:

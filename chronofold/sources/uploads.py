@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.operators.events import validate_courses
+from chronofold.operators.events import validate_courses, validate_events
 
 # fixed values: accepted extensions and their media types, refused ones, the size limit
 MEDIA_TYPES = {
     "pdf": "application/pdf", "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "webp": "image/webp", "csv": "text/csv", "txt": "text/plain",
     "xls": "application/vnd.ms-excel", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
 }
-REFUSED = ["heic", "heif"]
+REFUSED, REFUSED_TYPES = ["heic", "heif"], ["image/heic", "image/heif"]
+ACCEPTED_TYPES = sorted({*MEDIA_TYPES.values(), "image/jpg"})
 LIMIT_BYTES = 25 * 1024 * 1024
 
 
@@ -25,17 +26,17 @@ def media_type(ext: Column) -> Column:
 
 
 def event_source(ext: Column, mime: Column) -> Column:
-    return (F.when(mime.contains("pdf") | (ext == "pdf"), "PDF").when(mime.startswith("image/") | ext.isin(*REFUSED), "IMAGE")
-            .when(ext.isin("csv", "xls", "xlsx"), "EXCEL").otherwise("TEXT"))
+    return (F.when((mime == "application/pdf") | (ext == "pdf"), "PDF").when(mime.startswith("image/") | ext.isin(*REFUSED), "IMAGE")
+            .when(ext.isin("csv", "xls", "xlsx"), "EXCEL").when(ext == "txt", "TEXT").when(mime.isin("text/csv", MEDIA_TYPES["xls"], MEDIA_TYPES["xlsx"]), "EXCEL").otherwise("TEXT"))
 
 
 def classify(files: DataFrame) -> DataFrame:
     """Files (name, mime, bytes) with extension, media type, source and the reason of a refusal (null if accepted)."""
     f = files.withColumn("ext", extension(F.col("name")))
     f = f.withColumn("mime", F.when(F.coalesce("mime", F.lit("")) == "", media_type(F.col("ext"))).otherwise(F.lower("mime")))
-    mobile = F.col("ext").isin(*REFUSED) | F.col("mime").rlike("hei[cf]")
-    known = F.col("ext").isin(*MEDIA_TYPES)
-    reason = F.when(mobile, "UNSUPPORTED_MOBILE_IMAGE").when(~known, "UNSUPPORTED_TYPE").when(F.col("bytes") > LIMIT_BYTES, "TOO_LARGE")
+    mobile = F.col("ext").isin(*REFUSED) | F.col("mime").isin(*REFUSED_TYPES)
+    known = F.col("ext").isin(*MEDIA_TYPES) | F.col("mime").isin(*ACCEPTED_TYPES)  # either is enough
+    reason = F.when(mobile, "UNSUPPORTED_HEIC").when(~known, "INVALID_FILE").when(F.col("bytes") > LIMIT_BYTES, "FILE_TOO_LARGE")
     return f.withColumn("rejected", reason).withColumn("source", event_source(F.col("ext"), F.col("mime")))
 
 
@@ -60,6 +61,16 @@ def model_courses(raw: DataFrame, key: str, col: str = "raw") -> DataFrame:
     return validate_courses(c.select(key, "c.name", "c.teacher", "c.location", F.col("c.dayOfWeek").alias("day_of_week"), F.col("c.periodStart").alias("period_start"), F.col("c.periodEnd").alias("period_end"), F.col("c.weekStart").alias("week_start"), F.col("c.weekEnd").alias("week_end"), F.col("c.weekType").alias("week_type"), F.col("c.specificWeeks").alias("specific_weeks"), "c.confidence"))
 
 
+EVENT_SCHEMA = "events array<struct<title:string,type:string,eventType:string,date:string,timeStart:string,timeEnd:string,location:string,seatNumber:string,description:string,confidence:double,uncertainFields:array<string>>>"
+
+
+def model_events(raw: DataFrame, key: str, col: str = "raw") -> DataFrame:
+    """Events of any type in a language model's JSON, validated; anything that is not JSON gives no rows."""
+    e = raw.select(key, F.explode(F.from_json(col, EVENT_SCHEMA)["events"]).alias("e"))
+    fields = {"date": "date", "timeStart": "time_start", "timeEnd": "time_end", "location": "location", "seatNumber": "seat_number", "description": "description", "confidence": "confidence"}
+    return validate_events(e.select(key, "e.title", F.coalesce("e.type", "e.eventType").alias("type"), *[F.col(f"e.{a}").alias(b) for a, b in fields.items()], F.coalesce("e.uncertainFields", F.array().cast("array<string>")).alias("uncertain_fields")))
+
+
 def extraction_result(payloads: DataFrame) -> DataFrame:
     """Results of PDF extraction (text, mode, success): confidence and warnings by mode; failures and empty texts are dropped."""
     text = F.trim("text")

@@ -134,8 +134,10 @@ def test_patch_clears_with_present_null(spark):
 
 
 def test_names(spark):
-    assert split_names("欧阳小明王五李小四") == ["欧阳小明", "王五", "李小四"] and split_names("abc") == ["abc"] and split_names(None) == []
-    assert spark.createDataFrame([("王五、李四",)], "t string").select(split_names_column(F.col("t")).alias("x")).first().x == ["王五", "李四"]
+    assert split_names("欧阳小明王五李小四") == "欧阳小明、王五、李小四" and split_names("abc") == "abc" and split_names(None) is None and split_names("") == ""
+    assert split_names("夏侯惇王小明") == "夏侯惇、王小明" and split_names("王，小*明") == "王小明" and split_names("外聘12（日语）甲") == "外聘12（日语）" and split_names("甲乙丙丁戊") == "甲乙丙丁戊"
+    assert split_names("江徐胡高林郭马") == "江徐胡、高林、郭马" and split_names("木子一水二二", surnames="木水") == "木子一、水二二"
+    assert spark.createDataFrame([("江徐胡高林郭",)], "t string").select(split_names_column(F.col("t")).alias("x")).first().x == "江徐胡、高林郭"
 
 
 def make_pdf() -> bytes:
