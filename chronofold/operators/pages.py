@@ -66,3 +66,17 @@ def table_lines(cells: DataFrame, key: str = "doc_id") -> DataFrame:
     entries = numbered.groupBy("cell", "entry").agg(F.max(F.when(F.col("is_title"), F.col("text"))).alias("title"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_title"), F.struct("seq", "text")))), lambda s: s["text"]), "").alias("details"))
     line = entry_line(F.col("title"), F.col("details"), F.col("cell.header"))
     return entries.select(F.col(f"cell.{key}").alias(key), "cell.row_index", "cell.column_index", F.col("entry").cast("int").alias("entry"), line.alias("line")).where("line is not null")
+
+
+def document_texts(items: DataFrame, tables: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """(key, text, mode, n, confidence) of documents by the first way that gives something: a timetable of positioned text, lines of extracted tables, visual lines.
+
+    Each way is a grouping by document; a later one is computed only for documents that the earlier ones left.
+    """
+    shape = lambda df, mode, confidence: df.select(key, "text", F.lit(mode).alias("mode"), "n", F.lit(confidence).alias("confidence"))
+    out = shape(page_schedules(items, key), "table", 0.95)
+    if tables is not None:
+        lines = table_lines(tables.join(out.select(key), key, "left_anti"), key).withColumn("at", F.struct("row_index", "column_index", "entry"))
+        joined = lines.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda s: s["line"]), "\n").alias("text"), F.count("*").alias("n"))
+        out = out.unionByName(shape(joined, "table", 0.95))
+    return out.unionByName(shape(page_texts(items.join(out.select(key), key, "left_anti"), key), "text", 0.78))

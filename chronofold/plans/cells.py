@@ -167,12 +167,21 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.page_texts(_page_items(spark, sf_dir))
 
 
-def table_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     cell = lambda r, c, text: F.struct(F.lit(r).alias("row_index"), F.lit(c).alias("column_index"), (text if isinstance(text, Column) else F.lit(text)).alias("text"))
     cells = [cell(0, 0, "课表"), cell(1, 0, "节次"), cell(1, 1, "星 期 二"), cell(1, 2, F.when(k % 2 == 0, "星期五").otherwise("备注")), cell(2, 0, "▲(1-2节)/"),
              cell(2, 1, _say("前言\n高 数▲\n(", k % 9 + 1, "-10节)1-8周(双)/\n场地:A", k % 50, "/教师:甲\n\n物理 ▲\n(3-4节)")), cell(3, 2, "化学▲\n(5-6节)9周/"), cell(3, 1, F.lit(None).cast("string"))]
-    return P.table_lines(table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.explode(F.array(*cells)).alias("c")).select("doc_id", "c.*"))
+    return table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.explode(F.array(*cells)).alias("c")).select("doc_id", "c.*")
+
+
+def table_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.table_lines(_table_cells(spark, sf_dir))
+
+
+def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positioned text of all documents, tables of a half of them."""
+    return P.document_texts(_page_items(spark, sf_dir), _table_cells(spark, sf_dir).where("doc_id % 2 = 0"))
 
 
 # ---------------------------------------------------------------- events of any type
@@ -284,7 +293,10 @@ _PIXEL_SQL = """d as (select i, x, y from range(4) t(i), range(220) u(x), range(
   cells as (select *, lead(edge) over (partition by i, day order by edge) as y1 from cuts),
   held as (select *, (select count(*) from px where px.i = cells.i and px.x >= x0 + 3 and px.x < x1 - 3 and px.y >= edge + 3 and px.y < y1 - 3) as dark from cells where y1 - edge >= 18)"""
 
-QUERIES = {f.__name__: f for f in (timetable_cells, detail_cells, canonical_lines, teacher_names, exam_line_cells, browser_cell_lines, detail_text_lines, cleaned_cells, grid_slots, region_counts, page_schedules, page_texts, table_entries, model_events, period_rejects, recognise_template, event_calendar, display_events)}
+_TABLE_SQL = """select c_custkey as doc_id, 2 as row_index, 1 as column_index, 1 as entry, '周二 ' || (c_custkey % 9 + 1) || '-10节 高数 甲老师 A' || (c_custkey % 50) || ' 1-8周 双周' as line from customer union all select c_custkey, 2, 1, 2, '周二 3-4节 物理' from customer
+      union all select c_custkey, 3, 2, 1, '周五 5-6节 化学 9周' from customer where c_custkey % 2 = 0"""
+
+QUERIES = {f.__name__: f for f in (timetable_cells, detail_cells, canonical_lines, teacher_names, exam_line_cells, browser_cell_lines, detail_text_lines, cleaned_cells, grid_slots, region_counts, page_schedules, page_texts, table_entries, document_texts, model_events, period_rejects, recognise_template, event_calendar, display_events)}
 ORACLES = {
     "timetable_cells": f"with {_CELL_SQL} select * from main",
     "canonical_lines": f"""with {_CELL_SQL} select image_id, seq, concat_ws(' ', '周' || '{_DAYS}'[day_of_week], period_start || '-' || period_end || '节', name, '教师:' || teacher, weeks, '地点:' || place) as line from main""",
@@ -307,8 +319,10 @@ ORACLES = {
     "page_schedules": f"""with {_PAGE_SQL}, g as (select k, '课程表' || chr(10) || string_agg(line, chr(10) order by pos) as text, count(*) as n from f group by k), s as (select *, case when k % 2 = 0 then make_date(k % 20 + 2010, 9, 1) else make_date(k % 20 + 2011, 2, 20) end as d from g)
       select k as doc_id, text, n, cast(d + cast((8 - isodow(d)) % 7 as int) as date) as semester_start from s""",
     "page_texts": f"with {_ITEM_SQL} select k as doc_id, string_agg(line, chr(10) order by y desc) as text, count(*) as n from l group by k",
-    "table_entries": """select c_custkey as doc_id, 2 as row_index, 1 as column_index, 1 as entry, '周二 ' || (c_custkey % 9 + 1) || '-10节 高数 甲老师 A' || (c_custkey % 50) || ' 1-8周 双周' as line from customer union all select c_custkey, 2, 1, 2, '周二 3-4节 物理' from customer
-      union all select c_custkey, 3, 2, 1, '周五 5-6节 化学 9周' from customer where c_custkey % 2 = 0""",
+    "table_entries": _TABLE_SQL,
+    "document_texts": f"""select doc_id, text, 'table' as mode, n, 0.95::double as confidence from (with {_PAGE_SQL} select k as doc_id, '课程表' || chr(10) || string_agg(line, chr(10) order by pos) as text, count(*) as n from f group by k)
+      union all select doc_id, string_agg(line, chr(10) order by row_index, column_index, entry), 'table', count(*), 0.95 from ({_TABLE_SQL}) where doc_id % 7 = 0 and doc_id % 2 = 0 group by doc_id
+      union all select k, string_agg(line, chr(10) order by y desc), 'text', count(*), 0.78 from (with {_ITEM_SQL} select * from l) where k % 7 = 0 and k % 2 = 1 group by k""",
     "model_events": """with k as (select c_custkey, c_name, c_custkey % 4 > 0 as dated from customer where c_custkey % 5 <> 4) select c_custkey, c_name as title, case c_custkey % 3 when 0 then 'HOMEWORK' when 1 then 'EXAM' else 'REMINDER' end as type, case when dated then '2026-06-23T' || case when c_custkey % 2 = 0 then '08:30' else '09:00' end || ':00' end as start_time,
         case when dated then '2026-06-23T09:00:00' end as end_time, '7' as seat_number, case when c_custkey % 3 = 0 then 120 else 30 end as reminder_minutes, least(1, c_custkey % 3)::double as confidence, case when c_custkey % 2 = 0 then ['字段不确定: date'] end as warnings, case when not dated then c_name || ': 缺少日期' end as rejected from k
       union all select c_custkey, '', 'REMINDER', null, null, null, 30, 0.5, null, '缺少事件标题' from k""",
