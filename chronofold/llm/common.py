@@ -88,20 +88,21 @@ def discard(*tables: DataFrame) -> None:
         _delete(spark._jvm, spark._jsc.hadoopConfiguration(), t._written_to)
 
 
-#: rows of one key from which on a join deals them to several tasks, the number of these, and the hot keys that may be broadcast
-HOT_ROWS, SALTS, BROADCAST_HOT = 1000, 32, 200_000
+#: rows of one key that a join gives to one task, and hot keys that may be broadcast
+HOT_ROWS, BROADCAST_HOT = 1000, 200_000
 
 
-def dealt(large: DataFrame, small: DataFrame, key: str, by: str, hot_rows: int | None = None, salts: int = SALTS) -> tuple[DataFrame, DataFrame]:
+def dealt(large: DataFrame, small: DataFrame, key: str, by: str) -> tuple[DataFrame, DataFrame]:
     """Both sides of an equality join on ``key`` with a column ``__salt`` to be joined on too.
 
-    A key with over ``hot_rows`` (``HOT_ROWS``) rows in ``large`` (which is read twice: hand in a written table) is dealt to ``salts`` parts by the hash of ``by``; ``small`` has its rows for each
-    of these. Other keys have the one salt 0.
+    A key with over ``HOT_ROWS`` rows in ``large`` (which is read twice: hand in a written table) is dealt by the hash of ``by`` to parts of about so many;
+    ``small`` has its rows for each part. Other keys have the one salt 0.
     """
-    hot = materialize(large.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > (HOT_ROWS if hot_rows is None else hot_rows)).select(key, F.lit(True).alias("__hot")), "hot")
+    hot = large.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > HOT_ROWS).select(key, F.ceil(F.col("__n") / HOT_ROWS).alias("__parts"))
+    hot = materialize(hot, "hot")
     known = F.broadcast(hot) if hot.count() <= BROADCAST_HOT else hot
-    left = large.join(known, key, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).otherwise(0)).drop("__hot")
-    right = small.join(known, key, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+    left = large.join(known, key, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    right = small.join(known, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)).cast("int") - 1))).drop("__parts")
     return left, right
 
 

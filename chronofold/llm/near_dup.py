@@ -199,7 +199,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def mixed(rows: DataFrame) -> DataFrame:
         state = rows.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         several = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
-        return state.join(several, "key")
+        several = materialize(several, "several")
+        return state.join(F.broadcast(several) if several.count() <= BROADCAST_IDS else several, "key")
 
     active = materialize(mixed(groups.select("key", "rep", "n")).select("rep", "n").distinct(), "active")
     left = None if active.isEmpty() else materialize(_prefixes(active, own, texts, percent, shingle), "prefixes")
