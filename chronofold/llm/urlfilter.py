@@ -5,8 +5,8 @@ action. Entries become validity intervals; a capture is judged by the entries th
 Of the keys that cover its host the longest with an entry in force decides.
 
 The as-of join is one sort: captures and intervals of a key stand in one sequence ordered by time, and each capture takes the
-last interval before it. So a key with many entries costs each capture no more than one with few. The captures of a key are dealt
-to ``SALTS`` parts, each of which sees all intervals of the key.
+last interval before it. So a key with many entries costs each capture no more than one with few. The captures of a key
+with very many of them are dealt to several parts, each of which sees all intervals of the key.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import dealt, materialize
 
-#: parts to which the captures of each key are dealt, and keys of the list that may be broadcast to leave out captures without any
-SALTS, BROADCAST_KEYS = 32, 400_000
+#: keys of the list that may be broadcast to leave out captures without any
+BROADCAST_KEYS = 400_000
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
@@ -63,11 +63,11 @@ def temporal_list_join(captures: DataFrame, entries: DataFrame, url: str = "url"
     asked = rows.select(F.col(row).alias("r"), F.col(time).alias("at"), F.explode(covering_keys(F.col("host"))).alias("key")).where(F.col("at").isNotNull())
     keys = intervals.select("key").distinct()
     asked = asked.join(F.broadcast(keys) if keys.count() <= broadcast_keys else keys, "key", "left_semi")
-    salted = intervals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    asked, intervals = dealt(asked, intervals, "key", "r")
     entry = F.struct("action", "valid_from", "valid_to")
-    one = salted.select("key", "salt", F.col("valid_from").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("r"), entry.alias("entry"))
-    two = asked.select("key", F.pmod(F.xxhash64("r"), F.lit(SALTS)).cast("int").alias("salt"), "at", F.lit(1).alias("kind"), "r", F.lit(None).cast(one.schema["entry"].dataType).alias("entry"))
-    order = Window.partitionBy("key", "salt").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    one = intervals.select("key", "__salt", F.col("valid_from").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("r"), entry.alias("entry"))
+    two = asked.select("key", "__salt", "at", F.lit(1).alias("kind"), "r", F.lit(None).cast(one.schema["entry"].dataType).alias("entry"))
+    order = Window.partitionBy("key", "__salt").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = one.unionByName(two).withColumn("entry", F.last("entry", ignorenulls=True).over(order)).where(F.col("r").isNotNull() & F.col("entry").isNotNull())
     met = met.where(F.col("entry.valid_to").isNull() | (F.col("at") < F.col("entry.valid_to")))
     best = met.groupBy("r").agg(F.max_by(F.struct("key", "entry"), F.length("key")).alias(best_of)).withColumnRenamed("r", row)

@@ -536,7 +536,9 @@ def test_temporal_join(spark):
     assert urlfilter.temporal_list_join(captures, entries.limit(0)).where("action is not null").count() == 0
 
 
-def test_temporal_join_with_many_entries_equals_brute_force(spark):
+@pytest.mark.parametrize("hot", [100, 10**6])
+def test_temporal_join_with_many_entries_equals_brute_force(spark, hot, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     rng = random.Random(6)
     entries = [("x.com", rng.choice(["block", "allow"]), rng.randrange(10**6)) for _ in range(5000)] + [("a.x.com", rng.choice(["block", "allow"]), rng.randrange(10**6)) for _ in range(3)]
     captures = [(i, f"http://{rng.choice(['a', 'b', 'www.a'])}.x.com/{i}", rng.randrange(10**6)) for i in range(3000)]
