@@ -403,6 +403,25 @@ def test_base_spans_equal_brute_force(spark):
     assert pii.find_personal_data(df.limit(0)).count() == 0
 
 
+def test_added_spans_come_from_the_looser_patterns(spark):
+    """Added spans are matches of a looser pattern that meet no base span and no other addition; likely ones are all taken, unlikely ones are not."""
+    rng = random.Random(2)
+    likely = [lambda: f"please call me at (555) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)} today", lambda: f"my mail is user{rng.randrange(99)} at host{rng.randrange(9)} dot com, write soon"]
+    texts = [" and ".join(rng.choice(likely)() for _ in range(rng.randrange(1, 4))) for _ in range(60)] + [f"order page 212-{i}55-1234x and mail a{i}@b.org or +1555000{i:04d}" for i in range(30)] + TEXTS
+    want_any = 0
+    for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect():
+        text = texts[r.doc_id] or ""
+        base = [(s.start, s.end) for s in r.spans if s.strict]
+        added = [(s.kind, s.start, s.end) for s in r.spans if not s.strict]
+        loose = {(k, m.start(), m.end()) for k, kind in enumerate(pii.KINDS) for m in re.finditer(pii.LOOSE[kind], text)}
+        assert set(added) <= loose and all(not (a < e and b < f) for _, a, f in added for b, e in base)
+        assert all(x[2] <= y[1] for x, y in zip(sorted(added, key=lambda z: z[1]), sorted(added, key=lambda z: z[1])[1:]))
+        if r.doc_id < 60:
+            assert {x[1:] for x in added} == {(m.start(), m.end()) for p in (pii.LOOSE["phone"], pii.LOOSE["email"]) for m in re.finditer(p, text)}
+            want_any += len(added)
+    assert want_any > 60
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é😀 me@x.org call +15550001111 now", 9), (2, None, 9), (3, "none", 9)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: r for r in rows(pii_stage(spark, df, ""))}
