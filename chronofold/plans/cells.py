@@ -39,7 +39,7 @@ def _sql_list(values: list[str]) -> str:
 HEADS = ["操作系统_0{d}王小明", "数据结构（ ）II-1_0{d}李明、赵大", "线性 代数甲乙*丙", "无号课程", "工程训练(I)", "大学英语(A)_1{d}夏侯惇王小明"]
 WEEKS = ["第{d}-1{d}周", "{d}，1{d}周", "{d}—9周 双周", "无", "第{d}周", "2·1{d}周"]
 SLOTS = ["{d}-1{d}节", "{d} - 9 节", "第{d}节", "周 1一{d}节", "3～{d}节", "{d}-9节"]
-PLACES = ["江女一教 A{d}03", "江安实验至c座3101", "B座3101>>", "", "工程训练中心工程训练中", "江安综合楼\\nC座{d}"]
+PLACES = ["江女一教 A{d}03", "江安实验至c座3101", "B座3101>>", "", "工程训练中心工程训练中", "江安综合楼\nC座{d}"]
 
 
 def _cell_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
