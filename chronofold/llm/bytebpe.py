@@ -100,7 +100,8 @@ class Encoder:
 
     def _pieces(self, text: str) -> Iterator[list[str]]:
         if len(text) <= AT_ONCE:
-            yield self.pattern.findall(text)
+            if text:
+                yield self.pattern.findall(text)
             return
         found = self.pattern.finditer(text)
         while part := [m.group() for m in islice(found, AT_ONCE)]:

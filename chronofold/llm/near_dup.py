@@ -191,7 +191,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     checked = materialize(_verified(materialize(pairs, "pairs"), texts, percent, shingle), "checked")
     # an id with several texts is one node: it links the classes of its texts
     of_id = full.select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"])
-    own = of_id.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.collect_set("rep").alias("reps")).where("a <> z")
+    text = F.struct("h1", "h2")  # classes of one id may have one representative, the id itself
+    own = of_id.groupBy("doc_id").agg(F.min("rep").alias("a"), F.min(text).alias("lo"), F.max(text).alias("hi"), F.collect_set("rep").alias("reps")).where("lo <> hi")
     own = materialize(own.select("doc_id", "a", F.explode("reps").alias("b")), "own")
     comps = connected_components(checked.where("linked").select("a", "b").union(own.select("a", "b")))
 

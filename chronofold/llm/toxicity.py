@@ -111,7 +111,8 @@ SWAP, KEEP_ODD, DROP_REPEAT, KEEP_REPEAT = 0.7, 4.0, 0.3, 2.5
 DROP_DOUBLE, EDGE = 2.0, 2.0
 
 _SPREAD = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]|[0-9@$!|+€])(?:[ .\-_*]{1,2}(?:[^\W\d_]|[0-9@$!|+€])){2,}(?![^\W\d_])")
-_MIXED = re.compile(r"[^\W_]*[0-9@$!|+€£¡][\w@$!|+€£¡]*")
+# begins where a token does or behind a low line, and never gives letters back: each is read once
+_MIXED = re.compile(r"(?:(?<![\w@$!|+€£¡])|(?<=_))[^\W0-9_]*+[0-9@$!|+€£¡][\w@$!|+€£¡]*")
 _RUN = re.compile(r"([^\W\d_])\1")
 _LETTER = re.compile(r"([ .\-_*]*)([^ .\-_*])")
 # what a text must hold for the patterns above to find anything

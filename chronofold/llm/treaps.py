@@ -19,6 +19,7 @@ Scores are whole numbers (the measure is stated at ``impacts`` and ``weights``),
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -380,7 +381,7 @@ def search(index: Index, terms: DataFrame, k: int = 10) -> DataFrame:
     grown = index.grown()
     if blocks > 1:
         grown = materialize(grown, "treaps")
-    found = spark.createDataFrame([], schema)
+    parts = [spark.createDataFrame([], "query_id long, rank int, doc_id long, score long")]
     for block in range(blocks):
         got = pairs.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").toArrow()  # about QUERY_TERMS terms
         if not got.num_rows:
@@ -388,11 +389,10 @@ def search(index: Index, terms: DataFrame, k: int = 10) -> DataFrame:
         term, w = got["term"].combine_chunks(), got["w"].combine_chunks()
         start = np.concatenate(([0], np.cumsum(term.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
         sent = spark.sparkContext.broadcast(Queries(got["query_id"].to_numpy(), start, np.asarray(term.flatten()), np.asarray(w.flatten())))
-        best = materialize(_best(grown.mapInArrow(_searched(sent, k), schema), k), "found")
-        found = best if block == 0 else found.unionByName(best)
+        parts.append(materialize(_best(grown.mapInArrow(_searched(sent, k), schema), k), "found"))
     discard(pairs, *([grown] if blocks > 1 else []))
     bounded_batches(spark)
-    return found
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:

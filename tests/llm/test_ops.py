@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -68,6 +69,47 @@ def family(rng, n, length=120):
         yield " ".join(v)
 
 
+def drifting(rng, n, length=120):
+    """Texts each of which differs from the one before by a word or two, so that only a chain links the ends."""
+    words = [f"w{rng.randrange(10**6)}" for _ in range(length)]
+    for _ in range(n):
+        for _ in range(rng.randrange(1, 3)):
+            words[rng.randrange(length)] = f"x{rng.randrange(10**6)}"
+        yield " ".join(words)
+
+
+@pytest.mark.parametrize("seed", range(1, 6))
+def test_ids_with_several_texts_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    texts = [t for _ in range(4) for t in drifting(rng, 22)]
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    docs = list(zip(ids, texts)) + [(i, texts[rng.randrange(len(texts))]) for i in ids[::2]]
+    got = {r["doc_id"]: r["component_id"] for r in rows(near_dup.near_duplicates(spark.createDataFrame(docs, DOCS), percent=85))}
+    assert got == brute_several(docs)
+
+
+def brute_several(docs, percent=85):
+    """Components where an id is one node with all its texts."""
+    nodes = [(100_000 + j, t) for j, (_, t) in enumerate(docs)]
+    up = dict(brute_components(nodes, percent))
+    node_of = defaultdict(list)
+    for (j, _), (i, _) in zip(nodes, docs):
+        node_of[i].append(up[j])
+    reach = {i: {i} for i in node_of}
+    changed = True
+    while changed:  # ids that share a component of texts are one
+        changed, least = False, {}
+        for i, parts in node_of.items():
+            for p in parts:
+                least[p] = min(least.get(p, i), min(reach[i]))
+        for i, parts in node_of.items():
+            new = min(min(least[p] for p in parts), min(reach[i]))
+            if new < min(reach[i]):
+                reach[i], changed = {new}, True
+    return {i: min(r) for i, r in reach.items()}
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_near_duplicates_equal_brute_force(spark, percent, monkeypatch):
     monkeypatch.setattr(common, "HOT_ROWS", 5)  # as many keys and pivots are dealt to several tasks as possible
@@ -674,6 +716,17 @@ def test_long_tokens_take_linear_time():
     model = toxicity.CharModel(np.ones(toxicity._K ** 3))
     for t in ("a" * 50_000, "aaabbb" * 5_000, "a1" * 20_000, "x y " * 10_000):
         toxicity.all_words(t, model, {})
+    for t in ("a" * 1_000_000 + " 1", "1 " + "a" * 1_000_000, "_a" * 500_000 + " 1", "é" * 1_000_000 + "-1"):  # a digit elsewhere lets the pattern run
+        began = time.process_time()
+        assert len(toxicity._MIXED.findall(t)) == 1
+        assert time.process_time() - began < 3
+
+
+def test_mixed_tokens_are_those_of_the_plain_pattern():
+    plain, rng = re.compile(r"[^\W_]*[0-9@$!|+€£¡][\w@$!|+€£¡]*"), random.Random(4)
+    for _ in range(20_000):
+        t = "".join(rng.choice("ab_1@$ é٣.-!") for _ in range(rng.randrange(14)))
+        assert toxicity._MIXED.findall(t) == plain.findall(t), t
 
 
 # ---------------------------------------------------------------- search
