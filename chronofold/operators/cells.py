@@ -14,6 +14,7 @@ from chronofold.functions.names import split_names_column
 from chronofold.functions.text import compact_cell, compact_exam_row, found, trim
 from chronofold.operators.events import once
 from chronofold.operators.geometry import islands, longest_run
+from chronofold.operators.raster import region_sums, widest_rows
 
 FIELDS = ["name", "teacher", "place", "day_of_week", "period_start", "period_end", "weeks"]
 
@@ -140,16 +141,6 @@ LINES, PERIODS, LEAST_HEIGHT, LEAST_CELL, LEAST_CONTENT, LEAST_CELLS = 10, 12, 1
 COLUMN_DAYS = [7, 1, 2, 3, 4, 5, 6]
 
 
-def region_sums(pixels: DataFrame, regions: DataFrame, keys: list[str], image: str = "image_id") -> DataFrame:
-    """(image, keys, dark, widest): dark pixels of each region, and of its darkest row; regions without any are left out.
-
-    pixels: image, x, y, dark; regions: image, keys, x0, x1, y0, y1, ends exclusive, few for an image.
-    """
-    inside = pixels.where("dark > 0").join(regions, image).where("x >= x0 and x < x1 and y >= y0 and y < y1")
-    by_row = inside.groupBy(image, *keys, "y").agg(F.sum("dark").alias("__row"))
-    return by_row.groupBy(image, *keys).agg(F.sum("__row").alias("dark"), F.max("__row").alias("widest"))
-
-
 def detected_grids(pixels: DataFrame, sizes: DataFrame, image: str = "image_id") -> DataFrame:
     """(image, x_lines, top, header_bottom, bottom) of images with a timetable.
 
@@ -181,7 +172,7 @@ def timetable_slots(pixels: DataFrame, grids: DataFrame, tolerance: float = 3.0,
     days = F.array(*[F.struct(F.lit(d).alias("day_of_week"), (F.element_at("x_lines", k + 3) + 2).alias("x0"), (F.element_at("x_lines", k + 4) - 2).alias("x1")) for k, d in enumerate(COLUMN_DAYS)])
     columns = grid.select(image, "bounds", F.explode(days).alias("d")).select(image, "bounds", "d.*").where("x1 > x0")
     borders = columns.select(image, "day_of_week", "x0", "x1", F.posexplode("bounds").alias("n", "at"))
-    crossed = region_sums(pixels, borders.select(image, "day_of_week", "n", "x0", "x1", (F.col("at") - 2).alias("y0"), (F.col("at") + 3).alias("y1")), ["day_of_week", "n"], image)
+    crossed = widest_rows(pixels, borders.select(image, "day_of_week", "n", "x0", "x1", (F.col("at") - 2).alias("y0"), (F.col("at") + 3).alias("y1")), ["day_of_week", "n"], image)
     cuts = borders.join(crossed, [image, "day_of_week", "n"], "left").where((F.coalesce("widest", F.lit(0)) >= (F.col("x1") - F.col("x0")) * LINE_SHARE) | F.col("n").isin(0, PERIODS))
     cuts = cuts.select(image, "day_of_week", "x0", "x1", "at").distinct()
     cells = cuts.withColumn("y1", F.lead("at").over(Window.partitionBy(image, "day_of_week").orderBy("at"))).withColumnRenamed("at", "y0").where(F.col("y1") - F.col("y0") >= LEAST_CELL)

@@ -61,12 +61,13 @@ def join_line(items: DataFrame, keys: list[str], space: float = 18.0) -> DataFra
     return items.withColumn("piece", piece).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "seq", "piece"))), lambda s: s["piece"]), "").alias("line"))
 
 
-def islands(counts: DataFrame, key: str, threshold: int | Column, least: int = 1, half_up: bool = True) -> DataFrame:
+def islands(counts: DataFrame, key: str | list[str], threshold: int | Column, least: int = 1, half_up: bool = True) -> DataFrame:
     """Runs of consecutive ``idx`` with ``n`` of at least ``threshold`` (a number or a column): (key, first, last, length, centre)."""
-    above = counts.where(F.col("n") >= threshold).withColumn("island", F.col("idx") - F.row_number().over(Window.partitionBy(key).orderBy("idx")))
-    runs = above.groupBy(key, "island").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count("*").alias("length")).where(F.col("length") >= least)
+    keys = [key] if isinstance(key, str) else key
+    above = counts.where(F.col("n") >= threshold).withColumn("island", F.col("idx") - F.row_number().over(Window.partitionBy(*keys).orderBy("idx")))
+    runs = above.groupBy(*keys, "island").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count("*").alias("length")).where(F.col("length") >= least)
     middle = (F.col("first") + F.col("last")) / 2
-    return runs.select(key, "first", "last", "length", F.floor(middle + (0.5 if half_up else 0)).alias("centre"))
+    return runs.select(*keys, "first", "last", "length", F.floor(middle + (0.5 if half_up else 0)).alias("centre"))
 
 
 def longest_run(counts: DataFrame, key: str, threshold: int) -> DataFrame:

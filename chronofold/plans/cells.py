@@ -119,31 +119,6 @@ def cleaned_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("o_orderkey", "clean", X.keeps_cell(F.col("clean"), F.lit("cell"), F.col("slot"), F.col("slot"), F.col("slot")).alias("kept"))
 
 
-# ---------------------------------------------------------------- pixels
-
-def _pixels(spark: SparkSession) -> DataFrame:
-    """Four drawn tables of 10 long vertical lines, a head and rows of different heights; the third is too low, the last has too few lines."""
-    dots = spark.range(4).select(F.col("id").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(219))).alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.lit(299))).alias("y"))
-    i, x, y = F.col("image_id"), F.col("x"), F.col("y")
-    low = F.when(i == 2, 120).otherwise(290)
-    ruled = ((x % 20 == 5) & (x <= 185 - F.when(i == 3, 40).otherwise(0)) & y.between(10, low)) | (x.between(5, 185) & y.isin(10, 30)) | (x.between(5, 185) & (y == low))
-    inner = x.between(45, 185) & ((y - 30) % (65 + i * 65) == 0) & (y > 30)
-    content = (x % 20).between(10, 20) & (y % 40).between(5, 12) & (y > 40) & (y < low - 5) & (x > 45) & (x < 185)
-    return dots.withColumn("dark", (ruled | inner | content).cast("int"))
-
-
-def grid_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = _pixels(spark)
-    sizes = px.groupBy("image_id").agg((F.max("y") + 1).alias("height"))
-    return K.timetable_slots(px, K.detected_grids(px, sizes))
-
-
-def region_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 10).alias("image_id"), (F.col("l_partkey") % 50).alias("x"), (F.col("l_orderkey") % 40).alias("y")).agg(F.max((F.col("l_quantity") > 25).cast("int")).alias("dark"))  # noqa: E741
-    r = spark.range(10).select(F.col("id").alias("image_id"), F.explode(F.array(*[F.struct(F.lit(n).alias("region"), F.lit(a).alias("x0"), F.lit(b).alias("x1"), F.lit(c).alias("y0"), F.lit(e).alias("y1")) for n, a, b, c, e in ((1, 0, 20, 0, 10), (2, 10, 50, 5, 40))])).alias("r")).select("image_id", "r.*")
-    return K.region_sums(l, r, ["region"])
-
-
 # ---------------------------------------------------------------- pages
 
 def _page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,20 +258,10 @@ _ITEM_SQL = """c as (select c_custkey as k from customer), n as (select k, unnes
   p as (select *, case when x - lag(x) over (partition by k, y order by x, seq) > 18 then ' ' else '' end || text as piece from i),
   l as (select k, y, string_agg(piece, '' order by x, seq) as line from p group by all)"""
 
-_PIXEL_SQL = """d as (select i, x, y from range(4) t(i), range(220) u(x), range(300) v(y)), low as (select *, case when i = 2 then 120 else 290 end as low from d),
-  px as (select i, x, y from low where (x % 20 = 5 and x <= 185 - case when i = 3 then 40 else 0 end and y between 10 and low) or (x between 5 and 185 and y in (10, 30, low)) or (x between 45 and 185 and (y - 30) % (65 + i * 65) = 0 and y > 30)
-    or (x % 20 between 10 and 20 and y % 40 between 5 and 12 and y > 40 and y < low - 5 and x > 45 and x < 185)),
-  grids as (select unnest([0, 1]) as i), b as (select i, n, cast(floor(30 + 260 * n / 12.0 + 0.5) as int) as edge from grids, range(13) t(n)),
-  days as (select k, ([7, 1, 2, 3, 4, 5, 6])[k + 1] as day, 45 + 20 * k + 2 as x0, 65 + 20 * k - 2 as x1 from range(7) t(k)),
-  cross_at as (select b.i, day, n, x0, x1, b.edge, (select coalesce(max(c), 0) from (select count(*) as c from px where px.i = b.i and px.x >= x0 and px.x < x1 and px.y between b.edge - 2 and b.edge + 2 group by px.y)) as widest from b, days),
-  cuts as (select distinct i, day, x0, x1, edge from cross_at where n in (0, 12) or widest >= (x1 - x0) * 0.72),
-  cells as (select *, lead(edge) over (partition by i, day order by edge) as y1 from cuts),
-  held as (select *, (select count(*) from px where px.i = cells.i and px.x >= x0 + 3 and px.x < x1 - 3 and px.y >= edge + 3 and px.y < y1 - 3) as dark from cells where y1 - edge >= 18)"""
-
 _TABLE_SQL = """select c_custkey as doc_id, 2 as row_index, 1 as column_index, 1 as entry, '周二 ' || (c_custkey % 9 + 1) || '-10节 高数 甲老师 A' || (c_custkey % 50) || ' 1-8周 双周' as line from customer union all select c_custkey, 2, 1, 2, '周二 3-4节 物理' from customer
       union all select c_custkey, 3, 2, 1, '周五 5-6节 化学 9周' from customer where c_custkey % 2 = 0"""
 
-QUERIES = {f.__name__: f for f in (timetable_cells, detail_cells, canonical_lines, teacher_names, exam_line_cells, browser_cell_lines, detail_text_lines, cleaned_cells, grid_slots, region_counts, page_schedules, page_texts, table_entries, document_texts, model_events, period_rejects, recognise_template, event_calendar, display_events)}
+QUERIES = {f.__name__: f for f in (timetable_cells, detail_cells, canonical_lines, teacher_names, exam_line_cells, browser_cell_lines, detail_text_lines, cleaned_cells, page_schedules, page_texts, table_entries, document_texts, model_events, period_rejects, recognise_template, event_calendar, display_events)}
 ORACLES = {
     "timetable_cells": f"with {_CELL_SQL} select * from main",
     "canonical_lines": f"""with {_CELL_SQL} select image_id, seq, concat_ws(' ', '周' || '{_DAYS}'[day_of_week], period_start || '-' || period_end || '节', name, '教师:' || teacher, weeks, '地点:' || place) as line from main""",
@@ -312,10 +277,6 @@ ORACLES = {
       union all select o_orderkey, 1, '周日 1-2节 离散 2-4周' from orders where o_orderkey % 2 = 1""",
     "cleaned_cells": """with c as (select o_orderkey, case o_orderkey % 5 when 0 then '大学物理 颐德楼H103' when 1 then '数字逻辑 教学楼B' || (o_orderkey % 900 + 100) when 2 then '算法分析与设计 经世楼E302' when 3 then '上午' else '工程训练III' end as clean from orders)
       select o_orderkey, clean, o_orderkey % 5 <> 3 and o_orderkey % 3 > 0 as kept from c""",
-    "grid_slots": f"""with {_PIXEL_SQL} select i as image_id, day as day_of_week, edge as y0, y1, cast((select min(n + 1) from b where b.i = held.i and n < 12 and greatest(held.edge, b.edge) < least(y1, (select edge from b z where z.i = b.i and z.n = b.n + 1)) - 3) as int) as period_start,
-      cast((select max(n + 1) from b where b.i = held.i and n < 12 and greatest(held.edge, b.edge) < least(y1, (select edge from b z where z.i = b.i and z.n = b.n + 1)) - 3) as int) as period_end from held where dark >= 80""",
-    "region_counts": """with p as (select l_suppkey % 10 as image_id, l_partkey % 50 as x, l_orderkey % 40 as y, max((l_quantity > 25)::int) as dark from lineitem group by all), r as (select * from (values (1, 0, 20, 0, 10), (2, 10, 50, 5, 40)) t(region, x0, x1, y0, y1)),
-      q as (select image_id, region, y, sum(dark) as n from p join r on x >= x0 and x < x1 and y >= y0 and y < y1 where dark > 0 group by all) select image_id, region, sum(n)::bigint as dark, max(n)::bigint as widest from q group by all""",
     "page_schedules": f"""with {_PAGE_SQL}, g as (select k, '课程表' || chr(10) || string_agg(line, chr(10) order by pos) as text, count(*) as n from f group by k), s as (select *, case when k % 2 = 0 then make_date(k % 20 + 2010, 9, 1) else make_date(k % 20 + 2011, 2, 20) end as d from g)
       select k as doc_id, text, n, cast(d + cast((8 - isodow(d)) % 7 as int) as date) as semester_start from s""",
     "page_texts": f"with {_ITEM_SQL} select k as doc_id, string_agg(line, chr(10) order by y desc) as text, count(*) as n from l group by k",

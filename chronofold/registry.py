@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PLAN_MODULES: tuple[str, ...] = ("calendar", "text", "tables", "adapters", "cells")
+PLAN_MODULES: tuple[str, ...] = ("calendar", "text", "tables", "adapters", "cells", "raster")
 
 
 def collect() -> tuple[dict, dict]:

@@ -46,3 +46,14 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
              say("明天下午3点讲座，地点：图书馆报告厅"), say("今天 ", hour, ":", minute, " 记得带伞"), say("周", weekday, " 8点到10点 活动 教室B", k)]
     text = F.try_element_at(F.array(*forms), (F.col("event_id") % 6 + 1).cast("int"))
     return e.select("event_id", F.to_date("ts").alias("as_of"), text.alias("text"))
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read back from the folder of checkpoints, for frames that several parts of a plan use.
+
+    The folder is the session's ``spark.checkpoint.dir``; only where none is set, as in tests, a local one.
+    """
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/chronofold-frames")
+    return df.checkpoint()
