@@ -14,6 +14,7 @@ from chronofold.functions.names import split_names_column
 from chronofold.functions.text import compact_cell, compact_exam_row, found, trim
 from chronofold.operators.events import once
 from chronofold.operators.geometry import islands, longest_run
+from chronofold.operators.ocr import pattern_matches
 from chronofold.operators.raster import region_sums, widest_rows
 
 FIELDS = ["name", "teacher", "place", "day_of_week", "period_start", "period_end", "weeks"]
@@ -56,7 +57,7 @@ def _joined(kind: Column, order: Column, text: Column) -> Column:
     return F.array_join(F.transform(rows, lambda r: r["t"]), "\n")
 
 
-def course_lines(cells: DataFrame, rules: list[tuple[str, str]] = X.PLACE_OF_TITLE, image: str = "image_id") -> DataFrame:
+def course_lines(cells: DataFrame, rules: list[tuple[str, str]] = X.NO_RULES, image: str = "image_id") -> DataFrame:
     """(image, part, seq, line): lines of the main cells (part 0), of detail rows (1), and for images without either of other cells with a slot (2)."""
     main = main_courses(cells, image)
     lines = main.withColumn("part", F.lit(0)).unionByName(corroborated(detail_courses(cells, image), main, image).withColumn("part", F.lit(1)))
@@ -88,7 +89,7 @@ def exam_lines(cells: DataFrame, image: str = "image_id") -> DataFrame:
     return once(rows, line=line).select(image, "row_index", "line")
 
 
-def image_texts(cells: DataFrame, rules: list[tuple[str, str]] = X.PLACE_OF_TITLE, image: str = "image_id") -> DataFrame:
+def image_texts(cells: DataFrame, rules: list[tuple[str, str]] = X.NO_RULES, image: str = "image_id") -> DataFrame:
     """(image, text): exam cells, else exam rows, else three course lines or more, else the full text, else any course lines; empty without any."""
     text = F.coalesce("text", F.lit(""))
     own = cells.groupBy(image).agg(_joined((F.col("kind") == "examRow") & (trim(text) != ""), F.col("seq"), compact_exam_row(text)).alias("rows"), _joined((F.col("kind") == "full") & (trim(text) != ""), F.col("seq"), compact_cell(text)).alias("full_text"))
@@ -112,7 +113,7 @@ def browser_lines(cells: DataFrame, catalogue: DataFrame | None = None, image: s
     known = F.concat_ws(" ", X.filled(F.col("title")), F.concat(X.filled(F.col("teacher")), F.lit("老师")), X.filled(F.col("place")), X.filled(F.col("weeks")))
     alias = catalogue.select(*slot, "course_no", F.explode("aliases").alias("alias"), known.alias("known"))
     c = c.withColumn("compact", X.bare(F.col("clean")))
-    met = c.join(alias, slot).where(F.expr("compact rlike alias")).groupBy(image, "seq", "course_no").agg(F.min("known").alias("known"))
+    met = pattern_matches(c, alias, slot, "compact", "alias").join(alias, [*slot, "alias"]).groupBy(image, "seq", "course_no").agg(F.min("known").alias("known"))
     return c.join(met, [image, "seq"], "left").select(image, "seq", F.coalesce("course_no", F.lit(0)).alias("course_no"), F.when(F.col("known").isNotNull(), F.concat_ws(" ", head, F.col("known"))).otherwise(own).alias("line"))
 
 

@@ -115,7 +115,7 @@ def detail_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cleaned_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     text = F.when(k % 5 == 0, "大 学 物 理 〈 1 2 节 ） 地 ． 颐 德 檯 HI 教 师 ： 甲 / 课 程 性 质 简 称 ： 学").when(k % 5 == 1, _say("数字逻辑 ( 3-4节 ) 地：教学楼 B", k % 900 + 100, " 学分：3")).when(k % 5 == 2, "算 法 分 析 与 设 计 地 ： 经 世 楼 E 师：甲").when(k % 5 == 3, "上午").otherwise("工程训练III-")
-    c = table(spark, sf_dir, "orders").select("o_orderkey", X.clean_cell(text).alias("clean"), F.when(k % 3 > 0, 1).alias("slot"))
+    c = table(spark, sf_dir, "orders").select("o_orderkey", X.clean_cell(text, [("大学物理", "颐德楼H103"), ("算法分析", "经世楼E302")]).alias("clean"), F.when(k % 3 > 0, 1).alias("slot"))
     return c.select("o_orderkey", "clean", X.keeps_cell(F.col("clean"), F.lit("cell"), F.col("slot"), F.col("slot"), F.col("slot")).alias("kept"))
 
 

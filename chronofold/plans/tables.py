@@ -111,6 +111,16 @@ def catalogue_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.catalogue_matches(cells, cat).select("image_id", "seq", "course_id")
 
 
+def alias_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue whose aliases hold a literal of their own; a cell names one of its slot's courses, or half of one."""
+    slot = lambda k: [(k % 7 + 1).cast("int").alias("day_of_week"), (k % 6 * 2 + 1).cast("int").alias("period_start"), (k % 6 * 2 + 2).cast("int").alias("period_end")]
+    k, part = F.col("p_partkey"), F.col("l_partkey")
+    cat = table(spark, sf_dir, "part").select(k.alias("course_id"), *slot(k), F.concat(F.lit("[课科]程"), k.cast("string"), F.lit("号.*"), (k % 3).cast("string")).alias("alias"))
+    said = F.concat(F.lit("第"), F.when(part % 5 > 0, "课").otherwise("科"), F.lit("程"), part.cast("string"), F.when(part % 7 > 0, "号").otherwise(""), F.lit("甲"), (F.col("l_suppkey") % 3).cast("string"))
+    cells = _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", *slot(part), said.alias("text"))
+    return O.catalogue_matches(cells, cat).select("l_orderkey", "l_linenumber", "course_id")
+
+
 def compose_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images of five forms: exam cells, exam rows, detail rows, a full text, cells without a slot of a course."""
     k = F.col("image_id")
@@ -207,7 +217,7 @@ _COUNT = "k as (select l_suppkey % 10 as image_id, l_partkey % 200 as idx, sum((
 _RUNS = f"{_COUNT}, a as (select *, idx - row_number() over (partition by image_id order by idx) as g from k where n >= 2), r as (select image_id, min(idx) as first, max(idx) as last, count(*) as length from a group by image_id, g)"
 _ST = "s as (select c_custkey as id, c_name as title, c_mktsegment as location, c_custkey % 4 = 0 as user_edited from customer)"
 
-QUERIES = {f.__name__: f for f in (nearest_header, attach_details, bucket_fill, join_line, visual_lines, line_islands, longest_run, interval_overlap, top_images, entry_sessions, exam_pivot, header_days, corroborate, catalogue_join, compose_priority, target_text,
+QUERIES = {f.__name__: f for f in (nearest_header, attach_details, bucket_fill, join_line, visual_lines, line_islands, longest_run, interval_overlap, top_images, entry_sessions, exam_pivot, header_days, corroborate, catalogue_join, alias_index, compose_priority, target_text,
                                    split_details, column_counts, store_patch, store_remove, store_toggle, store_append, export_selected, no_class_edit, draft_patch, upload_kinds, content_hash, model_output)}
 ORACLES = {
     "nearest_header": f"""with {_I}, h as (select o_orderkey as page, k as seq, '周' || k as label, (k * 50 + o_custkey % 30)::double as hx from orders, range(7) t(k))
@@ -235,6 +245,8 @@ ORACLES = {
       select l_orderkey, k.image_id, k.name, coalesce(t, '?') as teacher, coalesce(case when l_orderkey % 3 = 0 then 'own' end, p) as place from k left join m on m.image_id = k.image_id and m.key = k.key where l_linenumber = 1""",
     "catalogue_join": f"""with {_CELLS}, k as (select p_partkey as course_id, p_partkey % 7 + 1 as d, p_partkey % 6 * 2 + 1 as s, 'c.*' || (p_partkey % 10) || '$' as alias from part)
       select image_id, seq, course_id from c join k on d = day_of_week and s = period_start and regexp_matches(text, alias)""",
+    "alias_index": f"""with {_LI} select l_orderkey, l_linenumber, p_partkey as course_id from li join part on l_partkey % 42 = p_partkey % 42
+      where ('第' || case when l_partkey % 5 > 0 then '课' else '科' end || '程' || l_partkey || case when l_partkey % 7 > 0 then '号' else '' end || '甲' || (l_suppkey % 3)) like '%程' || p_partkey || '号%' || (p_partkey % 3) || '%'""",
     "compose_priority": f"""with {_CELLS}, g as (select image_id, seq, row_index, text, image_id % 5 as m, '周二 3-4节 课' || (image_id % 7) || '甲大纲 1-16周 地点:江安综合楼B202' as line, max(case when seq % 2 = 0 then seq end) over (partition by image_id, row_index) as best from c)
       select image_id, case when m = 0 and bool_or(seq % 2 = 0) then string_agg('数据' || seq, chr(10) order by row_index) filter (seq = best) when m = 0 then string_agg('全文:' || text, chr(10) order by seq) when m = 1 then string_agg('考试 ' || text, chr(10) order by seq)
           when m = 2 then string_agg(line, chr(10) order by seq) when m = 3 and count(*) filter (seq <> 1) >= 3 then string_agg(line, chr(10) order by seq) filter (seq <> 1)

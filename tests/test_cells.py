@@ -14,6 +14,9 @@ from chronofold.operators import pages as P
 ITEM = "image_id int, seq int, kind string, row_index int, column_index int, day_of_week int, period_start int, period_end int, text string"
 AS_OF = "2026-06-15"
 
+# a school's rules, given by its user
+RULES = [("大学物理", "颐德楼H103"), ("形势与政策III", "经世楼C304"), ("数字经济", "颐德楼H212"), ("算法分析与设计", "经世楼E302")]
+
 
 def cells(spark, *rows):
     """Rows of (kind, row, column, day, start, end, text) of one image."""
@@ -25,7 +28,7 @@ def slot(day, start, end, text):
 
 
 def composed(df):
-    return [r.text for r in K.image_texts(df).collect()][0]
+    return [r.text for r in K.image_texts(df, RULES).collect()][0]
 
 
 def recognised(spark, text, intent):
@@ -74,7 +77,7 @@ def test_exam_cells_and_rows(spark):
 def test_main_cells_and_details(spark):
     df = cells(spark, ("weekdayHeader", 0, 1, None, None, None, "星 期 二"), ("cell", 1, 1, None, None, None, "操作系统_01王小明\n第1-16周\n1-2节\n江女一教 A103"), ("cell", 1, 2, None, None, None, "无星期_01\n1-2周\n1-2节"), ("cell", 2, 1, 5, None, None, "线性 代数甲乙丙丁*\n3，5周\n3 - 4节"),
                ("courseDetailRow", 3, None, None, None, None, "20001234 操作：系统 大纲01 第2-9周 双周 星期三 7-8节 江安综合楼B 202"), ("courseDetailRow", 4, None, None, None, None, "操作系统 2-9周 星期天 7-8节"))
-    lines = [r.line for r in K.course_lines(df).orderBy("part", "seq").collect()]
+    lines = [r.line for r in K.course_lines(df, RULES).orderBy("part", "seq").collect()]
     assert lines == ["周二 1-2节 操作系统 教师:王小明 1-16周 地点:江安一教A103", "周五 3-4节 线性代数 教师:甲乙丙丁 第3周 第5周", "周三 7-8节 操作:系统 教师:王小明 第2-9周双周 地点:江安综合楼B202", "周日 7-8节 操作系统 教师:王小明 2-9周 地点:江安一教A103"]
     assert composed(df).count("\n") == 3
 
