@@ -252,3 +252,11 @@ def ocr_score(c: Column) -> Column:
     return total + useful - F.when(t.rlike("注意事项|有效身份证|准考证正|打印时间"), 18.0).otherwise(0.0)
 
 
+def reading_score(c: Column) -> Column:
+    """The score by which readings of an image in the browser are compared: dates, times, places, titles, slots and length count, signs of a notice are taken off."""
+    t = F.regexp_replace(c, rf"{WS}+", " ")
+    # fixed values: what counts, and how much
+    weights = [(rf"(?:20[0-9]{{2}}{WS}*年)?{WS}*[0-9]{{1,2}}{WS}*月{WS}*[0-9]{{1,2}}{WS}*日?", 8.0), (rf"[0-9]{{1,2}}{WS}*:{WS}*[0-9]{{2}}", 5.0), (rf"(?:经世楼|颐德楼|明德楼|笃行楼|教学楼|实验楼|晨曦排球场){WS}*[A-Za-z]?{WS}*[0-9]{{0,4}}", 7.0),
+               ("数据结构|面向对象|中国传统文化|心理健康|离散数学|中国近现代史|高等数学|马克思主义|概率论|大学物理|计算机网络|数字经济|算法分析|创新程序", 6.0), (rf"周{DAY}|[0-9]{{1,2}}{WS}*[-~至到]{WS}*[0-9]{{1,2}}{WS}*节", 4.0)]
+    total = reduce(lambda a, b: a + b, [F.regexp_count(t, F.lit(p)) * w for p, w in weights])
+    return total + F.least(F.length(t), F.lit(1000)) / 120.0 - F.when(t.rlike("注意事项|有效身份证|打印时间"), 12.0).otherwise(0.0)

@@ -121,6 +121,15 @@ def alias_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.catalogue_matches(cells, cat).select("l_orderkey", "l_linenumber", "course_id")
 
 
+def chosen_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of an image of four kinds in two passes, of texts with more and fewer signs of a timetable; some are equal but for their place."""
+    k, n = F.col("l_partkey"), F.col("l_suppkey")
+    text = F.concat(F.when(k % 3 > 0, F.lit("2026年6月2日 13:00")).otherwise(""), F.when(k % 4 > 0, F.concat(F.lit("  经世楼B10"), (k % 9).cast("string"))).otherwise(""), F.when(n % 3 == 0, "大学物理 周一 1 - 2 节").otherwise("某课"), F.when(n % 5 == 0, "注意事项").otherwise(""), F.repeat(F.lit("字"), (k % 11 * 12).cast("int")))
+    kind = F.try_element_at(F.array(*[F.lit(x) for x in ("table", "cell", "detail", "full")]), (k % 4 + 1).cast("int"))
+    readings = _lines(spark, sf_dir).select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("seq"), kind.alias("kind"), (n % 2 == 0).alias("sparse"), F.when(k % 13 > 0, text).alias("text"), (F.col("l_quantity") * 3 - 10).alias("confidence"))
+    return O.chosen_readings(readings)
+
+
 def compose_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images of five forms: exam cells, exam rows, detail rows, a full text, cells without a slot of a course."""
     k = F.col("image_id")
@@ -175,6 +184,18 @@ def store_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.append(S.select_all(s, False), s.where("id % 10 = 0"))
 
 
+def store_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of one action for each event, by forty stores of nine ids; a few sets and resets lie early in it."""
+    k = F.col("event_id")
+    action = F.when((k % 97 == 0) & (k < 500), F.when(k % 2 == 0, "set").otherwise("reset")).when(k % 89 == 0, F.when(k % 2 == 0, "select_all").otherwise("clear"))
+    for n, name in enumerate(("append", "append", "update", "update", "toggle", "toggle")):
+        action = action.when(k % 7 == n, name)
+    title = F.when(k % 5 > 0, F.concat(F.lit("t"), k.cast("string")))
+    log = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("store_id"), k.alias("seq"), F.lit(0).alias("pos"), action.otherwise("remove").alias("action"), F.floor(F.col("value")).cast("long").alias("v"), title.alias("title"), F.col("event_type").alias("place"),
+                                                F.when(k % 3 == 0, F.array(F.lit("title"))).when(k % 3 == 1, F.array(F.lit("place"))).otherwise(F.array(F.lit("title"), F.lit("place"))).alias("present"))
+    return S.replayed(log.withColumn("id", F.col("v") % 9).drop("v"), ["title", "place"])
+
+
 def export_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.export_selected(_store(spark, sf_dir), _ids(spark, sf_dir, "c_custkey % 7 = 0"))
 
@@ -217,8 +238,8 @@ _COUNT = "k as (select l_suppkey % 10 as image_id, l_partkey % 200 as idx, sum((
 _RUNS = f"{_COUNT}, a as (select *, idx - row_number() over (partition by image_id order by idx) as g from k where n >= 2), r as (select image_id, min(idx) as first, max(idx) as last, count(*) as length from a group by image_id, g)"
 _ST = "s as (select c_custkey as id, c_name as title, c_mktsegment as location, c_custkey % 4 = 0 as user_edited from customer)"
 
-QUERIES = {f.__name__: f for f in (nearest_header, attach_details, bucket_fill, join_line, visual_lines, line_islands, longest_run, interval_overlap, top_images, entry_sessions, exam_pivot, header_days, corroborate, catalogue_join, alias_index, compose_priority, target_text,
-                                   split_details, column_counts, store_patch, store_remove, store_toggle, store_append, export_selected, no_class_edit, draft_patch, upload_kinds, content_hash, model_output)}
+QUERIES = {f.__name__: f for f in (nearest_header, attach_details, bucket_fill, join_line, visual_lines, line_islands, longest_run, interval_overlap, top_images, entry_sessions, exam_pivot, header_days, corroborate, catalogue_join, alias_index, chosen_readings, compose_priority, target_text,
+                                   split_details, column_counts, store_patch, store_remove, store_toggle, store_append, store_replay, export_selected, no_class_edit, draft_patch, upload_kinds, content_hash, model_output)}
 ORACLES = {
     "nearest_header": f"""with {_I}, h as (select o_orderkey as page, k as seq, '周' || k as label, (k * 50 + o_custkey % 30)::double as hx from orders, range(7) t(k))
       select page, seq, header from (select i.page, i.seq, h.label as header, row_number() over (partition by i.page, i.seq order by abs(h.hx - i.x), h.seq) as r from i left join h on h.page = i.page and abs(h.hx - i.x) <= 20) where r = 1""",
@@ -247,6 +268,13 @@ ORACLES = {
       select image_id, seq, course_id from c join k on d = day_of_week and s = period_start and regexp_matches(text, alias)""",
     "alias_index": f"""with {_LI} select l_orderkey, l_linenumber, p_partkey as course_id from li join part on l_partkey % 42 = p_partkey % 42
       where ('第' || case when l_partkey % 5 > 0 then '课' else '科' end || '程' || l_partkey || case when l_partkey % 7 > 0 then '号' else '' end || '甲' || (l_suppkey % 3)) like '%程' || p_partkey || '号%' || (p_partkey % 3) || '%'""",
+    "chosen_readings": rf"""with {_LI}, r as (select l_orderkey as i, l_linenumber as q, (['table','cell','detail','full'])[l_partkey % 4 + 1] as kind, l_suppkey % 2 = 0 as sparse, greatest(0, least(1, (l_quantity * 3 - 10) / 100)) as sure,
+        case when l_partkey % 13 > 0 then case when l_partkey % 3 > 0 then '2026年6月2日 13:00' else '' end || case when l_partkey % 4 > 0 then '  经世楼B10' || (l_partkey % 9) else '' end || case when l_suppkey % 3 = 0 then '大学物理 周一 1 - 2 节' else '某课' end || case when l_suppkey % 5 = 0 then '注意事项' else '' end || repeat('字', l_partkey % 11 * 12) else '' end as text from li),
+      t as (select *, regexp_replace(text, '\s+', ' ', 'g') as c from r where not (kind = 'cell' and not sparse) and not (kind = 'detail' and sparse)),
+      s as (select *, len(regexp_extract_all(c, '(?:20[0-9]{{2}}\s*年)?\s*[0-9]{{1,2}}\s*月\s*[0-9]{{1,2}}\s*日?')) * 8.0::double + len(regexp_extract_all(c, '[0-9]{{1,2}}\s*:\s*[0-9]{{2}}')) * 5 + len(regexp_extract_all(c, '经世楼\s*[A-Za-z]?\s*[0-9]{{0,4}}')) * 7 + len(regexp_extract_all(c, '大学物理')) * 6
+        + len(regexp_extract_all(c, '周[一二三四五六日天]|[0-9]{{1,2}}\s*[-~至到]\s*[0-9]{{1,2}}\s*节')) * 4 + least(length(c), 1000) / 120.0::double - case when c like '%注意事项%' then 12 else 0 end + sure + case when sparse then 8 else 0 end + case kind when 'table' then 24 when 'cell' then 18 else 0 end as score from t),
+      b as (select *, row_number() over (partition by i order by round(score, 9) desc, q) as n, row_number() over (partition by i, kind, text <> '' order by round(score, 9) desc, q) as d from s)
+      select i as image_id, max(text) filter (n = 1) as text, max(sure) filter (n = 1) as confidence, max(text) filter (kind = 'detail' and text <> '' and d = 1) as detail, coalesce(list(text order by q) filter (kind = 'cell' and text <> ''), []) as cells from b group by i""",
     "compose_priority": f"""with {_CELLS}, g as (select image_id, seq, row_index, text, image_id % 5 as m, '周二 3-4节 课' || (image_id % 7) || '甲大纲 1-16周 地点:江安综合楼B202' as line, max(case when seq % 2 = 0 then seq end) over (partition by image_id, row_index) as best from c)
       select image_id, case when m = 0 and bool_or(seq % 2 = 0) then string_agg('数据' || seq, chr(10) order by row_index) filter (seq = best) when m = 0 then string_agg('全文:' || text, chr(10) order by seq) when m = 1 then string_agg('考试 ' || text, chr(10) order by seq)
           when m = 2 then string_agg(line, chr(10) order by seq) when m = 3 and count(*) filter (seq <> 1) >= 3 then string_agg(line, chr(10) order by seq) filter (seq <> 1)
@@ -258,6 +286,15 @@ ORACLES = {
     "store_remove": f"with {_ST} select * from s where id % 5 <> 0",
     "store_toggle": "select c_custkey as id from customer where (c_custkey % 2 = 0) <> (c_custkey % 3 = 0)",
     "store_append": f"with {_ST} select *, false as selected from s union all select *, true from s where id % 10 = 0",
+    "store_replay": """with l as (select user_id % 40 as s, event_id as q, cast(floor(value) as bigint) % 9 as id, case when event_id % 5 > 0 then 't' || event_id end as title, event_type as place,
+        case when event_id % 97 = 0 and event_id < 500 then case when event_id % 2 = 0 then 'set' else 'reset' end when event_id % 89 = 0 then case when event_id % 2 = 0 then 'select_all' else 'clear' end else (['append','append','update','update','toggle','toggle','remove'])[event_id % 7 + 1] end as a from events),
+      b as (select s, q, a from l where a in ('set', 'reset', 'select_all', 'clear')),
+      i as (select * from l where a in ('set', 'append') and not exists (select 1 from b where b.s = l.s and b.q > l.q and b.a in ('set', 'reset')) and not exists (select 1 from l r where r.s = l.s and r.id = l.id and r.a = 'remove' and r.q > l.q)),
+      z as (select i.s, i.q, greatest(max(x.q), coalesce((select max(q) from b where b.s = i.s and b.a in ('select_all', 'clear')), -1)) as since from i join l x on x.s = i.s and x.id = i.id and x.a in ('set', 'append', 'remove') group by i.s, i.q),
+      u as (select i.s, i.q, count(*) > 0 as edited, max(x.q) filter (x.q % 3 <> 1) as tq, max(x.q) filter (x.q % 3 <> 0) as pq from i join l x on x.s = i.s and x.id = i.id and x.a = 'update' and x.q > i.q group by i.s, i.q),
+      f as (select i.s, i.q, count(x.q) as flips, any_value(coalesce((select a from l y where y.s = z.s and y.q = z.since) = 'clear', false)) as cleared from i join z on z.s = i.s and z.q = i.q left join l x on x.s = i.s and x.id = i.id and x.a = 'toggle' and x.q > z.since group by i.s, i.q)
+      select i.s as store_id, i.id, case when tq is not null then case when tq % 5 > 0 then 't' || tq end else title end as title, case when pq is not null then (select place from l y where y.s = i.s and y.q = pq) else place end as place, coalesce(edited, false) as user_edited,
+        (not cleared) <> (flips % 2 = 1) as selected, i.q as seq, 0 as pos from i join f on f.s = i.s and f.q = i.q left join u on u.s = i.s and u.q = i.q""",
     "export_selected": f"with {_ST} select * from s where id % 7 = 0",
     "no_class_edit": "select d from (select cast(cast(o_orderdate as date) as varchar) as d from orders union select '2030-01-01') where d not in (select cast(cast(o_orderdate as date) as varchar) from orders where o_orderkey % 50 = 0)",
     "draft_patch": """with d as (select c_custkey as id, case c_custkey % 6 when 0 then 0 when 2 then 4 when 3 then 99999 when 4 then -4 when 5 then c_custkey % 10 end as n from customer)
