@@ -20,6 +20,5 @@ def write_calendars(calendars: DataFrame, path: str) -> None:
 def answers(events: DataFrame, key: str) -> DataFrame:
     """A JSON answer per document: its events in order and their mean confidence (0 without any)."""
     fields = [c for c in events.columns if c not in (key, "line_no")]
-    g = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", F.to_json(F.struct(*fields)).alias("e")))).alias("es"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"))
-    body = F.array_join(F.transform("es", lambda x: x["e"]), ",")
-    return g.select(key, F.concat(F.lit('{"success":true,"confidence":'), F.col("confidence").cast("string"), F.lit(',"events":['), body, F.lit("]}")).alias("answer"))
+    g = events.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.struct(*fields).alias("e")))), lambda x: x["e"]).alias("events"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"))
+    return g.select(key, F.to_json(F.struct(F.lit(True).alias("success"), "confidence", "events")).alias("answer"))
