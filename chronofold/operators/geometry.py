@@ -6,8 +6,12 @@ are compared as one array per page; as-of steps are windows or sorted arrays key
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def nearest_header(items: DataFrame, headers: DataFrame, page: str, limit: float = 80.0) -> DataFrame:
@@ -44,14 +48,26 @@ def fill_by_bucket(items: DataFrame, page: str, width: float = 8.0) -> DataFrame
 
 
 def visual_lines(items: DataFrame, page: str, gap: float = 4.0) -> DataFrame:
-    """Items with ``line_no``: from the top down, an item joins a line while its y is within ``gap`` of the line's first item.
+    """Items with ``line_no``: from the top down, an item joins a line while its y is within ``gap`` of the line's first item. An item without a y has line 0.
 
-    The anchor is the first item's y, so a lag does not do; the distinct y of a page are folded once into the lines' anchors.
+    The anchor is the first item's y, which no window expresses. Pages are brought together and sorted, and one pass over a partition's rows carries page, anchor and number of
+    the line, so a page of any length takes time in proportion and no memory.
     """
-    ys = F.transform(F.array_sort(F.collect_set((-F.col("y")).cast("double"))), lambda v: -v)
-    lower = lambda acc, y: F.when((F.size(acc) == 0) | (F.try_element_at(acc, F.lit(-1)) - y > gap), F.concat(acc, F.array(y))).otherwise(acc)
-    anchors = items.groupBy(page).agg(F.aggregate(ys, F.array().cast("array<double>"), lower).alias("__anchors"))
-    return items.join(anchors, page).withColumn("line_no", F.size(F.filter("__anchors", lambda a: a >= F.col("y")))).drop("__anchors")
+    rows, names = items.repartition(page).sortWithinPartitions(page, F.desc_nulls_last("y")), [*items.columns, "line_no"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, anchor, line = object(), 0.0, 0
+        for batch in batches:
+            out = []
+            for key, y in zip(batch.column(page).to_pylist(), batch.column("y").to_pylist()):
+                if key != at:
+                    at, line = key, 0
+                if y is not None and (line == 0 or anchor - y > gap):
+                    anchor, line = y, line + 1
+                out.append(0 if y is None else line)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=names)
+
+    return rows.mapInArrow(run, T.StructType([*items.schema.fields, T.StructField("line_no", T.IntegerType())]))
 
 
 def join_line(items: DataFrame, keys: list[str], space: float = 18.0) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from chronofold.operators import ocr, raster
+from chronofold.operators import geometry, ocr, raster
 
 
 def test_region_sums_equal_counting(spark):
@@ -54,3 +54,15 @@ def test_pattern_matches_equal_matching_all(spark):
     t, p = spark.createDataFrame(texts, "id int, slot int, text string"), spark.createDataFrame(patterns, "slot int, alias string")
     got = sorted((r.id, r.alias) for r in ocr.pattern_matches(t, p, ["slot"], "text", "alias").collect())
     assert got == sorted({(i, a) for i, s, x in texts for q, a in patterns if s == q and x is not None and a is not None and re.search(a, x)})
+
+
+def test_a_page_of_very_many_lines(spark):
+    """Lines by their first item, on a page of 100,000 heights among small ones."""
+    n = 100_000
+    items = spark.range(n).select(F.lit("long").alias("page"), F.col("id").alias("seq"), ((F.col("id") * 7919) % n * 1.5).alias("y"))
+    items = items.union(spark.createDataFrame([("short", 1, 10.0), ("short", 2, 6.0), ("short", 3, 5.9), ("short", 4, 1.8), ("short", 5, None), (None, 6, 3.0)], "page string, seq long, y double"))
+    got = geometry.visual_lines(items, "page")
+    assert {r.seq: r.line_no for r in got.where("page = 'short' or page is null").collect()} == {1: 1, 2: 1, 3: 2, 4: 3, 5: 0, 6: 1}
+    # heights are 1.5 apart, so a line holds three of them
+    assert got.where("page = 'long'").groupBy("line_no").count().where("count <> 3").count() == 1
+    assert got.where("page = 'long'").agg(F.max("line_no")).first()[0] == -(-n // 3)
