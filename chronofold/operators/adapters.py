@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronofold import schema
 from chronofold.functions.extract import DAY, route
 from chronofold.functions.text import WS, found, trim
 
@@ -14,6 +15,18 @@ def requested_intent(asked: Column, text: Column) -> Column:
     return F.when(asked.isNull() | asked.isin("AUTO", "NATURAL_LANGUAGE", ""), route(text)).otherwise(asked)
 
 
+def requested_source(asked: Column, natural_input: Column) -> Column:
+    """A request's source; without one, text where something was typed in, else the example of recognition."""
+    return F.coalesce(F.nullif(asked, F.lit("")), F.when(natural_input != "", "TEXT").otherwise("OCR_STUB"))
+
+
+def requested_periods(periods: Column) -> Column:
+    """The periods of a request's template, an array of structs like ``schema.PERIOD``; those of the default template where there are none."""
+    names = [f.split()[0] for f in schema.PERIOD.split(", ")]
+    default = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in schema.PERIODS])
+    return F.when(F.size(periods) > 0, periods).otherwise(default)
+
+
 def first_result(df: DataFrame, strategies: list[str]) -> DataFrame:
     """The first strategy's text that is not blank, with the strategy's name. Costly strategies are computed for rows where the cheaper ones gave nothing: filter, compute, union."""
     text = F.coalesce(*[F.nullif(trim(F.col(s)), F.lit("")) for s in strategies])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronofold import schema
 from chronofold.operators import adapters as A
 from chronofold.plans.calendar import COURSES
 from chronofold.sources.tables import arrangements, notices, table
@@ -47,11 +48,24 @@ def misreading_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.repaired(cells, cat, "place")
 
 
+def request_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with and without source, typed text and template, a row for each period that is in force."""
+    k = F.col("c_custkey")
+    own = F.struct(F.lit(1).alias("period_number"), F.concat(F.lit("0"), (k % 10).cast("string"), F.lit(":00")).alias("start_time"), F.lit("11:00").alias("end_time"), F.lit("own").alias("label"))
+    periods = F.when(k % 5 == 0, F.array(own)).when(k % 5 < 3, F.slice(F.array(own), 1, 0))
+    source = F.when(k % 4 == 0, F.col("c_mktsegment")).when(k % 4 < 3, "")
+    asked = table(spark, sf_dir, "customer").select("c_custkey", A.requested_source(source, F.when(k % 3 == 0, F.col("c_name")).when(k % 3 == 1, "")).alias("source"), A.requested_periods(periods).alias("p"))
+    return asked.select("c_custkey", "source", F.explode("p").alias("p")).select("c_custkey", "source", "p.period_number", "p.start_time", "p.end_time")
+
+
 _ROUTED = "case event_id % 6 when 0 then 'EXAM' when 1 then 'HOMEWORK' when 2 then 'NOTICE' when 3 then 'NOTICE' when 4 then 'NATURAL_LANGUAGE' else 'COURSE' end"
 
-QUERIES = {f.__name__: f for f in (requested_intent, extraction_cascade, flat_courses, draft_defaults, entry_lines, misreading_repair)}
+QUERIES = {f.__name__: f for f in (requested_intent, request_defaults, extraction_cascade, flat_courses, draft_defaults, entry_lines, misreading_repair)}
 ORACLES = {
     "requested_intent": f"select event_id, case when event_id % 5 = 0 then 'COURSE' else {_ROUTED} end as intent from events",
+    "request_defaults": f"""with d(n, a, b) as (values {', '.join(f"({n}, '{a}', '{b}')" for n, a, b, _ in schema.PERIODS)}),
+      r as (select c_custkey, case when c_custkey % 4 = 0 and c_mktsegment <> '' then c_mktsegment when c_custkey % 3 = 0 and c_name <> '' then 'TEXT' else 'OCR_STUB' end as source from customer)
+      select c_custkey, source, cast(n as int) as period_number, a as start_time, b as end_time from r, d where c_custkey % 5 > 0 union all select c_custkey, source, 1, '0' || (c_custkey % 10) || ':00', '11:00' from r where c_custkey % 5 = 0""",
     "extraction_cascade": "select page_id, case when page_id % 3 = 1 then 'd' || page_id when page_id % 2 = 0 then 't' when page_id % 7 > 0 then 'o' end as result, case when page_id % 3 = 1 then 'direct' when page_id % 2 = 0 then 'table' when page_id % 7 > 0 then 'ocr' end as strategy from pages",
     "flat_courses": f"with {COURSES} select id, 'c' || id as title, 'COURSE' as type, case when id % 2 = 0 then 'B1' end as location, 'AI' as source, case when id % 2 = 0 then 'B1' end as classroom, day_of_week, week_type from courses",
     "draft_defaults": f"with {COURSES} select id, case when id % 2 = 0 then 'B1' else '' end as place, day_of_week, period_start, case when id % 4 > 0 then period_end else period_start end as period_end, week_start, case when id % 3 > 0 then week_end else 16 end as week_end, case when id % 5 > 0 then 10 else 30 end as reminder_minutes from courses",
