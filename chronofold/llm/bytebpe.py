@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .common import bounded_batches, unused
 
 #: pieces remembered in a task, the longest of them in characters, and pieces of a text that are handled at once
-CACHED, LONGEST, AT_ONCE = 500_000, 64, 1 << 16
+CACHED, LONGEST, AT_ONCE = 250_000, 64, 1 << 16
 #: bytes that stand for an id without a token (U+FFFD)
 UNKNOWN = b"\xef\xbf\xbd"
 
@@ -56,12 +56,17 @@ def last_merge(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | N
     return parts[0], parts[1]
 
 
+def shown_tokens(ranks: dict[bytes, int]) -> dict[bytes, str]:
+    """Each token's bytes as characters."""
+    char = byte_characters()
+    return {token: "".join(char[b] for b in token) for token in ranks}
+
+
 def model_of(ranks: dict[bytes, int]) -> str:
     """The library's model of a file of ranks, as text."""
     from tokenizers import Tokenizer, models, pre_tokenizers
 
-    char = byte_characters()
-    shown = {token: "".join(char[b] for b in token) for token in ranks}
+    shown = shown_tokens(ranks)
     merges = [pair for token in sorted(ranks, key=ranks.get) if len(token) > 1 and (pair := last_merge(token, ranks))]
     made = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=[(shown[a], shown[b]) for a, b in merges], ignore_merges=True))
     made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -131,15 +136,12 @@ class Encoder:
 
 
 class Decoder:
-    """Bytes of ids, by the reversed table of a model."""
-
-    def __init__(self, model: str):
-        from tokenizers import Tokenizer
+    """Bytes of ids, by the reversed table of a model's tokens, whose characters stand for bytes."""
 
+    def __init__(self, tokens: dict[str, int]):
         byte = {c: b for b, c in enumerate(byte_characters())}
-        vocabulary = Tokenizer.from_str(model).get_vocab()
-        self.table = [UNKNOWN] * (max(vocabulary.values(), default=-1) + 1)
-        for token, i in vocabulary.items():
+        self.table = [UNKNOWN] * (max(tokens.values(), default=-1) + 1)
+        for token, i in tokens.items():
             self.table[i] = bytes(byte[c] for c in token)
 
     def decode(self, ids: bytes) -> bytes:
@@ -195,13 +197,14 @@ def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids", text: bool
     """
     spark = tokens.sparkSession
     bounded_batches(spark)
-    model = spark.sparkContext.broadcast(model_of(read_ranks(ranks_path)))
+    ranks = read_ranks(ranks_path)
+    vocabulary = spark.sparkContext.broadcast({shown: ranks[token] for token, shown in shown_tokens(ranks).items()})
     new = ["decoded", "head", "text", "tail"] if text else ["decoded"]
     kept = [c for c in tokens.columns if c.lower() not in {ids_col.lower(), *new}]
     rows = tokens.select(*kept, F.coalesce(F.col(ids_col), F.lit(b"")).alias(ids_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(model.value)
+        decoder = Decoder(vocabulary.value)
         for batch in batches:
             data = [decoder.decode(x.as_py()) for x in batch.column(batch.num_columns - 1)]
             more = [pa.array(data, pa.binary())]
