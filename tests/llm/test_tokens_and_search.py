@@ -138,6 +138,9 @@ def test_round_trip_on_tables(spark, reference):
     got = bytebpe.decode(tokens, RANKS, text=True).collect()
     assert Counter((r.doc_id, bytes(r.decoded).decode(), r.text, r.n_tokens) for r in got) == Counter((r.doc_id, r.text or "", r.text or "", len(reference.encode_ordinary(r.text or ""))) for r in docs.collect())
     assert bytebpe.decode(bytebpe.encode(docs.limit(0), RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
+    trip = bytebpe.encode(docs, RANKS, public_tokenizers.PATTERN, offsets=True, decoded=True)
+    assert trip.columns == [*tokens.columns, "decoded"] and sorted(map(str, trip.drop("decoded").collect())) == sorted(map(str, tokens.collect()))
+    assert sorted((bytes(r.ids), bytes(r.decoded)) for r in trip.collect()) == sorted((bytes(i), bytes(r.decoded)) for i, r in zip([r.ids for r in tokens.collect()], bytebpe.decode(tokens, RANKS).collect()))
 
 
 def test_windows_that_split_characters(spark, reference):
