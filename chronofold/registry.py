@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PLAN_MODULES: tuple[str, ...] = ("calendar", "text", "tables", "adapters", "cells", "raster", "ruled")
+PLAN_MODULES: tuple[str, ...] = ("calendar", "text", "tables", "adapters", "cells", "raster", "ruled", "fields")
 
 
 def collect() -> tuple[dict, dict]:
