@@ -15,7 +15,8 @@ from chronofold.functions.text import compact_cell, compact_exam_row, found, tri
 from chronofold.operators.events import once
 from chronofold.operators.geometry import islands, longest_run
 from chronofold.operators.ocr import pattern_matches
-from chronofold.operators.raster import region_sums, widest_rows
+from chronofold.operators.raster import few, region_sums, widest_rows
+from chronofold.sources.tables import kept
 
 FIELDS = ["name", "teacher", "place", "day_of_week", "period_start", "period_end", "weeks"]
 
@@ -149,16 +150,16 @@ def detected_grids(pixels: DataFrame, sizes: DataFrame, image: str = "image_id")
     of them is the table; its first two long horizontal lines bound the head. pixels: image, x, y, dark (1 or 0); sizes: image, height.
     """
     dark = pixels.where("dark > 0").select(image, "x", "y").distinct()
-    columns = dark.groupBy(image, F.col("x").alias("idx")).agg(F.count("*").alias("n")).join(sizes.select(image, "height"), image)
-    lines = islands(columns, image, F.col("height") * COLUMN_SHARE).groupBy(image).agg(F.array_sort(F.collect_list("centre")).alias("all")).where(F.size("all") >= LINES)
-    lines = lines.select(image, F.slice("all", 1, LINES).alias("x_lines"))
+    columns = dark.groupBy(image, F.col("x").alias("idx")).agg(F.count("*").alias("n"))
+    lines = islands(few(columns, sizes.select(image, "height"), image), image, F.col("height") * COLUMN_SHARE).groupBy(image).agg(F.array_sort(F.collect_list("centre")).alias("all")).where(F.size("all") >= LINES)
+    lines = kept(lines.select(image, F.slice("all", 1, LINES).alias("x_lines")))
     near = lines.select(image, F.posexplode("x_lines").alias("n", "at")).select(image, "n", F.explode(F.expr("sequence(at - 1, at + 1)")).alias("x"))
-    crossed = dark.join(near, [image, "x"]).groupBy(image, F.col("y").alias("idx")).agg(F.count_distinct("n").alias("n"))
-    run = longest_run(crossed, image, max(7, LINES - 2)).join(sizes.select(image, "height"), image).where(F.col("last") - F.col("first") >= F.col("height") * RUN_SHARE)
-    table = run.join(lines, image).select(image, "x_lines", "first", "last", F.element_at("x_lines", 1).alias("x0"), F.element_at("x_lines", LINES).alias("x1"))
-    rows = dark.join(table, image).where("x between x0 and x1 and y between first and last").groupBy(image, F.col("y").alias("idx"), "x0", "x1").agg(F.count("*").alias("n"))
+    crossed = few(dark, near, [image, "x"]).groupBy(image, F.col("y").alias("idx")).agg(F.count_distinct("n").alias("n"))
+    run = few(longest_run(crossed, image, max(7, LINES - 2)), sizes.select(image, "height"), image).where(F.col("last") - F.col("first") >= F.col("height") * RUN_SHARE)
+    table = kept(few(run, lines, image).select(image, "x_lines", "first", "last", F.element_at("x_lines", 1).alias("x0"), F.element_at("x_lines", LINES).alias("x1")))
+    rows = few(dark, table, image).where("x between x0 and x1 and y between first and last").groupBy(image, F.col("y").alias("idx"), "x0", "x1").agg(F.count("*").alias("n"))
     ruled = islands(rows, image, (F.col("x1") - F.col("x0")) * ROW_SHARE).groupBy(image).agg(F.array_sort(F.collect_list("centre")).alias("ys")).where("size(ys) >= 2")
-    out = table.join(ruled, image).select(image, "x_lines", F.element_at("ys", 1).alias("top"), F.element_at("ys", 2).alias("header_bottom"), F.col("last").alias("bottom"))
+    out = few(table, ruled, image).select(image, "x_lines", F.element_at("ys", 1).alias("top"), F.element_at("ys", 2).alias("header_bottom"), F.col("last").alias("bottom"))
     return out.where(F.col("bottom") - F.col("header_bottom") >= LEAST_HEIGHT)
 
 
@@ -174,11 +175,12 @@ def timetable_slots(pixels: DataFrame, grids: DataFrame, tolerance: float = 3.0,
     columns = grid.select(image, "bounds", F.explode(days).alias("d")).select(image, "bounds", "d.*").where("x1 > x0")
     borders = columns.select(image, "day_of_week", "x0", "x1", F.posexplode("bounds").alias("n", "at"))
     crossed = widest_rows(pixels, borders.select(image, "day_of_week", "n", "x0", "x1", (F.col("at") - 2).alias("y0"), (F.col("at") + 3).alias("y1")), ["day_of_week", "n"], image)
-    cuts = borders.join(crossed, [image, "day_of_week", "n"], "left").where((F.coalesce("widest", F.lit(0)) >= (F.col("x1") - F.col("x0")) * LINE_SHARE) | F.col("n").isin(0, PERIODS))
+    cuts = few(borders, crossed, [image, "day_of_week", "n"], "left").where((F.coalesce("widest", F.lit(0)) >= (F.col("x1") - F.col("x0")) * LINE_SHARE) | F.col("n").isin(0, PERIODS))
     cuts = cuts.select(image, "day_of_week", "x0", "x1", "at").distinct()
     cells = cuts.withColumn("y1", F.lead("at").over(Window.partitionBy(image, "day_of_week").orderBy("at"))).withColumnRenamed("at", "y0").where(F.col("y1") - F.col("y0") >= LEAST_CELL)
+    cells = kept(cells)
     held = region_sums(pixels, cells.select(image, "day_of_week", F.col("y0").alias("top"), (F.col("x0") + 3).alias("x0"), (F.col("x1") - 3).alias("x1"), (F.col("y0") + 3).alias("y0"), (F.col("y1") - 3).alias("y1")), ["day_of_week", "top"], image)
-    cells = cells.join(held.withColumnRenamed("top", "y0"), [image, "day_of_week", "y0"]).where(F.col("dark") >= LEAST_CONTENT).join(grid.select(image, "bounds"), image)
+    cells = few(few(cells, held.withColumnRenamed("top", "y0"), [image, "day_of_week", "y0"]).where(F.col("dark") >= LEAST_CONTENT), grid.select(image, "bounds"), image)
     over = F.filter(F.transform("bounds", lambda b, i: F.when(F.greatest(F.col("y0"), b) < F.least(F.col("y1"), F.try_element_at("bounds", (i + 2).cast("int"))) - tolerance, i + 1)), lambda x: x.isNotNull())
     cells = cells.withColumn("over", over).where("size(over) > 0").withColumn("n", F.count("*").over(Window.partitionBy(image))).where(F.col("n") >= LEAST_CELLS)
     return cells.select(image, "day_of_week", "y0", "y1", F.array_min("over").cast("int").alias("period_start"), F.array_max("over").cast("int").alias("period_end"))

@@ -1,7 +1,8 @@
 """Images as tables of points: masks from colours, sums over regions, the geometry of timetables and exam tables.
 
 A point is a row (image, x, y, ...); points that are not dark may be left out. Points meet regions by equality only: through an image's cuts
-(``region_sums``), its columns or its rows. Whatever is counted is summed by image, row and column before it is shuffled.
+(``region_sums``), its columns or its rows. Whatever is counted is summed by image, row and column before it is shuffled; of points that are partitioned by
+image nothing is shuffled. Points are very many more than the rows they are made from, so no join leaves it to estimated sizes which side is broadcast (``few``).
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ def dark_mask(pixels: DataFrame, image: str = "image_id", limit: float = MASK_GR
     return pixels.select(image, "x", "y", F.coalesce((value < limit).cast("int"), F.lit(0)).alias("dark"))
 
 
+def few(many: DataFrame, side: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """``many`` joined with a side that has few rows for an image: each task holds its part of the side and streams ``many``. Neither is broadcast."""
+    return many.join(side.hint("shuffle_hash"), on, how)
+
+
 # ---------------------------------------------------------------- sums over regions
 
 def _strips(cuts: str) -> Column:
@@ -57,15 +63,15 @@ def region_sums(points: DataFrame, regions: DataFrame, keys: list[str], image: s
     many regions there are. points: image, x, y, dark; regions: image, keys, x0, x1, y0, y1, ends exclusive, up to some hundreds for an image.
     """
     cuts = _cuts(_filled(regions), image)
-    near = points.where("dark > 0").join(cuts, image).where("x >= get(xs, 0) and x < element_at(xs, -1) and y >= get(ys, 0) and y < element_at(ys, -1)")
+    near = few(points.where("dark > 0"), cuts, image).where("x >= get(xs, 0) and x < element_at(xs, -1) and y >= get(ys, 0) and y < element_at(ys, -1)")
     sums = near.select(image, "dark", F.expr("get(ix, cast(x - get(xs, 0) as int))").alias("i"), F.expr("get(iy, cast(y - get(ys, 0) as int))").alias("j")).groupBy(image, "i", "j").agg(F.sum("dark").alias("n"))
     grid = cuts.select(image, F.expr("size(xs) - 1").alias("nx"), F.explode(F.expr("sequence(1, size(ys) - 1)")).alias("j")).select(image, "nx", "j", F.explode(F.expr("sequence(1, nx)")).alias("i"))
-    whole = grid.join(sums, [image, "i", "j"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    whole = few(grid, sums, [image, "i", "j"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     across, down = Window.partitionBy(image, "j").orderBy("i"), Window.partitionBy(image, "i").orderBy("j")
     running = whole.withColumn("s", F.sum("n").over(across)).withColumn("s", F.sum("s").over(down))
     areas = running.groupBy(image).agg(F.array_sort(F.collect_list(F.struct("j", "i", "s"))).alias("t")).select(image, F.col("t.s").alias("area"))
     place = lambda cuts, edge: F.array_position(cuts, F.col(edge).cast("long")) - 1
-    at = _filled(regions).join(cuts.select(image, "xs", "ys"), image).join(areas, image).withColumn("nx", F.size("xs") - 1)
+    at = few(few(_filled(regions), cuts.select(image, "xs", "ys"), image), areas, image).withColumn("nx", F.size("xs") - 1)
     at = at.select("*", place("xs", "x0").alias("i0"), place("xs", "x1").alias("i1"), place("ys", "y0").alias("j0"), place("ys", "y1").alias("j1"))
     look = lambda i, j: F.when((F.col(i) > 0) & (F.col(j) > 0), F.try_element_at("area", ((F.col(j) - 1) * F.col("nx") + F.col(i)).cast("int"))).otherwise(0)
     return at.select(image, *keys, (look("i1", "j1") - look("i0", "j1") - look("i1", "j0") + look("i0", "j0")).alias("dark")).where("dark > 0")
@@ -77,12 +83,12 @@ def widest_rows(points: DataFrame, regions: DataFrame, keys: list[str], image: s
     Points are summed by row and strip of columns, and a region asks each of its rows once.
     """
     cuts = _cuts(_filled(regions), image)
-    near = points.where("dark > 0").join(cuts.select(image, "xs", "ix"), image).where("x >= get(xs, 0) and x < element_at(xs, -1)")
+    near = few(points.where("dark > 0"), cuts.select(image, "xs", "ix"), image).where("x >= get(xs, 0) and x < element_at(xs, -1)")
     rows = near.select(image, "y", "dark", F.expr("get(ix, cast(x - get(xs, 0) as int))").alias("i")).groupBy(image, "y", "i").agg(F.sum("dark").alias("n"))
     rows = rows.groupBy(image, "y").agg(F.collect_list(F.struct("i", "n")).alias("cells"))
-    asked = _filled(regions).join(cuts.select(image, "xs"), image).select(image, *keys, F.expr("array_position(xs, cast(x0 as bigint)) - 1").alias("i0"), F.expr("array_position(xs, cast(x1 as bigint)) - 1").alias("i1"), F.explode(F.expr("sequence(y0, y1 - 1)")).alias("y"))
+    asked = few(_filled(regions), cuts.select(image, "xs"), image).select(image, *keys, F.expr("array_position(xs, cast(x0 as bigint)) - 1").alias("i0"), F.expr("array_position(xs, cast(x1 as bigint)) - 1").alias("i1"), F.explode(F.expr("sequence(y0, y1 - 1)")).alias("y"))
     held = F.expr("aggregate(filter(cells, c -> c.i > i0 and c.i <= i1), 0L, (a, c) -> a + c.n)")
-    return asked.join(rows, [image, "y"]).groupBy(image, *keys).agg(F.max(held).alias("widest")).where("widest > 0")
+    return few(rows, asked, [image, "y"]).groupBy(image, *keys).agg(F.max(held).alias("widest")).where("widest > 0")
 
 
 # ---------------------------------------------------------------- geometry of scans; points: image, x, y, grey
@@ -91,18 +97,18 @@ def table_boxes(points: DataFrame, sizes: DataFrame, image: str = "image_id") ->
     """(image, left, top, right, bottom), ends exclusive: the box of all points of lines and letters with a margin; the whole image where there are none. sizes: image, width, height."""
     inked = points.where(F.col("grey") < LINE_GREY).groupBy(image).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     low, high = (lambda c: F.coalesce(F.greatest(F.lit(0), F.col(c) - MARGIN), F.lit(0))), (lambda c, size: F.least(F.col(size), F.coalesce(F.col(c) + MARGIN, F.col(size))))
-    return sizes.join(inked, image, "left").select(image, low("x0").alias("left"), low("y0").alias("top"), high("x1", "width").alias("right"), high("y1", "height").alias("bottom"))
+    return few(sizes, inked, image, "left").select(image, low("x0").alias("left"), low("y0").alias("top"), high("x1", "width").alias("right"), high("y1", "height").alias("bottom"))
 
 
 def cropped(points: DataFrame, boxes: DataFrame, image: str = "image_id") -> tuple[DataFrame, DataFrame]:
     """Points and sizes in the coordinates of the boxes."""
-    inside = points.join(boxes, image).where("x >= left and x < right and y >= top and y < bottom")
+    inside = few(points, boxes, image).where("x >= left and x < right and y >= top and y < bottom")
     return inside.select(image, (F.col("x") - F.col("left")).alias("x"), (F.col("y") - F.col("top")).alias("y"), "grey"), boxes.select(image, (F.col("right") - F.col("left")).alias("width"), (F.col("bottom") - F.col("top")).alias("height"))
 
 
 def _lines(points: DataFrame, keys: list[str], axis: str, bounds: DataFrame, threshold: Column, name: str) -> DataFrame:
     """(keys, ``name``): the sorted centres of runs of rows or columns that hold at least so many points. bounds: keys and what the threshold needs."""
-    counts = points.groupBy(*keys, F.col(axis).alias("idx")).agg(F.count("*").alias("n")).join(bounds, keys)
+    counts = few(points.groupBy(*keys, F.col(axis).alias("idx")).agg(F.count("*").alias("n")), bounds, keys)
     return islands(counts, keys, threshold, half_up=False).groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("centre").cast("int"))).alias(name))
 
 
@@ -115,16 +121,16 @@ def main_grids(points: DataFrame, sizes: DataFrame, image: str = "image_id") ->
     """
     dark = points.where(F.col("grey") < LINE_GREY).select(image, "x", "y")
     full = _lines(dark, [image], "y", sizes, F.col("width") * FULL_SHARE, "whole").where("size(whole) >= 2")
-    some = _lines(dark, [image], "y", sizes, F.col("width") * SOME_SHARE, "some").join(full, image)
-    gaps = some.select(image, "whole", F.expr("slice(filter(some, l -> l > get(whole, 1)), 1, 7)").alias("c")).where("size(c) > 1")
+    some = _lines(dark, [image], "y", sizes, F.col("width") * SOME_SHARE, "some")
+    gaps = few(some, full, image).select(image, "whole", F.expr("slice(filter(some, l -> l > get(whole, 1)), 1, 7)").alias("c")).where("size(c) > 1")
     gaps = gaps.select(image, "whole", F.expr(f"array_sort(filter(zip_with(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1), (a, b) -> b - a), g -> g between {LOW} and {HIGH}))").alias("g")).where("size(g) > 0")
     tall = gaps.select(image, "whole", F.expr("cast(bround((get(g, cast((size(g) - 1) div 2 as int)) + get(g, cast(size(g) div 2 as int))) / 2, 0) as int)").alias("tall"))
     ends = tall.select(image, "tall", F.expr("get(whole, 0)").alias("header_top"), F.expr("get(whole, 1)").alias("header_bottom"), F.expr(f"array_min(transform(whole, l -> struct(abs(l - get(whole, 1) - {PERIODS} * tall) as off, l as at)))").alias("end"))
-    ends = ends.where("end.off <= tall div 2").select(image, "tall", "header_top", "header_bottom", F.col("end.at").alias("main_bottom"))
-    main = dark.join(ends, image).where("y between header_top and main_bottom").select(image, "x", "y")
+    ends = kept(ends.where("end.off <= tall div 2").select(image, "tall", "header_top", "header_bottom", F.col("end.at").alias("main_bottom")))  # few, and used three times
+    main = few(dark, ends, image).where("y between header_top and main_bottom").select(image, "x", "y")
     lines = _lines(main, [image], "x", ends, (F.col("main_bottom") - F.col("header_top") + 1) * FULL_SHARE, "all").where(F.size("all") >= LINES)
     bounds = F.expr(f"concat(transform(sequence(0, {PERIODS} - 1), i -> header_bottom + tall * i), array(main_bottom))")
-    return ends.join(lines, image).select(image, "header_top", "header_bottom", "main_bottom", F.slice("all", -DAYS - 1, DAYS + 1).alias("day_lines"), bounds.alias("bounds"))
+    return few(ends, lines, image).select(image, "header_top", "header_bottom", "main_bottom", F.slice("all", -DAYS - 1, DAYS + 1).alias("day_lines"), bounds.alias("bounds"))
 
 
 TARGET = ["kind", "row_index", "column_index", "part", "period_start", "period_end", "x0", "y0", "x1", "y1"]
@@ -141,10 +147,10 @@ def _padded(x: int, y: int) -> dict[str, Column]:
 
 
 def _ink(points: DataFrame, regions: DataFrame, keys: list[str], least: int, image: str, margin_x: int = 3) -> DataFrame:
-    """The regions whose inner part, 3 points off its edges, holds at least so many dark points."""
+    """The regions, which are used several times (hand in ``kept`` ones), whose inner part, 3 points off its edges, holds at least so many dark points."""
     inner = regions.select(image, *keys, (F.col("x0") + margin_x).alias("x0"), (F.col("x1") - margin_x).alias("x1"), (F.col("y0") + 3).alias("y0"), (F.col("y1") - 3).alias("y1"))
     dark = points.where(F.col("grey") < INK_GREY).select(image, "x", "y", F.lit(1).alias("dark"))
-    return regions.join(region_sums(dark, inner, keys, image).where(F.col("dark") >= least).select(image, *keys), [image, *keys])
+    return few(regions, region_sums(dark, inner, keys, image).where(F.col("dark") >= least).select(image, *keys), [image, *keys])
 
 
 def main_targets(points: DataFrame, sizes: DataFrame, grids: DataFrame, image: str = "image_id") -> DataFrame:
@@ -159,25 +165,26 @@ def main_targets(points: DataFrame, sizes: DataFrame, grids: DataFrame, image: s
 
     # lines of a day's column: its places are looked up by equality
     dark = points.where(F.col("grey") < LINE_GREY).select(image, "x", "y")
-    of_day = dark.join(columns.select(image, "day", "header_bottom", "main_bottom", F.explode(F.expr("sequence(x0, x1)")).alias("x"), (F.col("x1")).alias("x1")), [image, "x"]).where("y between header_bottom and main_bottom")
+    of_day = few(dark, columns.select(image, "day", "header_bottom", "main_bottom", F.explode(F.expr("sequence(x0, x1)")).alias("x"), (F.col("x1")).alias("x1")), [image, "x"]).where("y between header_bottom and main_bottom")
     ruled = _lines(of_day.where("x < x1"), [image, "day"], "y", columns.select(image, "day", (F.col("x1") - F.col("x0")).alias("w")), F.col("w") * CELL_SHARE, "ys")
-    cuts = columns.join(ruled, [image, "day"], "left").withColumn("ys", F.array_sort(F.array_distinct(F.concat(F.coalesce("ys", F.array().cast("array<int>")), F.array(F.element_at("bounds", 1), F.element_at("bounds", -1))))))
+    cuts = few(columns, ruled, [image, "day"], "left").withColumn("ys", F.array_sort(F.array_distinct(F.concat(F.coalesce("ys", F.array().cast("array<int>")), F.array(F.element_at("bounds", 1), F.element_at("bounds", -1))))))
     cells = cuts.select(image, "day", "bounds", "x0", "x1", F.explode(F.expr("zip_with(slice(ys, 1, size(ys) - 1), slice(ys, 2, size(ys) - 1), (a, b) -> struct(a as y0, b as y1))")).alias("c")).select(image, "day", "bounds", "x0", "x1", "c.*").where(F.col("y1") - F.col("y0") >= CELL_HEIGHT)
-    cells = cells.withColumn("row", F.col("y0"))
+    cells = kept(cells.withColumn("row", F.col("y0")))
     over = F.expr(f"filter(sequence(1, {PERIODS}), p -> greatest(y0, get(bounds, p - 1)) < least(y1, get(bounds, p)) - 3)")
     cells = kept(_ink(points, cells, ["day", "row"], CELL_INK, image).withColumn("over", over).where("size(over) > 0"))  # few, and used five times below
 
     # vertical lines within a cell
     rows = cells.select(image, "day", "row", F.explode(F.expr("sequence(y0, y1)")).alias("y"), (F.col("y1") - F.col("y0") + 1).alias("tall"), F.col("x0").alias("left"))
-    within = of_day.select(image, "day", "x", "y").join(rows, [image, "day", "y"]).select(image, "day", "row", (F.col("x") - F.col("left")).alias("x"), "tall")
+    within = few(of_day.select(image, "day", "x", "y"), rows, [image, "day", "y"]).select(image, "day", "row", (F.col("x") - F.col("left")).alias("x"), "tall")
     split = _lines(within, [image, "day", "row"], "x", cells.select(image, "day", "row", (F.col("y1") - F.col("y0") + 1).alias("tall")), F.col("tall") * SPLIT_SHARE, "xs")
     wide = F.col("x1") - F.col("x0")
-    parts = cells.join(split, [image, "day", "row"], "left").withColumn("w", wide).withColumn("xs", F.concat(F.array(F.lit(0)), F.coalesce(F.filter("xs", lambda x: (x > PART_EDGE) & (x < F.col("w") - PART_EDGE)), F.array().cast("array<int>")), F.array("w")))
+    parts = few(cells, split, [image, "day", "row"], "left").withColumn("w", wide).withColumn("xs", F.concat(F.array(F.lit(0)), F.coalesce(F.filter("xs", lambda x: (x > PART_EDGE) & (x < F.col("w") - PART_EDGE)), F.array().cast("array<int>")), F.array("w")))
     parts = parts.select(image, "day", "row", "over", "x0", "y0", "y1", F.posexplode(F.expr("zip_with(slice(xs, 1, size(xs) - 1), slice(xs, 2, size(xs) - 1), (a, b) -> struct(a, b))")).alias("at", "p")).select(image, "day", "row", "over", "y0", "y1", (F.col("at") + 1).alias("part"), (F.col("x0") + F.col("p.b")).alias("x1"), (F.col("x0") + F.col("p.a")).alias("x0")).where(F.col("x1") - F.col("x0") >= PART_WIDTH)
-    parts = _ink(points, parts, ["day", "row", "part"], PART_INK, image).join(sizes, image)
-    found = _targets(parts, image, "cell", column_index=F.col("day"), part=F.col("part"), period_start=F.array_min("over"), period_end=F.array_max("over"), **_padded(4, 4))
+    parts = _ink(points, kept(parts), ["day", "row", "part"], PART_INK, image)
+    found = _targets(few(parts, sizes, image), image, "cell", column_index=F.col("day"), part=F.col("part"), period_start=F.array_min("over"), period_end=F.array_max("over"), **_padded(4, 4))
 
-    lower = _lines(dark, [image], "y", sizes, F.col("width") * FULL_SHARE, "whole").join(grids, image).select(image, F.expr("filter(whole, l -> l > main_bottom)").alias("low")).where("size(low) >= 7").join(sizes, image)
+    lower = _lines(dark, [image], "y", sizes, F.col("width") * FULL_SHARE, "whole")
+    lower = few(few(lower, grids, image).select(image, F.expr("filter(whole, l -> l > main_bottom)").alias("low")).where("size(low) >= 7"), sizes, image)
     lower = lower.select(image, "width", F.posexplode(F.expr("filter(zip_with(slice(low, 3, 5), slice(low, 4, 5), (a, b) -> struct(a, b)), p -> p.b is not null)")).alias("at", "p"))
     details = _targets(lower, image, "courseDetailRow", row_index=F.col("at") + 1, x0=F.lit(0), x1=F.col("width"), y0=F.col("p.a") + 2, y1=F.col("p.b") - 2)
     return heads.unionByName(found).unionByName(details)
@@ -189,13 +196,14 @@ def exam_targets(points: DataFrame, sizes: DataFrame, image: str = "image_id") -
     Rows lie between lines across over half of the width, from the second on; columns between lines that cross nearly half of the table. Rows and cells of some size and with some ink
     are taken; a cell's row and column count all those between lines. Give the points of images without a grid.
     """
-    ruled = _lines(points.where(F.col("grey") < LINE_GREY), [image], "y", sizes, F.col("width") * EXAM_SHARE, "ys").where("size(ys) >= 4").join(sizes, image)
-    table = ruled.select(image, "ys", "width", "height", F.greatest(F.lit(0), F.get("ys", F.lit(0)) - 3).alias("top"), F.least(F.col("height"), F.element_at("ys", -1) + 3).alias("bottom"))
-    body = points.where(F.col("grey") < INK_GREY).join(table, image).where("y >= top and y < bottom").select(image, "x", "y")
+    ruled = _lines(points.where(F.col("grey") < LINE_GREY), [image], "y", sizes, F.col("width") * EXAM_SHARE, "ys").where("size(ys) >= 4")
+    table = few(ruled, sizes, image).select(image, "ys", "width", "height", F.greatest(F.lit(0), F.get("ys", F.lit(0)) - 3).alias("top"), F.least(F.col("height"), F.element_at("ys", -1) + 3).alias("bottom"))
+    table = kept(table)
+    body = few(points.where(F.col("grey") < INK_GREY), table, image).where("y >= top and y < bottom").select(image, "x", "y")
     across = _lines(body, [image], "x", table, (F.col("bottom") - F.col("top")) * EXAM_COLUMN_SHARE, "xs").where("size(xs) >= 5")
-    rows = table.join(across, image).select(image, "width", "height", "xs", F.greatest(F.lit(0), F.get("xs", F.lit(0)) - 4).alias("x0"), F.least(F.col("width"), F.element_at("xs", -1) + 4).alias("x1"), F.posexplode(F.expr("zip_with(slice(ys, 2, size(ys) - 2), slice(ys, 3, size(ys) - 2), (a, b) -> struct(a, b))")).alias("at", "p"))
+    rows = few(table, across, image).select(image, "width", "height", "xs", F.greatest(F.lit(0), F.get("xs", F.lit(0)) - 4).alias("x0"), F.least(F.col("width"), F.element_at("xs", -1) + 4).alias("x1"), F.posexplode(F.expr("zip_with(slice(ys, 2, size(ys) - 2), slice(ys, 3, size(ys) - 2), (a, b) -> struct(a, b))")).alias("at", "p"))
     rows = rows.select(image, "width", "height", "xs", "x0", "x1", (F.col("at") + 1).alias("row"), F.col("p.a").alias("y0"), F.col("p.b").alias("y1")).where(F.col("y1") - F.col("y0") >= EXAM_SIZE)
-    rows = _ink(points, rows, ["row"], EXAM_ROW_INK, image, margin_x=0)
+    rows = kept(_ink(points, kept(rows), ["row"], EXAM_ROW_INK, image, margin_x=0))
     cells = rows.select(image, "width", "height", "row", "y0", "y1", F.posexplode(F.expr("zip_with(slice(xs, 1, size(xs) - 1), slice(xs, 2, size(xs) - 1), (a, b) -> struct(a, b))")).alias("at", "p"))
     cells = cells.select(image, "width", "height", "row", "y0", "y1", (F.col("at") + 1).alias("column"), F.col("p.a").alias("x0"), F.col("p.b").alias("x1")).where(F.col("x1") - F.col("x0") >= EXAM_SIZE)
     cells = _ink(points, cells, ["row", "column"], EXAM_CELL_INK, image)

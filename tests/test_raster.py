@@ -7,7 +7,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from chronofold.operators import geometry, ocr, raster
+import chronofold.plans.raster
+from chronofold import plans
+from chronofold.operators import cells, geometry, ocr, raster
 
 
 def test_region_sums_equal_counting(spark):
@@ -66,3 +68,19 @@ def test_a_page_of_very_many_lines(spark):
     # heights are 1.5 apart, so a line holds three of them
     assert got.where("page = 'long'").groupBy("line_no").count().where("count <> 3").count() == 1
     assert got.where("page = 'long'").agg(F.max("line_no")).first()[0] == -(-n // 3)
+
+
+def test_points_are_never_broadcast(spark):
+    """Points are many more than the rows they are made from, whatever their estimated size."""
+    points = spark.range(2).select(F.col("id").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(30))).alias("x")).select("image_id", "x", F.explode(F.sequence(F.lit(0), F.lit(30))).alias("y"), F.lit(0).alias("grey"), F.lit(1).alias("dark"))
+    sizes = spark.range(2).select(F.col("id").alias("image_id"), F.lit(31).alias("width"), F.lit(31).alias("height"))
+    boxes = raster.table_boxes(points, sizes)
+    for df in (boxes, raster.cropped(points, boxes)[0], raster.main_grids(points, sizes), raster.exam_targets(points, sizes), cells.detected_grids(points, sizes)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_drawn_points_of_an_image_stay_in_one_partition(spark, sf_dir):
+    """Counting the points of images by row or by column shuffles none of them."""
+    points = plans.raster._drawn(spark, sf_dir, plans.raster.SMALL)
+    plan = points.groupBy("image_id", "y").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("Generate")[0] and points.groupBy("image_id", "x", "y").count().where("count > 1").isEmpty()
