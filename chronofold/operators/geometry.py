@@ -1,7 +1,7 @@
 """Relational work over positioned text, table headers, pixels and intervals.
 
 Nearest-neighbour and as-of steps are written so that no join emits all pairs of a page: headers are few per page and
-are compared as one array per page; as-of steps are windows or sorted arrays keyed by page and axis.
+are compared as one array per page; as-of steps are windows or sorted arrays keyed by page and axis. Joins by page are never left to a broadcast: both sides grow with the pages.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ def nearest_header(items: DataFrame, headers: DataFrame, page: str, limit: float
     """Each item's header with the least |dx| up to ``limit``; ties go to the lower ``seq``; null without one. headers: page, seq, label, hx."""
     per_page = headers.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("seq", "label", "hx"))).alias("hs"))
     near = F.array_min(F.transform(F.filter("hs", lambda h: F.abs(h["hx"] - F.col("x")) <= limit), lambda h: F.struct(F.abs(h["hx"] - F.col("x")).alias("dx"), h["seq"].alias("seq"), h["label"].alias("label"))))
-    return items.join(per_page, page, "left").withColumn("header", near["label"]).drop("hs")
+    return items.join(per_page.hint("merge"), page, "left").withColumn("header", near["label"]).drop("hs")
 
 
 def attach_details(titles: DataFrame, details: DataFrame, page: str, tolerance: float = 2.0, order: str = "y") -> DataFrame:
@@ -31,7 +31,7 @@ def attach_details(titles: DataFrame, details: DataFrame, page: str, tolerance:
     t = titles.select(page, F.col("x").alias("tx"), "y", "title_id").groupBy(page, "tx", "y").agg(F.min("title_id").alias("title_id"))
     xs = t.select(page, "tx").distinct().withColumn("cell", F.explode(F.array(cell(F.col("tx")) - 1, cell(F.col("tx")), cell(F.col("tx")) + 1)))
     # a detail asks each near column of titles (its distinct x) once, and gets that column's lowest title above it
-    asked = details.select(page, "seq", "text", "x", "y").withColumn("cell", cell(F.col("x"))).join(xs, [page, "cell"]).where(F.abs(F.col("tx") - F.col("x")) < tolerance)
+    asked = details.select(page, "seq", "text", "x", "y").withColumn("cell", cell(F.col("x"))).join(xs.hint("merge"), [page, "cell"]).where(F.abs(F.col("tx") - F.col("x")) < tolerance)
     one = t.select(page, "tx", "y", F.lit(1).alias("kind"), F.lit(None).cast("struct<seq:bigint,text:string>").alias("d"), F.struct(F.col("y").alias("ty"), "title_id").alias("t"))
     two = asked.select(page, "tx", "y", F.lit(0).alias("kind"), F.struct(F.col("seq").cast("long").alias("seq"), "text").alias("d"), F.lit(None).cast(one.schema["t"].dataType).alias("t"))
     w = Window.partitionBy(page, "tx").orderBy(F.desc("y"), "kind").rowsBetween(Window.unboundedPreceding, 0)

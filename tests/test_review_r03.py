@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronofold.operators import ocr
+from chronofold.operators import ocr, pages
 from chronofold.plans import tables
 
 
@@ -20,3 +20,11 @@ def test_scores_that_differ_by_rounding_are_equal(spark):
     rows = spark.createDataFrame([(1, 1, "full", False, "a", 0.0), (1, 2, "full", False, "b", 0.0)], "image_id int, seq int, kind string, sparse boolean, text string, confidence double")
     score = lambda c: F.when(c == "a", F.lit(0.3)).otherwise(F.lit(0.1) + F.lit(0.2))
     assert ocr.chosen_readings(rows, score).first()["text"] == "a"
+
+
+def test_documents_are_never_broadcast(spark):
+    """Texts of documents are longer than the rows they are made from, whatever their estimated size."""
+    items = spark.createDataFrame([(1, 1, "课表", 0.0, 1.0)], "doc_id long, seq int, text string, x double, y double")
+    cells = spark.createDataFrame([(1, 1, 1, "星期一")], "doc_id long, row_index int, column_index int, text string")
+    for df in (pages.page_schedules(items), pages.table_lines(cells), pages.document_texts(items, cells)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
