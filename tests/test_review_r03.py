@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronofold.operators import ocr, pages
+from chronofold.functions import extract
+from chronofold.operators import events, ocr, pages, store, templates
 from chronofold.plans import tables
 
 
@@ -28,3 +29,33 @@ def test_documents_are_never_broadcast(spark):
     cells = spark.createDataFrame([(1, 1, 1, "星期一")], "doc_id long, row_index int, column_index int, text string")
     for df in (pages.page_schedules(items), pages.table_lines(cells), pages.document_texts(items, cells)):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def _patterns(df) -> int:
+    """How many regular expressions the plan of a frame holds."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("regexp_") + plan.count("RLIKE")
+
+
+def test_fields_search_each_pattern_once(spark):
+    """Steps of a field do not repeat the steps below them."""
+    line = spark.createDataFrame([("周一 8:00-9:40 考试", )], "c string")
+    limits = {extract.time_of: 20, extract.week_rule: 8, extract.period_range: 10, extract.looks_like_exam_table: 10, templates.period_of: 24}
+    spark.conf.set("spark.sql.maxPlanStringLength", 10_000_000)
+    spark.conf.set("spark.sql.debug.maxToStringFields", 10_000)
+    assert {f.__name__: n for f, most in limits.items() if (n := _patterns(line.select(f(F.col("c")).alias("x")))) > most} == {}
+
+
+def test_texts_are_dealt_to_all_tasks(spark):
+    """One small file of texts is not worked through by one task, and small bytes do not bring the tasks together again."""
+    few = spark.range(8).coalesce(1).select(F.col("id").alias("doc_id"), F.lit("周一 1-2节 数学 1-16周").alias("text"))
+    assert events.course_lines(few).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert events.recognize(few, F.lit("2026-06-15").cast("date")).where("title = '数学' and type = 'COURSE'").count() == 8
+
+
+def test_replay_has_no_frame_to_the_end(spark):
+    """A frame up to its partition's end is summed anew for each row: the square of an id's actions."""
+    log = spark.createDataFrame([(1, 1, 0, "append", "a", "x", ["t"]), (1, 2, 0, "update", "a", "y", ["t"]), (1, 3, 0, "update", "a", "z", ["t"]), (1, 4, 0, "append", "a", "w", ["t"])], "store_id int, seq long, pos int, action string, id string, t string, present array<string>")
+    out = store.replayed(log, ["t"])
+    assert "1, unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sorted((r.seq, r.t, r.user_edited) for r in out.collect()) == [(1, "z", True), (4, "w", False)]
