@@ -71,9 +71,10 @@ def replayed(log: DataFrame, fields: list[str], store: str = "store_id", key: st
     marks = log.groupBy(store).agg(F.max(F.when(F.col("action").isin("set", "reset"), F.col("seq"))).alias("__since"), F.max(F.when(F.col("action").isin("select_all", "clear"), F.struct("seq", "action"))).alias("__all"))
     rows = log.join(marks, store).where(F.col(key).isNotNull() & (F.col("__since").isNull() | (F.col("seq") >= F.col("__since"))))
     own = Window.partitionBy(store, key)
-    later = own.orderBy("seq").rangeBetween(1, Window.unboundedFollowing)
+    # what follows a row, from the log's end on: such a frame grows row by row, while one that ends with its partition is summed anew for each row
+    later = own.orderBy(F.desc("seq")).rangeBetween(Window.unboundedPreceding, -1)
     is_update = F.col("action") == "update"
-    new = {f: F.last(F.when(is_update & F.array_contains("present", f), F.struct(F.col(f).alias("v"))), ignorenulls=True).over(later) for f in fields}
+    new = {f: F.first(F.when(is_update & F.array_contains("present", f), F.struct(F.col(f).alias("v"))), ignorenulls=True).over(later) for f in fields}
     rows = rows.select("*", *[c.alias(f"__{f}") for f, c in new.items()], F.max(F.when(F.col("action") == "remove", F.col("seq"))).over(own).alias("__gone"), F.max(F.when(fixes, F.struct("seq", inserts.alias("there")))).over(own).alias("__fixed"),
                        F.coalesce(F.max(is_update).over(later), F.lit(False)).alias("__edited"))
     all_last = F.coalesce(F.col("__all.seq") > F.col("__fixed.seq"), F.lit(False))
