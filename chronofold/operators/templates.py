@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronofold import schema
 from chronofold.functions import text as N
-from chronofold.operators.events import numbered
+from chronofold.operators.events import numbered, once, spread
 
 _CLOCK = "[0-9]{1,2}:[0-9]{2}"
 _NUMBER = "[一二三四五六七八九十]{1,2}|[0-9]{1,2}"
@@ -16,13 +16,16 @@ _HEAD = "节次|上课时间|下课时间|开始时间|结束时间"
 
 def period_of(line: Column) -> Column:
     """struct(number, start, end) of one line, number first or times first; null for anything else."""
-    n = N.schedule_line(line)
     by_number = rf"(?:第{N.WS}*)?({_NUMBER}){N.WS}*[节课]?[^0-9]+({_CLOCK})[^0-9]+({_CLOCK})"
     by_time = rf"({_CLOCK}){N.WS}*{N.DASH}{N.WS}*({_CLOCK})[^0-9]+(?:第{N.WS}*)?({_NUMBER}){N.WS}*[节课]?"
-    number = lambda p, g: N.number(F.regexp_replace(F.regexp_extract(n, p, g), "[第节课]", ""), 15)
-    pick = lambda p, a, b, c: F.struct(number(p, a).alias("number"), N.padded_time(F.regexp_extract(n, p, b)).alias("start"), N.padded_time(F.regexp_extract(n, p, c)).alias("end"))
-    out = F.when(n.rlike(_HEAD) & ~n.rlike(_CLOCK), None).when(n.rlike(by_number), pick(by_number, 1, 2, 3)).when(n.rlike(by_time), pick(by_time, 3, 1, 2))
-    return F.when(out["number"] > 0, out)
+
+    def pick(n: Column, p: str, a: int, b: int, c: int) -> Column:
+        # searched once; what was found is taken apart
+        part = lambda m: F.struct(N.number(F.regexp_replace(F.regexp_extract(m, p, a), "[第节课]", ""), 15).alias("number"), N.padded_time(F.regexp_extract(m, p, b)).alias("start"), N.padded_time(F.regexp_extract(m, p, c)).alias("end"))
+        return N.let(N.found(n, p, 0), lambda m: F.when(m.isNotNull(), part(m)))
+
+    out = N.let(N.schedule_line(line), lambda n: F.when(n.rlike(_HEAD) & ~n.rlike(_CLOCK), None).otherwise(F.coalesce(pick(n, by_number, 1, 2, 3), pick(n, by_time, 3, 1, 2))))
+    return N.let(out, lambda x: F.when(x["number"] > 0, x))
 
 
 def period_label(number: Column) -> Column:
@@ -32,7 +35,7 @@ def period_label(number: Column) -> Column:
 
 def parse_schedule(df: DataFrame, text_col: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(periods, warnings). The first line that defines a period number counts; lines that are neither periods nor headings are warned about by number."""
-    rows = numbered(df, N.pieces(N.trim(F.col(text_col)), "[\n\r；;]"), [key]).withColumn("p", period_of(F.col("line")))
+    rows = once(numbered(spread(df, key), N.pieces(N.trim(F.col(text_col)), "[\n\r；;]"), [key]), p=period_of(F.col("line")))
     good = rows.where("p is not null").groupBy(key, F.col("p.number").alias("period_number")).agg(F.min_by("p", "line_no").alias("p"))
     periods = good.select(key, "period_number", F.col("p.start").alias("start_time"), F.col("p.end").alias("end_time"), period_label(F.col("period_number")).alias("label"))
     bad = rows.where(F.col("p").isNull() & ~F.col("line").rlike(_HEAD))
