@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from chronofold.functions import cells as X
 from chronofold.functions.names import split_names_column
-from chronofold.functions.text import compact_cell, compact_exam_row, found, trim
-from chronofold.operators.events import once
+from chronofold.functions.text import compact_cell, compact_exam_row, found, let, trim
+from chronofold.operators.events import once, spread
 from chronofold.operators.geometry import islands, longest_run
 from chronofold.operators.ocr import pattern_matches
 from chronofold.operators.raster import few, region_sums, widest_rows
@@ -30,7 +30,7 @@ def with_days(cells: DataFrame, image: str = "image_id") -> DataFrame:
 
 def main_courses(cells: DataFrame, image: str = "image_id") -> DataFrame:
     """The courses of timetable cells: image, seq and FIELDS."""
-    rows = once(with_days(cells.where("kind in ('cell', 'weekdayHeader')"), image).where("kind = 'cell'").select(image, "seq", "day", "text"), c=X.timetable_cell(F.col("text"), F.col("day"))).where("c is not null")
+    rows = once(spread(with_days(cells.where("kind in ('cell', 'weekdayHeader')"), image).where("kind = 'cell'").select(image, "seq", "day", "text"), image, "seq"), c=X.timetable_cell(F.col("text"), F.col("day"))).where("c is not null")
     rows = rows.select(image, "seq", "c.*").withColumn("teacher", X.filled(split_names_column(F.col("teacher_text"))))
     return rows.select(image, "seq", *FIELDS)
 
@@ -60,7 +60,7 @@ def _joined(kind: Column, order: Column, text: Column) -> Column:
 
 def course_lines(cells: DataFrame, rules: list[tuple[str, str]] = X.NO_RULES, image: str = "image_id") -> DataFrame:
     """(image, part, seq, line): lines of the main cells (part 0), of detail rows (1), and for images without either of other cells with a slot (2)."""
-    main = main_courses(cells, image)
+    main = kept(main_courses(cells, image))
     lines = main.withColumn("part", F.lit(0)).unionByName(corroborated(detail_courses(cells, image), main, image).withColumn("part", F.lit(1)))
     lines = lines.select(image, "part", "seq", X.structured_line(*[F.col(c) for c in ("day_of_week", "period_start", "period_end", "name", "teacher", "place", "weeks")]).alias("line"))
     slot = [F.col(c) for c in ("day_of_week", "period_start", "period_end")]
@@ -84,7 +84,7 @@ def exam_lines(cells: DataFrame, image: str = "image_id") -> DataFrame:
     whole = some.where("kind = 'examRow'").select(image, "seq", F.col("row_index").alias("row"), compact_exam_row(text).alias("whole"))
     by_index = whole.where("row is not null").groupBy(image, "row").agg(F.max_by("whole", "seq").alias("of_index"))
     by_rank = whole.select(image, F.row_number().over(Window.partitionBy(image).orderBy("seq")).alias("rank"), F.col("whole").alias("of_rank"))
-    full = some.where("kind = 'full'").groupBy(image).agg(_joined(F.lit(True), F.col("seq"), compact_cell(text)).alias("full_text"))
+    full = once(some.where("kind = 'full'").select(image, "seq", "text"), t=compact_cell(text)).groupBy(image).agg(_joined(F.lit(True), F.col("seq"), F.col("t")).alias("full_text"))
     rows = rows.join(by_index.withColumnRenamed("row", "row_index"), [image, "row_index"], "left").join(by_rank, [image, "rank"], "left").join(full, image, "left")
     line = X.exam_line(*[F.col(c) for c in names.values()], F.coalesce("of_index", "of_rank"), F.col("full_text"))
     return once(rows, line=line).select(image, "row_index", "line")
@@ -93,7 +93,8 @@ def exam_lines(cells: DataFrame, image: str = "image_id") -> DataFrame:
 def image_texts(cells: DataFrame, rules: list[tuple[str, str]] = X.NO_RULES, image: str = "image_id") -> DataFrame:
     """(image, text): exam cells, else exam rows, else three course lines or more, else the full text, else any course lines; empty without any."""
     text = F.coalesce("text", F.lit(""))
-    own = cells.groupBy(image).agg(_joined((F.col("kind") == "examRow") & (trim(text) != ""), F.col("seq"), compact_exam_row(text)).alias("rows"), _joined((F.col("kind") == "full") & (trim(text) != ""), F.col("seq"), compact_cell(text)).alias("full_text"))
+    made = once(cells.select(image, "seq", "kind", "text"), t=F.when(F.col("kind") == "examRow", compact_exam_row(text)).when(F.col("kind") == "full", compact_cell(text)))
+    own = made.groupBy(image).agg(*[_joined(F.col("kind") == kind, F.col("seq"), F.col("t")).alias(name) for kind, name in (("examRow", "rows"), ("full", "full_text"))])
     exams = exam_lines(cells, image).groupBy(image).agg(_joined(F.lit(True), F.col("row_index"), F.col("line")).alias("exams"))
     lines = course_lines(cells, rules, image).groupBy(image).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "seq", "line"))), lambda r: r["line"]), "\n").alias("lines"))
     every = own.join(exams, image, "left").join(lines, image, "left")
@@ -125,16 +126,20 @@ def detail_lines(text: Column) -> Column:
     pieces = F.split(F.regexp_replace(flat, rf"(?<![0-9])([0-9]{{6,12}}{X.WS})", "\u0001$1"), "\u0001")
 
     def line(row: Column) -> Column:
-        when = lambda g: F.regexp_extract(row, schedule, g)
+        # the schedule is searched once; what was found is taken apart
+        return let(found(row, schedule, 0), lambda m: F.when(m.isNotNull(), let(F.struct(*[F.regexp_extract(m, schedule, g).alias(f"g{g}") for g in (1, 2, 3, 4)], name_of(row).alias("name")), lambda x: written(row, x))))
+
+    def name_of(row: Column) -> Column:
         prefix = F.regexp_replace(row, rf"\A[0-9]{{6,12}}{X.WS}*", "")
-        name = trim(F.regexp_replace(F.split(prefix, "(?:日历|大纲)", 2)[0], rf"\A(?:[:：|]|{X.WS})+|(?:[:：|]|{X.WS})+\z", ""))
+        return trim(F.regexp_replace(F.split(prefix, "(?:日历|大纲)", 2)[0], rf"\A(?:[:：|]|{X.WS})+|(?:[:：|]|{X.WS})+\z", ""))
+
+    def written(row: Column, x: Column) -> Column:
         after = F.try_element_at(F.split(row, schedule, 2), F.lit(2))
         place = found(after, rf"{X.WS}+([^\n]+?)(?={X.WS}+[0-9]{{6,12}}(?![0-9A-Za-z_])|\z)")
         place = F.regexp_replace(X.bare(F.regexp_replace(F.split(place, "(?:课程号|课序号|课程名|实习安排)", 2)[0], ">>", "")), r"[+|]+\z", "")
-        return F.when(row.rlike(schedule) & (name != "") & ~name.rlike(r"\A(?:课程号|课序号|课程名)\z"),
-                      F.concat_ws(" ", F.concat(F.lit("周"), when(2)), F.concat(when(3), F.lit("-"), when(4), F.lit("节")), name, X.filled(place), X.bare(when(1))))
+        return F.when((x["name"] != "") & ~x["name"].rlike(r"\A(?:课程号|课序号|课程名)\z"), F.concat_ws(" ", F.concat(F.lit("周"), x["g2"]), F.concat(x["g3"], F.lit("-"), x["g4"], F.lit("节")), x["name"], X.filled(place), X.bare(x["g1"])))
 
-    return F.filter(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), line), lambda x: x.isNotNull())
+    return let(pieces, lambda p: F.filter(F.transform(F.slice(p, F.lit(2), F.size(p)), line), lambda x: x.isNotNull()))
 
 
 # fixed values: the least shares and counts by which a timetable's grid is found, and the weekdays of its columns

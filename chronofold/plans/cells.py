@@ -109,7 +109,8 @@ def browser_cell_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detail_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     text = _say("课程号 ", k + 1000000, " 操作系统 日历 大纲 第 ", k % 9 + 1, " - 16 周 单周 >> 星期三 >>", k % 9 + 1, "-12节 江安 综合楼B2+ ", k + 2000000, F.when(k % 2 == 0, " 课程号 日历").otherwise(" ：离散|大纲"), " 2-4周>>星期日>>1至2节 ", k + 3000000, " 物理")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(K.detail_lines(text)).alias("n", "line"))
+    made = E.once(E.spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey"), lines=K.detail_lines(text))
+    return made.select("o_orderkey", F.posexplode("lines").alias("n", "line"))
 
 
 def cleaned_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
