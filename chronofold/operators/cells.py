@@ -87,7 +87,7 @@ def exam_lines(cells: DataFrame, image: str = "image_id") -> DataFrame:
     full = once(some.where("kind = 'full'").select(image, "seq", "text"), t=compact_cell(text)).groupBy(image).agg(_joined(F.lit(True), F.col("seq"), F.col("t")).alias("full_text"))
     rows = rows.join(by_index.withColumnRenamed("row", "row_index"), [image, "row_index"], "left").join(by_rank, [image, "rank"], "left").join(full, image, "left")
     line = X.exam_line(*[F.col(c) for c in names.values()], F.coalesce("of_index", "of_rank"), F.col("full_text"))
-    return once(rows, line=line).select(image, "row_index", "line")
+    return once(spread(rows, image), line=line).select(image, "row_index", "line")
 
 
 def image_texts(cells: DataFrame, rules: list[tuple[str, str]] = X.NO_RULES, image: str = "image_id") -> DataFrame:
