@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chronofold.functions import cells as cell_functions
 from chronofold.functions import extract
 from chronofold.operators import cells as image_cells
-from chronofold.operators import events, ocr, pages, store, templates
+from chronofold.operators import events, ocr, pages, ruled, store, templates
 from chronofold.plans import tables
 
 
@@ -71,3 +71,18 @@ def test_cells_search_each_pattern_once(spark):
     found = {"exam_line": _patterns(row.select(cell_functions.exam_line(c, c, c, c, c, c, c).alias("x"))), "timetable_cell": _patterns(row.select(cell_functions.timetable_cell(c, F.lit(1)).alias("x"))), "detail_lines": _patterns(row.select(image_cells.detail_lines(c).alias("x")))}
     most = {"exam_line": 220, "timetable_cell": 60, "detail_lines": 50}
     assert {k: n for k, n in found.items() if n > most[k]} == {}
+
+
+def _exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_rules_are_shuffled_once_by_page(spark):
+    """Rules are worked on by page; places that come often and pieces that come twice count once."""
+    level = [(0.0, 9.0, 31.0), (0.0, 9.0, 31.0), (33.0, 9.0, 100.0), (0.0, 10.0, 100.0), (0.0, 40.0, 30.0), (0.0, 90.0, 100.0)]
+    rows = [(1, x, 0.0, x, 95.0) for x in (0.0, 50.0, 50.0, 52.0, 100.0)] + [(1, a, y, b, y) for a, y, b in level]
+    rules = spark.createDataFrame(rows, "page long, x0 double, y0 double, x1 double, y1 double")
+    columns, bounds = ruled.column_bounds(rules, ["page"])
+    assert _exchanges(columns) == 1 and _exchanges(bounds) == 2  # upright and level rules by page
+    assert columns.first()["xs"] == [0.0, 51.0, 100.0]
+    assert {r.column_index: [tuple(b) for b in r.bounds] for r in bounds.collect()} == {0: [(9.5, 0), (90.0, 2)], 1: [(9.5, 0), (90.0, 2)]}
