@@ -148,7 +148,7 @@ def _table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = lambda r, c, text: F.struct(F.lit(r).alias("row_index"), F.lit(c).alias("column_index"), (text if isinstance(text, Column) else F.lit(text)).alias("text"))
     cells = [cell(0, 0, "课表"), cell(1, 0, "节次"), cell(1, 1, "星 期 二"), cell(1, 2, F.when(k % 2 == 0, "星期五").otherwise("备注")), cell(2, 0, "▲(1-2节)/"),
              cell(2, 1, _say("前言\n高 数▲\n(", k % 9 + 1, "-10节)1-8周(双)/\n场地:A", k % 50, "/教师:甲\n\n物理 ▲\n(3-4节)")), cell(3, 2, "化学▲\n(5-6节)9周/"), cell(3, 1, F.lit(None).cast("string"))]
-    return table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.explode(F.array(*cells)).alias("c")).select("doc_id", "c.*")
+    return E.spread(table(spark, sf_dir, "customer").select(k.alias("doc_id"), "c_custkey"), "doc_id").select("doc_id", F.explode(F.array(*cells)).alias("c")).select("doc_id", "c.*")
 
 
 def table_entries(spark: SparkSession, sf_dir: str) -> DataFrame:

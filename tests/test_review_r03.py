@@ -86,3 +86,12 @@ def test_rules_are_shuffled_once_by_page(spark):
     assert _exchanges(columns) == 1 and _exchanges(bounds) == 2  # upright and level rules by page
     assert columns.first()["xs"] == [0.0, 51.0, 100.0]
     assert {r.column_index: [tuple(b) for b in r.bounds] for r in bounds.collect()} == {0: [(9.5, 0), (90.0, 2)], 1: [(9.5, 0), (90.0, 2)]}
+
+
+def test_entries_of_a_cell_are_cut_where_it_stands(spark):
+    """Only heads and cells with entries are shuffled, and none where documents are dealt already."""
+    text = "before\r\n\r\n 甲▲ \r(1-2节)1-8周/\n 场地:A1\n乙▲\n丙▲\n(3-4节)9周/"
+    cells = spark.createDataFrame([(1, 0, 1, "星期一"), (1, 1, 1, text), (1, 2, 1, "no title"), (1, 3, 1, None), (2, 1, 1, text)], "doc_id long, row_index int, column_index int, text string")
+    dealt, out = pages.table_lines(events.spread(cells, "doc_id")), pages.table_lines(cells)
+    assert set(dealt.collect()) == set(out.collect()) and _exchanges(pages.table_lines(events.spread(cells, "doc_id"))) == 2
+    assert sorted((r.doc_id, r.row_index, r.entry, r.line.split()[1:3]) for r in out.collect()) == [(1, 1, 1, ["1-2节", "甲"]), (1, 1, 3, ["3-4节", "丙"])]
