@@ -24,19 +24,21 @@ def nearest_header(items: DataFrame, headers: DataFrame, page: str, limit: float
 def attach_details(titles: DataFrame, details: DataFrame, page: str, tolerance: float = 2.0, order: str = "y") -> DataFrame:
     """(page, title_id, details): each detail goes to the lowest title above it with |dx| < tolerance; texts from top to bottom (order ``y``) or by ``seq``.
 
-    Titles of one x are a column. A detail asks each column within the tolerance (found by cells of its width) once, and an as-of window from the top
-    down gives the column's lowest title above it, however many titles the column has.
+    Titles of one x are a column. A place of details asks each column within the tolerance (found by cells of its width) once, and an as-of window from the top
+    down gives the column's lowest title above it, however many titles the column has. Details then take the title of their place, so they are not multiplied.
     """
     cell = lambda x: F.floor(x / F.lit(tolerance))
     t = titles.select(page, F.col("x").alias("tx"), "y", "title_id").groupBy(page, "tx", "y").agg(F.min("title_id").alias("title_id"))
     xs = t.select(page, "tx").distinct().withColumn("cell", F.explode(F.array(cell(F.col("tx")) - 1, cell(F.col("tx")), cell(F.col("tx")) + 1)))
-    # a detail asks each near column of titles (its distinct x) once, and gets that column's lowest title above it
-    asked = details.select(page, "seq", "text", "x", "y").withColumn("cell", cell(F.col("x"))).join(xs.hint("merge"), [page, "cell"]).where(F.abs(F.col("tx") - F.col("x")) < tolerance)
-    one = t.select(page, "tx", "y", F.lit(1).alias("kind"), F.lit(None).cast("struct<seq:bigint,text:string>").alias("d"), F.struct(F.col("y").alias("ty"), "title_id").alias("t"))
-    two = asked.select(page, "tx", "y", F.lit(0).alias("kind"), F.struct(F.col("seq").cast("long").alias("seq"), "text").alias("d"), F.lit(None).cast(one.schema["t"].dataType).alias("t"))
+    # a place asks each near column of titles (its distinct x) once, and gets that column's lowest title above it
+    asked = details.select(page, "x", "y").distinct().withColumn("cell", cell(F.col("x"))).join(xs.hint("merge"), [page, "cell"]).where(F.abs(F.col("tx") - F.col("x")) < tolerance)
+    one = t.select(page, "tx", "y", F.lit(1).alias("kind"), F.lit(None).cast(details.schema["x"].dataType).alias("x"), F.struct(F.col("y").alias("ty"), "title_id").alias("t"))
+    two = asked.select(page, "tx", "y", F.lit(0).alias("kind"), "x", F.lit(None).cast(one.schema["t"].dataType).alias("t"))
     w = Window.partitionBy(page, "tx").orderBy(F.desc("y"), "kind").rowsBetween(Window.unboundedPreceding, 0)
     met = one.unionByName(two).withColumn("t", F.last("t", ignorenulls=True).over(w)).where("kind = 0 and t is not null")
-    best = met.groupBy(page, "d.seq", "d.text", "y").agg(F.min("t").alias("t")).select(page, "seq", "text", "y", "t.title_id")
+    near = met.groupBy(page, "x", "y").agg(F.min("t").alias("t"))
+    held = details.select(page, F.col("seq").cast("long").alias("seq"), "text", "x", "y").join(near.hint("merge"), [page, "x", "y"])
+    best = held.groupBy(page, "seq", "text", "y").agg(F.min("t").alias("t")).select(page, "seq", "text", "y", "t.title_id")
     return best.groupBy(page, "title_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("y") if order == "y" else F.lit(0.0)).alias("ny"), "seq", "text"))), lambda s: s["text"]), " ").alias("details"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chronofold.functions import cells as cell_functions
 from chronofold.functions import extract
 from chronofold.operators import cells as image_cells
-from chronofold.operators import events, ocr, pages, ruled, store, templates
+from chronofold.operators import events, geometry, ocr, pages, ruled, store, templates
 from chronofold.plans import tables
 
 
@@ -95,3 +95,12 @@ def test_entries_of_a_cell_are_cut_where_it_stands(spark):
     dealt, out = pages.table_lines(events.spread(cells, "doc_id")), pages.table_lines(cells)
     assert set(dealt.collect()) == set(out.collect()) and _exchanges(pages.table_lines(events.spread(cells, "doc_id"))) == 2
     assert sorted((r.doc_id, r.row_index, r.entry, r.line.split()[1:3]) for r in out.collect()) == [(1, 1, 1, ["1-2节", "甲"]), (1, 1, 3, ["3-4节", "丙"])]
+
+
+def test_details_are_not_multiplied_by_columns(spark):
+    """Five columns of titles near each detail: only places meet them. One text at two places of a height is one detail, of the lower title."""
+    titles = spark.createDataFrame([(1, float(x) / 2, 10.0 + x, f"t{x}") for x in range(5)] + [(1, 1.0, 5.0, "low")], "page int, x double, y double, title_id string")
+    details = spark.createDataFrame([(1, n, f"d{n}", 1.0, 7.0) for n in range(3)] + [(1, 9, "e", 1.0, 2.0), (1, 9, "e", 5.0, 2.0), (1, 8, "out", 1.0, None)], "page int, seq int, text string, x double, y double")
+    out = geometry.attach_details(titles, details, "page")
+    assert " AS d#" not in out._jdf.queryExecution().optimizedPlan().toString()  # texts of details are not carried through the window
+    assert {(r.title_id, r.details) for r in out.collect()} == {("t0", "d0 d1 d2"), ("low", "e")}
