@@ -104,3 +104,14 @@ def test_details_are_not_multiplied_by_columns(spark):
     out = geometry.attach_details(titles, details, "page")
     assert " AS d#" not in out._jdf.queryExecution().optimizedPlan().toString()  # texts of details are not carried through the window
     assert {(r.title_id, r.details) for r in out.collect()} == {("t0", "d0 d1 d2"), ("low", "e")}
+
+
+def test_literals_that_begin_alike_are_kept_apart(spark):
+    """Numbers of one beginning have pieces of their own, and places where no literal begins are left out before pieces are made."""
+    index = spark.createDataFrame([(1, f"程{n}号.*{n % 3}") for n in range(123450, 123470)] + [(1, "程1号.*1"), (2, "程7号")], "d int, alias string")
+    assert index.select(ocr.required_piece(F.col("alias"))).distinct().count() == 22
+    texts = spark.createDataFrame([(1, "第程123456号甲0程123456号"), (1, "第程123457号甲0"), (1, "程1号1"), (2, "程7号"), (1, "程7号"), (1, "")], "d int, t string")
+    want = {(1, "第程123456号甲0程123456号", "程123456号.*0"), (1, "程1号1", "程1号.*1"), (2, "程7号", "程7号")}
+    out = ocr.pattern_matches(texts, index, ["d"], "t", "alias")
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
