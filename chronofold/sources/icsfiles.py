@@ -43,10 +43,11 @@ def _file_system(path: str):
 class CalendarWriter(DataSourceWriter):
     def __init__(self, path: str):
         self.path, self.stage = path.rstrip("/"), f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-
-    def write(self, iterator: Iterator) -> Written:
         system, stage = _file_system(self.stage)
         system.create_dir(stage)
+
+    def write(self, iterator: Iterator) -> Written:
+        system, stage = _file_system(self.stage)  # made by the driver only: a task that outlives an abort finds no folder and makes none
         n = 0
         for name, text in iterator:
             target = f"{stage}/{quote(str(name), safe='')}.ics"
@@ -66,7 +67,8 @@ class CalendarWriter(DataSourceWriter):
     def abort(self, messages: list[Written | None]) -> None:
         system, stage = _file_system(self.stage)
         if system.get_file_info(stage).type.name == "Directory":
-            system.delete_dir(stage)
+            system.move(stage, f"{stage}.aborted")  # tasks that still run can add nothing to it
+            system.delete_dir(f"{stage}.aborted")
 
 
 class CalendarFiles(DataSource):

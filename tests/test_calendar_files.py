@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from chronofold.sources.icsfiles import ExportError, export_calendars
+from chronofold.sources.icsfiles import CalendarWriter, ExportError, export_calendars
 
 
 def test_a_file_for_each_calendar(spark, tmp_path):
@@ -28,3 +28,12 @@ def test_failures_leave_nothing(spark, tmp_path):
     with pytest.raises(ExportError):
         export_calendars(rows, f"{tmp_path}/out")
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.ics", "b.ics"]
+
+
+def test_a_task_that_outlives_an_abort_leaves_nothing(tmp_path):
+    writer = CalendarWriter(f"{tmp_path}/out")
+    writer.write(iter([("a", "x")]))
+    writer.abort([])
+    with pytest.raises(OSError):
+        writer.write(iter([("b", "y")]))
+    assert not list(tmp_path.iterdir())
