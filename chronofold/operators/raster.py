@@ -38,6 +38,17 @@ def few(many: DataFrame, side: DataFrame, on: str | list[str], how: str = "inner
     return many.join(side.hint("shuffle_hash"), on, how)
 
 
+def at_places(many: DataFrame, side: DataFrame, place: str, values: list[str], image: str = "image_id") -> DataFrame:
+    """``many`` with ``values`` of each row of a side of its image and ``place``, a whole number, found in an array over the places of the image's side.
+
+    Only the image is a key of the join, so that of points partitioned by image nothing is shuffled.
+    """
+    held = side.groupBy(image, F.col(place).cast("int").alias("__at")).agg(F.collect_list(F.struct(*values)).alias("__v")).groupBy(image).agg(F.array_sort(F.collect_list(F.struct("__at", "__v"))).alias("__s"))
+    dense = F.expr("flatten(transform(__s, (e, i) -> concat(array_repeat(slice(e.__v, 1, 0), if(i = 0, 0, e.__at - get(__s, i - 1).__at - 1)), array(e.__v))))")
+    at = few(many, held.select(image, F.expr("get(__s, 0).__at").alias("__low"), dense.alias("__v")), image)
+    return at.select(*many.columns, F.explode(F.expr(f"get(__v, cast({place} - __low as int))")).alias("__v")).select(*many.columns, *[F.col(f"__v.{v}").alias(v) for v in values])
+
+
 # ---------------------------------------------------------------- sums over regions
 
 def _strips(cuts: str) -> Column:
@@ -65,8 +76,10 @@ def region_sums(points: DataFrame, regions: DataFrame, keys: list[str], image: s
     cuts = _cuts(_filled(regions), image)
     near = few(points.where("dark > 0"), cuts, image).where("x >= get(xs, 0) and x < element_at(xs, -1) and y >= get(ys, 0) and y < element_at(ys, -1)")
     sums = near.select(image, "dark", F.expr("get(ix, cast(x - get(xs, 0) as int))").alias("i"), F.expr("get(iy, cast(y - get(ys, 0) as int))").alias("j")).groupBy(image, "i", "j").agg(F.sum("dark").alias("n"))
-    grid = cuts.select(image, F.expr("size(xs) - 1").alias("nx"), F.explode(F.expr("sequence(1, size(ys) - 1)")).alias("j")).select(image, "nx", "j", F.explode(F.expr("sequence(1, nx)")).alias("i"))
-    whole = few(grid, sums, [image, "i", "j"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    # pairs of strips without points are added within their image
+    held = few(cuts, sums.groupBy(image).agg(F.collect_list(F.struct("i", "j", "n")).alias("sums")), image, "left")
+    empty = F.expr("flatten(transform(sequence(1, size(ys) - 1), j -> transform(sequence(1, size(xs) - 1), i -> named_struct('i', i, 'j', j, 'n', null))))")
+    whole = held.select(image, F.explode(F.concat(F.coalesce("sums", F.slice(empty, 1, 0)), empty)).alias("c")).groupBy(image, "c.i", "c.j").agg(F.coalesce(F.sum("c.n"), F.lit(0)).alias("n"))
     across, down = Window.partitionBy(image, "j").orderBy("i"), Window.partitionBy(image, "i").orderBy("j")
     running = whole.withColumn("s", F.sum("n").over(across)).withColumn("s", F.sum("s").over(down))
     areas = running.groupBy(image).agg(F.array_sort(F.collect_list(F.struct("j", "i", "s"))).alias("t")).select(image, F.col("t.s").alias("area"))
@@ -88,7 +101,7 @@ def widest_rows(points: DataFrame, regions: DataFrame, keys: list[str], image: s
     rows = rows.groupBy(image, "y").agg(F.collect_list(F.struct("i", "n")).alias("cells"))
     asked = few(_filled(regions), cuts.select(image, "xs"), image).select(image, *keys, F.expr("array_position(xs, cast(x0 as bigint)) - 1").alias("i0"), F.expr("array_position(xs, cast(x1 as bigint)) - 1").alias("i1"), F.explode(F.expr("sequence(y0, y1 - 1)")).alias("y"))
     held = F.expr("aggregate(filter(cells, c -> c.i > i0 and c.i <= i1), 0L, (a, c) -> a + c.n)")
-    return few(rows, asked, [image, "y"]).groupBy(image, *keys).agg(F.max(held).alias("widest")).where("widest > 0")
+    return at_places(rows, asked, "y", [*keys, "i0", "i1"], image).groupBy(image, *keys).agg(F.max(held).alias("widest")).where("widest > 0")
 
 
 # ---------------------------------------------------------------- geometry of scans; points: image, x, y, grey
@@ -106,9 +119,14 @@ def cropped(points: DataFrame, boxes: DataFrame, image: str = "image_id") -> tup
     return inside.select(image, (F.col("x") - F.col("left")).alias("x"), (F.col("y") - F.col("top")).alias("y"), "grey"), boxes.select(image, (F.col("right") - F.col("left")).alias("width"), (F.col("bottom") - F.col("top")).alias("height"))
 
 
-def _lines(points: DataFrame, keys: list[str], axis: str, bounds: DataFrame, threshold: Column, name: str) -> DataFrame:
-    """(keys, ``name``): the sorted centres of runs of rows or columns that hold at least so many points. bounds: keys and what the threshold needs."""
-    counts = few(points.groupBy(*keys, F.col(axis).alias("idx")).agg(F.count("*").alias("n")), bounds, keys)
+def _lines(points: DataFrame, keys: list[str], axis: str, bounds: DataFrame | list[str], threshold: Column, name: str) -> DataFrame:
+    """(keys, ``name``): the sorted centres of runs of rows or columns that hold at least so many points.
+
+    bounds, what the threshold needs: a frame by image, where that is the only key, or columns of the points that are the same for the same keys.
+    """
+    given = isinstance(bounds, list)
+    counts = points.groupBy(*keys, *(bounds if given else []), F.col(axis).alias("idx")).agg(F.count("*").alias("n"))
+    counts = counts if given else few(counts, bounds, keys)
     return islands(counts, keys, threshold, half_up=False).groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("centre").cast("int"))).alias(name))
 
 
@@ -153,6 +171,23 @@ def _ink(points: DataFrame, regions: DataFrame, keys: list[str], least: int, ima
     return few(regions, region_sums(dark, inner, keys, image).where(F.col("dark") >= least).select(image, *keys), [image, *keys])
 
 
+def _in_cells(of_day: DataFrame, cells: DataFrame, image: str) -> DataFrame:
+    """Points of days with ``row`` and ``tall`` of the cells of their day that they lie in; one on the edge of two cells is in both. Cells of a day share edges at most.
+
+    Edges cut a day's height into strips. A point finds its strip in an array of its image and day, and a strip has the cell that begins with it and the one that ends there.
+    """
+    edges = cells.groupBy(image, "day").agg(F.array_sort(F.array_union(F.collect_set("y0"), F.collect_set("y1"))).alias("ys"), F.collect_list(F.struct("y0", "y1")).alias("spans"))
+    # of each edge the cell that begins and the height of the cell that ends there
+    edges = edges.select(image, "day", "ys", _strips("ys").alias("iy"), F.expr("transform(ys, e -> get(filter(spans, s -> s.y0 = e), 0))").alias("begin"), F.expr("transform(ys, e -> get(filter(spans, s -> s.y1 = e), 0))").alias("end"))
+    days = edges.groupBy(image).agg(F.collect_list(F.struct("day", "ys", "iy", "begin", "end")).alias("held"))
+    days = days.select(image, F.expr(f"transform(sequence(1, {DAYS}), d -> get(filter(held, h -> h.day = d), 0))").alias("held"))
+    met = few(of_day, days, image).withColumn("h", F.expr("get(held, day - 1)"))
+    strip = F.expr("if(y = element_at(h.ys, -1), size(h.ys), get(h.iy, cast(y - get(h.ys, 0) as int)))")
+    met = met.withColumn("strip", strip).where("strip is not null")
+    both = F.expr("array(get(h.begin, strip - 1), if(y = get(h.ys, strip - 1), get(h.end, strip - 1), null))")
+    return met.select(*of_day.columns, F.explode(both).alias("cell")).where("cell is not null").select(*of_day.columns, F.col("cell.y0").alias("row"), (F.col("cell.y1") - F.col("cell.y0") + 1).alias("tall"))
+
+
 def main_targets(points: DataFrame, sizes: DataFrame, grids: DataFrame, image: str = "image_id") -> DataFrame:
     """(image, kind, row_index, column_index, part, period_start, period_end, x0, y0, x1, y1): what is to be recognised of images with a grid.
 
@@ -161,12 +196,15 @@ def main_targets(points: DataFrame, sizes: DataFrame, grids: DataFrame, image: s
     """
     days = grids.select(image, "header_top", "header_bottom", "main_bottom", "bounds", F.explode(F.expr(f"transform(sequence(1, {DAYS}), d -> struct(d as day, get(day_lines, d - 1) as a, get(day_lines, d) as b))")).alias("d")).select(image, "header_top", "header_bottom", "main_bottom", "bounds", "d.*")
     heads = _targets(days, image, "weekdayHeader", column_index=F.col("day"), x0=F.col("a") + 3, x1=F.col("b") - 3, y0=F.col("header_top") + 3, y1=F.col("header_bottom") - 3)
-    columns = days.select(image, "day", "header_bottom", "main_bottom", "bounds", (F.col("a") + 2).alias("x0"), (F.col("b") - 2).alias("x1")).where("x1 > x0")
+    columns = days.select(image, "day", "bounds", (F.col("a") + 2).alias("x0"), (F.col("b") - 2).alias("x1")).where("x1 > x0")
 
-    # lines of a day's column: its places are looked up by equality
+    # lines of a day's column: a point finds its day in an array over the places from the first line of days to the last
     dark = points.where(F.col("grey") < LINE_GREY).select(image, "x", "y")
-    of_day = few(dark, columns.select(image, "day", "header_bottom", "main_bottom", F.explode(F.expr("sequence(x0, x1)")).alias("x"), (F.col("x1")).alias("x1")), [image, "x"]).where("y between header_bottom and main_bottom")
-    ruled = _lines(of_day.where("x < x1"), [image, "day"], "y", columns.select(image, "day", (F.col("x1") - F.col("x0")).alias("w")), F.col("w") * CELL_SHARE, "ys")
+    day_at = F.expr(f"flatten(transform(sequence(1, {DAYS}), d -> if(get(day_lines, d) - get(day_lines, d - 1) > 4, concat(array_repeat(0, 2), array_repeat(d, cast(get(day_lines, d) - get(day_lines, d - 1) - 3 as int)), array(0)), array_repeat(0, cast(get(day_lines, d) - get(day_lines, d - 1) as int)))))")
+    own = grids.select(image, "header_bottom", "main_bottom", "day_lines", day_at.alias("day_at"))
+    of_day = few(dark, own, image).where("y between header_bottom and main_bottom").withColumn("day", F.expr("get(day_at, cast(x - get(day_lines, 0) as int))")).where("day > 0")
+    of_day = of_day.select(image, "x", "y", "day", F.expr("get(day_lines, day - 1) + 2").alias("x0"), F.expr("get(day_lines, day) - 2").alias("x1"))
+    ruled = _lines(of_day.where("x < x1").withColumn("w", F.col("x1") - F.col("x0")), [image, "day"], "y", ["w"], F.col("w") * CELL_SHARE, "ys")
     cuts = few(columns, ruled, [image, "day"], "left").withColumn("ys", F.array_sort(F.array_distinct(F.concat(F.coalesce("ys", F.array().cast("array<int>")), F.array(F.element_at("bounds", 1), F.element_at("bounds", -1))))))
     cells = cuts.select(image, "day", "bounds", "x0", "x1", F.explode(F.expr("zip_with(slice(ys, 1, size(ys) - 1), slice(ys, 2, size(ys) - 1), (a, b) -> struct(a as y0, b as y1))")).alias("c")).select(image, "day", "bounds", "x0", "x1", "c.*").where(F.col("y1") - F.col("y0") >= CELL_HEIGHT)
     cells = kept(cells.withColumn("row", F.col("y0")))
@@ -174,9 +212,8 @@ def main_targets(points: DataFrame, sizes: DataFrame, grids: DataFrame, image: s
     cells = kept(_ink(points, cells, ["day", "row"], CELL_INK, image).withColumn("over", over).where("size(over) > 0"))  # few, and used five times below
 
     # vertical lines within a cell
-    rows = cells.select(image, "day", "row", F.explode(F.expr("sequence(y0, y1)")).alias("y"), (F.col("y1") - F.col("y0") + 1).alias("tall"), F.col("x0").alias("left"))
-    within = few(of_day.select(image, "day", "x", "y"), rows, [image, "day", "y"]).select(image, "day", "row", (F.col("x") - F.col("left")).alias("x"), "tall")
-    split = _lines(within, [image, "day", "row"], "x", cells.select(image, "day", "row", (F.col("y1") - F.col("y0") + 1).alias("tall")), F.col("tall") * SPLIT_SHARE, "xs")
+    within = _in_cells(of_day, cells, image).select(image, "day", "row", (F.col("x") - F.col("x0")).alias("x"), "tall")
+    split = _lines(within, [image, "day", "row"], "x", ["tall"], F.col("tall") * SPLIT_SHARE, "xs")
     wide = F.col("x1") - F.col("x0")
     parts = few(cells, split, [image, "day", "row"], "left").withColumn("w", wide).withColumn("xs", F.concat(F.array(F.lit(0)), F.coalesce(F.filter("xs", lambda x: (x > PART_EDGE) & (x < F.col("w") - PART_EDGE)), F.array().cast("array<int>")), F.array("w")))
     parts = parts.select(image, "day", "row", "over", "x0", "y0", "y1", F.posexplode(F.expr("zip_with(slice(xs, 1, size(xs) - 1), slice(xs, 2, size(xs) - 1), (a, b) -> struct(a, b))")).alias("at", "p")).select(image, "day", "row", "over", "y0", "y1", (F.col("at") + 1).alias("part"), (F.col("x0") + F.col("p.b")).alias("x1"), (F.col("x0") + F.col("p.a")).alias("x0")).where(F.col("x1") - F.col("x0") >= PART_WIDTH)
