@@ -15,7 +15,7 @@ from chronofold.functions.text import compact_cell, compact_exam_row, found, let
 from chronofold.operators.events import once, spread
 from chronofold.operators.geometry import islands, longest_run
 from chronofold.operators.ocr import pattern_matches
-from chronofold.operators.raster import few, region_sums, widest_rows
+from chronofold.operators.raster import at_places, few, region_sums, widest_rows
 from chronofold.sources.tables import kept
 
 FIELDS = ["name", "teacher", "place", "day_of_week", "period_start", "period_end", "weeks"]
@@ -159,7 +159,7 @@ def detected_grids(pixels: DataFrame, sizes: DataFrame, image: str = "image_id")
     lines = islands(few(columns, sizes.select(image, "height"), image), image, F.col("height") * COLUMN_SHARE).groupBy(image).agg(F.array_sort(F.collect_list("centre")).alias("all")).where(F.size("all") >= LINES)
     lines = kept(lines.select(image, F.slice("all", 1, LINES).alias("x_lines")))
     near = lines.select(image, F.posexplode("x_lines").alias("n", "at")).select(image, "n", F.explode(F.expr("sequence(at - 1, at + 1)")).alias("x"))
-    crossed = few(dark, near, [image, "x"]).groupBy(image, F.col("y").alias("idx")).agg(F.count_distinct("n").alias("n"))
+    crossed = at_places(dark, near, "x", ["n"], image).groupBy(image, F.col("y").alias("idx")).agg(F.count_distinct("n").alias("n"))
     run = few(longest_run(crossed, image, max(7, LINES - 2)), sizes.select(image, "height"), image).where(F.col("last") - F.col("first") >= F.col("height") * RUN_SHARE)
     table = kept(few(run, lines, image).select(image, "x_lines", "first", "last", F.element_at("x_lines", 1).alias("x0"), F.element_at("x_lines", LINES).alias("x1")))
     rows = few(dark, table, image).where("x between x0 and x1 and y between first and last").groupBy(image, F.col("y").alias("idx"), "x0", "x1").agg(F.count("*").alias("n"))
