@@ -119,17 +119,22 @@ def cropped(points: DataFrame, boxes: DataFrame, image: str = "image_id") -> tup
     return inside.select(image, (F.col("x") - F.col("left")).alias("x"), (F.col("y") - F.col("top")).alias("y"), "grey"), boxes.select(image, (F.col("right") - F.col("left")).alias("width"), (F.col("bottom") - F.col("top")).alias("height"))
 
 
-def _lines(points: DataFrame, keys: list[str], axis: str, bounds: DataFrame | list[str], threshold: Column, name: str) -> DataFrame:
-    """(keys, ``name``): the sorted centres of runs of rows or columns that hold at least so many points.
-
-    bounds, what the threshold needs: a frame by image, where that is the only key, or columns of the points that are the same for the same keys.
-    """
+def _counted(points: DataFrame, keys: list[str], axis: str, bounds: DataFrame | list[str]) -> DataFrame:
+    """(keys, idx, n, ...): the points of each row or column with what thresholds need: a frame by image, where that is the only key, or columns of the points that are the same for the same keys."""
     given = isinstance(bounds, list)
     counts = points.groupBy(*keys, *(bounds if given else []), F.col(axis).alias("idx")).agg(F.count("*").alias("n"))
-    counts = counts if given else few(counts, bounds, keys)
+    return counts if given else few(counts, bounds, keys)
+
+
+def _centres(counts: DataFrame, keys: list[str], threshold: Column, name: str) -> DataFrame:
+    """(keys, ``name``): the sorted centres of runs of rows or columns that hold at least so many points."""
     return islands(counts, keys, threshold, half_up=False).groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("centre").cast("int"))).alias(name))
 
 
+def _lines(points: DataFrame, keys: list[str], axis: str, bounds: DataFrame | list[str], threshold: Column, name: str) -> DataFrame:
+    return _centres(_counted(points, keys, axis, bounds), keys, threshold, name)
+
+
 def main_grids(points: DataFrame, sizes: DataFrame, image: str = "image_id") -> DataFrame:
     """(image, header_top, header_bottom, main_bottom, day_lines, bounds) of images with a grid of seven days and twelve periods.
 
@@ -138,8 +143,9 @@ def main_grids(points: DataFrame, sizes: DataFrame, image: str = "image_id") ->
     of at least ten vertical lines of the table bound the days, so that what divides a cell is no day.
     """
     dark = points.where(F.col("grey") < LINE_GREY).select(image, "x", "y")
-    full = _lines(dark, [image], "y", sizes, F.col("width") * FULL_SHARE, "whole").where("size(whole) >= 2")
-    some = _lines(dark, [image], "y", sizes, F.col("width") * SOME_SHARE, "some")
+    rows = kept(_counted(dark, [image], "y", sizes).where(F.col("n") >= F.col("width") * SOME_SHARE).select(image, "idx", "n", "width"))  # few, and those across the whole width are among them
+    full = _centres(rows, [image], F.col("width") * FULL_SHARE, "whole").where("size(whole) >= 2")
+    some = _centres(rows, [image], F.col("width") * SOME_SHARE, "some")
     gaps = few(some, full, image).select(image, "whole", F.expr("slice(filter(some, l -> l > get(whole, 1)), 1, 7)").alias("c")).where("size(c) > 1")
     gaps = gaps.select(image, "whole", F.expr(f"array_sort(filter(zip_with(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1), (a, b) -> b - a), g -> g between {LOW} and {HIGH}))").alias("g")).where("size(g) > 0")
     tall = gaps.select(image, "whole", F.expr("cast(bround((get(g, cast((size(g) - 1) div 2 as int)) + get(g, cast(size(g) div 2 as int))) / 2, 0) as int)").alias("tall"))
